@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import op8_mixing
+from .packing import op7_packing
 from .simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
 ORACLES: dict[str, str] = {}
