@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of code points other than the six ASCII white-space characters.
@@ -95,3 +95,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A bounded sample to learn from: (doc_id, text, label) of at most `per_class` labelled learning rows of each class.
+
+    Labels under a hash threshold that follows the class's size are ranked and cut at `per_class`; that list,
+    bounded by the parameter, is broadcast to the documents, so no text is shuffled but the sample's. Rows with a null id,
+    text or label and held-out rows teach nothing; of rows with one id, one is used.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
+    rows = rows.where(~held_out()).withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    cut = counts.select("label", F.expr(f"cast(least(1.0D, 2.0D * {per_class} / n) * 9223372036854775807D as bigint)").alias("cut"))
+    near = rows.join(F.broadcast(cut), "label").where("h <= cut").groupBy("doc_id", "h").agg(F.max("label").alias("label"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    ids = near.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "label")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

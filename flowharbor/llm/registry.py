@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .language import op2_language_id
 from .mixing import op8_mixing
 from .packing import op7_packing
+from .quality import op3_quality
+from .rules import op6_quality_rules
 from .simhash import op1_simhash
+from .toxicity import op9_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_quality, op6_quality_rules, op7_packing, op8_mixing, op9_toxicity)}
 ORACLES: dict[str, str] = {}
