@@ -1,14 +1,22 @@
-"""The queries of the training-data operators."""
+"""The queries of the training-data operators and the corpus pipeline."""
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .chat import op10_chat
+from .html import op4_html
 from .language import op2_language_id
 from .mixing import op8_mixing
 from .packing import op7_packing
 from .quality import op3_quality
 from .rules import op6_quality_rules
 from .simhash import op1_simhash
+from .topk import op5_topk
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_id, op3_quality, op6_quality_rules, op7_packing, op8_mixing, op9_toxicity)}
+OPERATORS = (op1_simhash, op2_language_id, op3_quality, op4_html, op5_topk, op6_quality_rules, op7_packing, op8_mixing, op9_toxicity, op10_chat)
+QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

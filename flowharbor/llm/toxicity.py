@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import labelled_sample, staged, table
@@ -131,21 +131,29 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     return Ordinal(index, weights, cuts)
 
 
-def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """docs plus `tox_severity` (expected grade, 0 to 3), `tox_probability` (of a grade above 0) and `tox_rejected`.
-
-    Null and empty texts have no feature. Columns of docs with these names are replaced.
-    """
-    made = ("tox_severity", "tox_probability", "tox_rejected")
-
+def _severity(model: Ordinal, text_col: str) -> Column:
     @F.pandas_udf("severity double, probability double")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             up = np.array([model.above(t) for t in texts]).reshape(-1, len(model.cuts))
             yield pd.DataFrame({"severity": up.sum(1), "probability": up[:, 0]})
 
+    return udf(F.col(text_col))
+
+
+def accepted(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
+    """The rows of docs that scored() does not reject, with the columns of docs."""
+    return docs.withColumn("__tox", _severity(model, text_col)).where(F.col("__tox.probability") < REJECT).drop("__tox")
+
+
+def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
+    """docs plus `tox_severity` (expected grade, 0 to 3), `tox_probability` (of a grade above 0) and `tox_rejected`.
+
+    Null and empty texts have no feature. Columns of docs with these names are replaced.
+    """
+    made = ("tox_severity", "tox_probability", "tox_rejected")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
-    out = docs.select(*own, udf(F.col(text_col)).alias("__tox"))
+    out = docs.select(*own, _severity(model, text_col).alias("__tox"))
     return out.select(*own, F.col("__tox.severity").alias(made[0]), F.col("__tox.probability").alias(made[1]), (F.col("__tox.probability") >= REJECT).alias(made[2]))
 
 
