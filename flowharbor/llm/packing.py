@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,7 +30,10 @@ TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 400_000
 #: Pieces of one length aimed at in one salted bucket, which one task ranks.
 BUCKET_ROWS = 50_000
-_SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the code points from 256 on.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+#: Letters that lower-case one by one, then marks that are no letters, digits or apostrophes.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[\]^_{|}]*)")
 
 
 @functools.cache
@@ -43,24 +47,57 @@ def _tokenizer(name: str):
 
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes. The vocabulary drops white space and no merge or
-    normalisation crosses it, so a text's ids are those of its words in turn, each encoded once and remembered."""
+    normalisation crosses it, so a text's ids are those of its words in turn, each encoded once and remembered. Nor
+    does a merge cross from letters to marks after them, so a plain word's ids are those of its lower-cased letters, then of its marks."""
 
     def __init__(self, name: str = TOKENIZER):
-        self.encoder, self.known = _tokenizer(name), {}
+        self.encoder, self.known, self.older = _tokenizer(name), {}, {}
+        self.merge = self.encoder.model.tokenize
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) for t in texts]
+    def piece(self, text: str) -> bytes:
+        """Ids of letters or of marks alone: what normalisation and splitting leave as it is goes straight to the merges."""
+        ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Know all these words; at REMEMBERED, forget those not met since the last time."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list({w for words in split for w in words if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.encoder.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        known, older, rest = self.known, self.older, []
+        for w in words:
+            if (ids := older.get(w)) is None:
+                if not (plain := _PLAIN.fullmatch(w.decode("utf-8", "surrogatepass"))):
+                    rest.append(w)
+                    continue
+                letters, marks = plain.groups()
+                ids = b""
+                for x in (letters.lower(), marks):
+                    if x:
+                        if (got := known.get(key := x.encode())) is None:
+                            got = known[key] = older.get(key) or self.piece(x)
+                        ids += got
+            known[w] = ids
+        for w, got in zip(rest, self.encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in rest], add_special_tokens=False), strict=True):
+            known[w] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        new = set().union(*split).difference(self.known)
+        if new:
+            old = self.known
+            self.learn(new)
+            if self.known is not old:
+                self.learn(set().union(*split).difference(self.known))
         known = self.known
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+@functools.cache
+def _word_ids(name: str) -> WordIds:
+    """One for each worker process: what a task has learnt serves the next."""
+    return WordIds(name)
+
+
 def tokenized(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
     """docs without the text, one row for each piece: `piece`, `start`, `length` and `ids` (binary, little-endian
     unsigned 32-bit). A document is its ids and end_id; a null text is empty. Pieces are cut at `capacity` ids."""
@@ -68,7 +105,7 @@ def tokenized(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY,
 
     @F.pandas_udf("array<binary>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = WordIds(tokenizer)
+        encode = _word_ids(tokenizer)
         for texts in batches:
             out = []
             for at in range(0, len(texts), 256):

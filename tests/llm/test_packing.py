@@ -14,6 +14,7 @@ def test_word_ids_equal_whole_text_ids():
     rng, encode = random.Random(2), packing.WordIds()
     alphabet = ["a", "B", "É", "é", "'s", "12", " ", "\n", "\t", "\x0b", " ", "　", "ΣΑΣ", "日本", "🙂", "<|endoftext|>", "!!", "́", "\x1c", "ﬁ", "İ"]
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(600)]
+    texts += [chr(a) + b + chr(c) for a in range(33, 256) for b in ("", "x") for c in (a, 33, 39, 60, 191, 233)]
     for text, got in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == ids_of(text), repr(text)
 
