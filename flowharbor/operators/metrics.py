@@ -71,9 +71,9 @@ def rank_metrics(scores: DataFrame) -> DataFrame:
     tot = by.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     full = run.crossJoin(F.broadcast(tot))
     out = full.agg(
-        (F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2)) / (F.max("pos") * F.max("neg"))).alias("auroc"),
-        (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("pos")).alias("auprc"),
-        (F.min(F.when(F.col("tp") >= 0.95 * F.col("pos"), F.col("fp"))) / F.max("neg")).alias("fpr95"), F.max("pos").alias("pos"), F.max("neg").alias("neg"),
+        F.try_divide(F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / 2)), F.max("pos") * F.max("neg")).alias("auroc"),
+        F.try_divide(F.sum(F.try_divide(F.col("p") * F.col("tp"), F.col("tp") + F.col("fp"))), F.max("pos")).alias("auprc"),
+        F.try_divide(F.min(F.when(F.col("tp") >= 0.95 * F.col("pos"), F.col("fp"))), F.max("neg")).alias("fpr95"), F.max("pos").alias("pos"), F.max("neg").alias("neg"),
     )
     two = (F.col("pos") > 0) & (F.col("neg") > 0)
     return out.select(*[F.when(two, F.col(c)).alias(c) for c in ("auroc", "auprc", "fpr95")])
@@ -106,9 +106,9 @@ def evt_threshold(val: DataFrame, u: float = 0.9, p: float = 0.99) -> DataFrame:
     base = benign.agg(F.percentile("score", F.lit(u)).alias("u"), F.percentile("score", F.lit(p)).alias("plain"), F.count("*").alias("n"))
     tail = benign.crossJoin(F.broadcast(base)).where("score > u").agg(F.count("*").alias("k"), F.avg(F.col("score") - F.col("u")).alias("m"), F.var_samp(F.col("score") - F.col("u")).alias("v"))
     both = base.crossJoin(tail)
-    shape = 0.5 * (1 - F.col("m") * F.col("m") / F.col("v"))
-    scale = 0.5 * F.col("m") * (F.col("m") * F.col("m") / F.col("v") + 1)
-    left = (1 - p) * F.col("n") / F.col("k")
+    square = F.try_divide(F.col("m") * F.col("m"), F.col("v"))
+    shape, scale = 0.5 * (1 - square), 0.5 * F.col("m") * (square + 1)
+    left = F.try_divide((1 - p) * F.col("n"), F.col("k"))
     evt = F.col("u") + F.when(F.abs(shape) < 1e-9, -scale * F.log(left)).otherwise(scale / shape * (F.pow(left, -shape) - 1))
     return both.select("u", "plain", F.when((F.col("k") >= 10) & (F.col("v") > 0), evt).otherwise(F.col("plain")).alias("threshold"), "k")
 

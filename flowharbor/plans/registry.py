@@ -19,5 +19,5 @@ def query(sql: str | None = None):
     return take
 
 
-for _module in ("flow_queries", "label_queries", "metric_queries", "token_queries", "memory_queries", "window_queries", "split_queries"):
+for _module in ("flow_queries", "label_queries", "metric_queries", "token_queries", "memory_queries", "window_queries", "split_queries", "stream_queries"):
     import_module(f"flowharbor.plans.{_module}")
