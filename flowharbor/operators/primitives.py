@@ -10,12 +10,15 @@ from flowharbor.functions import scalars as S
 
 from .flows import bursts
 
-ORDER = Window.partitionBy("flow").orderBy("ts", "seq")
+
+def order():
+    """A flow's packets in order."""
+    return Window.partitionBy("flow").orderBy("ts", "seq")
 
 
 def trace_tokens(rows: DataFrame, most: int = 32) -> DataFrame:
     """TOK07: for each of the first `most` packets a token of place, direction and length bin, with gap bins and direction changes."""
-    at = rows.withColumns({"i": F.row_number().over(ORDER) - 1, "gap": F.col("ts") - F.lag("ts").over(ORDER), "before": F.lag("dir").over(ORDER)}).where(F.col("i") < most)
+    at = rows.withColumns({"i": F.row_number().over(order()) - 1, "gap": F.col("ts") - F.lag("ts").over(order()), "before": F.lag("dir").over(order())}).where(F.col("i") < most)
     bin_ = S.log_bin(F.col("len"))
     kinds = F.array(
         F.concat_ws("_", F.lit("PKT"), "i", F.when(F.col("dir") == 1, "C").otherwise("S"), bin_.cast("string")), F.concat(F.lit("LENBIN_"), bin_),
@@ -26,7 +29,7 @@ def trace_tokens(rows: DataFrame, most: int = 32) -> DataFrame:
 
 def first_k_tokens(rows: DataFrame, k: int = 3) -> DataFrame:
     """WIN16: the signature of a flow's first k packets: direction and length bin of each."""
-    head = rows.withColumn("i", F.row_number().over(ORDER)).where(F.col("i") <= k)
+    head = rows.withColumn("i", F.row_number().over(order())).where(F.col("i") <= k)
     part = F.concat(F.when(F.col("dir") == 1, "C").otherwise("S"), S.log_bin(F.col("len")))
     made = head.groupBy("flow").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("p")))).alias("ps"))
     return made.select("flow", F.concat(F.lit("FIRSTK_"), F.array_join(F.transform("ps", lambda x: x["p"]), "_")).alias("token"))
@@ -47,7 +50,7 @@ def transition_tokens(rows: DataFrame, gap: float, most: int = 4) -> DataFrame:
     w = Window.partitionBy("flow").orderBy("burst")
     pair = b.withColumns({"d2": F.lead("dir").over(w), "n2": F.lead("n").over(w)}).where((F.col("burst") <= most) & F.col("d2").isNotNull())
     pairs = pair.select("flow", F.concat(F.lit("BT_"), "dir", S.log_bin(F.col("n")), F.lit("_"), "d2", S.log_bin(F.col("n2"))).alias("token"))
-    step = rows.withColumns({"i": F.row_number().over(ORDER), "next": F.lead("len").over(ORDER)}).where("i <= 8 AND next IS NOT NULL")
+    step = rows.withColumns({"i": F.row_number().over(order()), "next": F.lead("len").over(order())}).where("i <= 8 AND next IS NOT NULL")
     way = F.when(F.col("next") > F.col("len"), "LT_UP").when(F.col("next") < F.col("len"), "LT_DOWN").otherwise("LT_STABLE")
     return pairs.unionByName(step.select("flow", way.alias("token")))
 
@@ -55,8 +58,8 @@ def transition_tokens(rows: DataFrame, gap: float, most: int = 4) -> DataFrame:
 def structural_triggers(rows: DataFrame, small: int = 100, large: int = 1000, long_gap: float = 3600.0, run: int = 3) -> DataFrame:
     """WIN17: triggers (flow, family, name, count): packet shape (small and large packets), direction (dominance, turns), timing
     (long gaps), position (first and last), runs of small packets that restart after every larger one, and composites on what fired."""
-    at = rows.withColumns({"before": F.lag("dir").over(ORDER), "gap": F.col("ts") - F.lag("ts").over(ORDER), "i": F.row_number().over(ORDER), "big": (F.col("len") >= small).cast("int")})
-    at = at.withColumn("seg", F.sum("big").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    at = rows.withColumns({"before": F.lag("dir").over(order()), "gap": F.col("ts") - F.lag("ts").over(order()), "i": F.row_number().over(order()), "big": (F.col("len") >= small).cast("int")})
+    at = at.withColumn("seg", F.sum("big").over(order().rowsBetween(Window.unboundedPreceding, 0)))
     runs = at.where("big = 0").groupBy("flow", "seg").agg(F.count("*").alias("n")).where(F.col("n") >= run).groupBy("flow").agg(F.count("*").alias("small_runs"))
     f = at.groupBy("flow").agg(
         F.count_if(F.col("len") < small).alias("small"), F.count_if(F.col("len") >= large).alias("large"), F.count_if(F.col("before") != F.col("dir")).alias("turns"), F.count_if(F.col("gap") > long_gap).alias("long_gap"),

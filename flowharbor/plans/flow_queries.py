@@ -10,19 +10,20 @@ from flowharbor.operators import flows as O
 from .binding import PACKETS, packets, read, rows
 from .registry import query
 
-KEY = F.concat_ws("|", "key.a", "key.ap", "key.b", "key.bp", "key.proto")
+def flow_key():
+    return F.concat_ws("|", "key.a", "key.ap", "key.b", "key.bp", "key.proto")
 
 
 @query(f"""WITH {PACKETS} SELECT flow, string_agg(len::VARCHAR, ',' ORDER BY ts, seq) AS lens, string_agg(dir::VARCHAR, ',' ORDER BY ts, seq) AS dirs,
  count(*) AS packet_count, min(ts) AS start_ts, max(ts) - min(ts) AS duration FROM rows GROUP BY flow""")
 def agg01_flows(spark, sf):
-    return O.aggregate_packets(packets(spark, sf)).select(KEY.alias("flow"), F.concat_ws(",", F.col("lens").cast("array<string>")).alias("lens"), F.concat_ws(",", F.col("dirs").cast("array<string>")).alias("dirs"), "packet_count", "start_ts", "duration")
+    return O.aggregate_packets(packets(spark, sf)).select(flow_key().alias("flow"), F.concat_ws(",", F.col("lens").cast("array<string>")).alias("lens"), F.concat_ws(",", F.col("dirs").cast("array<string>")).alias("dirs"), "packet_count", "start_ts", "duration")
 
 
 @query(f"""WITH {PACKETS} SELECT flow, count(*) AS packet_count, count(*) FILTER (dir = 1) AS orig_packets, count(*) FILTER (dir = 0) AS resp_packets,
  coalesce(sum(len) FILTER (dir = 1), 0)::BIGINT AS orig_bytes, coalesce(sum(len) FILTER (dir = 0), 0)::BIGINT AS resp_bytes FROM rows GROUP BY flow""")
 def agg03_trace_flows(spark, sf):
-    return O.trace_flows(packets(spark, sf), 128).select(KEY.alias("flow"), "packet_count", *[F.col(c).cast("bigint") for c in ("orig_packets", "resp_packets", "orig_bytes", "resp_bytes")])
+    return O.trace_flows(packets(spark, sf), 128).select(flow_key().alias("flow"), "packet_count", *[F.col(c).cast("bigint") for c in ("orig_packets", "resp_packets", "orig_bytes", "resp_bytes")])
 
 
 @query(f"""WITH {PACKETS}, r AS (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY ts, seq) AS i, row_number() OVER (PARTITION BY flow ORDER BY ts DESC, seq DESC) AS j FROM rows)

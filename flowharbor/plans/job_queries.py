@@ -9,7 +9,7 @@ from flowharbor.operators import jobs as J
 from flowharbor.operators import tokens as T
 
 from .binding import DOCS, PACKETS, packets, read, rows, token_rows
-from .flow_queries import KEY
+from .flow_queries import flow_key
 from .memory_queries import KNOWN, sparse
 from .metric_queries import COUNTS, RATES, rounded
 from .registry import query
@@ -40,12 +40,12 @@ def sca39_gated_class(spark, sf):
 @query()
 def sca41_flow_fingerprint(spark, sf):
     f = O.aggregate_packets(packets(spark, sf))
-    return f.select(KEY.alias("flow"), J.flow_fingerprint(F.col("start_ts"), F.col("lens"), F.col("dirs"), 4).alias("print"))
+    return f.select(flow_key().alias("flow"), J.flow_fingerprint(F.col("start_ts"), F.col("lens"), F.col("dirs"), 4).alias("print"))
 
 
 @query(f"WITH {PACKETS} SELECT flow, round(list_sum(list_transform(list(len ORDER BY ts, seq)[1:6], lambda x: least(1.0, x / 1500.0))), 6) AS total, 6 AS size FROM rows GROUP BY flow")
 def sca44_length_vector(spark, sf):
-    f = O.aggregate_packets(packets(spark, sf)).select(KEY.alias("flow"), J.length_vector(F.col("flow_id"), F.col("lens"), 6).alias("v"))
+    f = O.aggregate_packets(packets(spark, sf)).select(flow_key().alias("flow"), J.length_vector(F.col("flow_id"), F.col("lens"), 6).alias("v"))
     return rounded(f.select("flow", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("v").alias("size")))
 
 
