@@ -16,15 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, staged, table
+from .common import in_small_batches, labelled_sample, staged, table
 
 #: Learning rows of each label at most, terms kept as features, and the least share of the toxic ones that a term must be in.
 PER_CLASS = 6000
 VOCABULARY = 600
 LEAST_SHARE = 0.02
 GRADES = 4
-STEPS = 1500
-RATE = 0.5
+STEPS = 1000
+RATE = 0.03
 RIDGE = 1e-5
 #: A document is rejected from this probability of a grade above 0 on.
 REJECT = 0.5
@@ -33,7 +33,7 @@ PREFIXES = (4, 5)
 #: Terms are features if their smoothed log odds between the labels are over ODDS and lie so many standard deviations
 #: above chance, and mark toxic text over MARKS. None speaks for a text (weights
 #: stay at 0 or above), so that length cannot outweigh what is found.
-ODDS, DEVIATIONS = 1.5, 8.0
+ODDS, DEVIATIONS = 1.5, 5.0
 MARKS = 2.0
 #: From so many distinct words with marking terms on, a toxic document's grade is 2, and 3.
 SEVERE = (3, 6)
@@ -89,10 +89,10 @@ def fit(rows: list[tuple[list[int], int]], size: int, grades: int = GRADES) -> t
         slope = each * (d_low - d_high)
         gw = np.bincount(at, slope[which], size) - RIDGE * w / np.sqrt(size)
         gc = np.array([(each * (d_high * (y == k) - d_low * (y == k + 1))).sum() for k in range(grades - 1)])
-        moment_w += gw**2
-        moment_c += gc**2
-        w = np.maximum(0, w + RATE * gw / np.sqrt(moment_w))
-        cuts = np.maximum.accumulate(cuts + RATE * gc / np.sqrt(moment_c) + np.arange(grades - 1) * 1e-9)
+        moment_w = 0.95 * moment_w + 0.05 * gw**2
+        moment_c = 0.95 * moment_c + 0.05 * gc**2
+        w = np.maximum(0, w + RATE * gw / np.sqrt(moment_w + 1e-12))
+        cuts = np.maximum.accumulate(cuts + RATE * gc / np.sqrt(moment_c + 1e-12) + np.arange(grades - 1) * 1e-9)
     return w, cuts
 
 
@@ -143,7 +143,7 @@ def _severity(model: Ordinal, text_col: str) -> Column:
 
 def accepted(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """The rows of docs that scored() does not reject, with the columns of docs."""
-    return docs.withColumn("__tox", _severity(model, text_col)).where(F.col("__tox.probability") < REJECT).drop("__tox")
+    return in_small_batches(docs).withColumn("__tox", _severity(model, text_col)).where(F.col("__tox.probability") < REJECT).drop("__tox")
 
 
 def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
@@ -153,7 +153,7 @@ def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame
     """
     made = ("tox_severity", "tox_probability", "tox_rejected")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
-    out = docs.select(*own, _severity(model, text_col).alias("__tox"))
+    out = in_small_batches(docs).select(*own, _severity(model, text_col).alias("__tox"))
     return out.select(*own, F.col("__tox.severity").alias(made[0]), F.col("__tox.probability").alias(made[1]), (F.col("__tox.probability") >= REJECT).alias(made[2]))
 
 
