@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import in_small_batches, staged, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
@@ -220,7 +220,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     sums = votes.groupBy("__host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.sum("v.score").alias("score"))
     first = F.row_number().over(Window.partitionBy("__host").orderBy(F.desc("n"), F.desc(F.round("score", 3)), "path"))
     winners = staged(sums.withColumn("nth", first).where("nth = 1").select(F.col("__host").alias("__voter"), F.col("path").alias("__path")), "paths")
-    joined = pages.select(*own, host.alias("__host")).join(winners, F.col("__host").eqNullSafe(F.col("__voter")), "left")
+    joined = in_small_batches(pages).select(*own, host.alias("__host")).join(winners, F.col("__host").eqNullSafe(F.col("__voter")), "left")
     return joined.select(*own, take(F.col(html_col), F.col("__path")).alias("main_text"))
 
 

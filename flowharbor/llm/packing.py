@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import in_small_batches, staged, table
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Pieces of one length aimed at in one salted bucket, which one task ranks.
 BUCKET_ROWS = 50_000
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the code points from 256 on.
@@ -115,7 +115,7 @@ def tokenized(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY,
             yield pd.Series(out)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    cutted = docs.select(*rest, F.posexplode(cut(F.col(text_col))).alias("piece", "ids"))
+    cutted = in_small_batches(docs).select(*rest, F.posexplode(cut(F.col(text_col))).alias("piece", "ids"))
     return cutted.select(*rest, "piece", (F.col("piece").cast("long") * capacity).alias("start"), (F.length("ids") / 4).cast("long").alias("length"), "ids")
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import components, in_small_batches, staged, table
 
 SEED = 42
 BITS = 64
@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", w
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, width, seed)) for t in texts], dtype="int64")
 
-    return docs.withColumn(out, udf(F.col(text_col)))
+    return in_small_batches(docs).withColumn(out, udf(F.col(text_col)))
 
 
 def cover(mask: int, radius: int = RADIUS) -> list[int]:
