@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, in_small_batches, staged, table
+from .common import components, discard, in_small_batches, staged, table
 
 SEED = 42
 BITS = 64
@@ -26,6 +26,12 @@ SHINGLE = 3
 #: Buckets of more fingerprints than this are covered again.
 BUCKET = 64
 _CHUNK = 1 << 15
+#: The pipeline's near copies: five-word shingles, Jaccard similarity; 20 bands of 4 min-hashes miss 3 in 100,000 pairs at 0.8.
+WIDTH = 5
+SIMILARITY = 0.8
+BANDS = 20
+ROWS = 4
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -139,14 +145,104 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each near-duplicate group: the one of smallest (id, text hash); all columns stay."""
+def shingle_set(text: str | None, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of the text's `width`-word shingles; a shorter text is one shingle, a wordless one none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - width + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[min(width, len(words)) - 1 :].tolist(), strict=True)), np.uint64, n))
+
+
+def _hashes() -> tuple[np.ndarray, ...]:
+    rng = np.random.default_rng(SEED)
+    return tuple(rng.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
+
+
+_FLIP, _FACTOR, _MIX = _hashes()
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each of BANDS bands of ROWS min-hashes: sets of similarity s share a given one with chance s^ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), _CHUNK >> 3):
+        np.minimum(least, ((shingles[at : at + (_CHUNK >> 3)] ^ _FLIP[:, None]) * _FACTOR[:, None]).min(axis=1), out=least)
+    return (least * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) if len(shingles) else np.empty(0, np.uint64)
+
+
+def _sketched(texts: DataFrame, width: int) -> DataFrame:
+    """texts plus `s`: sid (a hash of the shingle set), n (its size) and its band keys."""
+
+    @F.pandas_udf("sid long, n int, keys array<long>")
+    def udf(column: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, width) for t in column]
+        sids = [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) if len(x) else 0 for x in sets]
+        return pd.DataFrame({"sid": np.array(sids, np.int64), "n": np.array([len(x) for x in sets], np.int32), "keys": [band_keys(x).view(np.int64) for x in sets]})
+
+    return in_small_batches(texts).withColumn("s", udf(F.col("text")))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity, counted over all their shingles, reaches `similarity`."""
+
+    @F.pandas_udf("array<long>")
+    def udf(column: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, width).view(np.int64) for t in column], dtype=object)
+
+    pairs = staged(pairs.select("a", "b").distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    one = texts.join(sets.join(wanted, "sid").select("sid", "h"), "h").groupBy("sid").agg(F.min("text").alias("text"))
+    shingles = staged(one.select("sid", udf(F.col("text")).alias("x")), "shingles")
+    both = pairs.join(shingles.withColumnRenamed("sid", "a"), "a").join(shingles.withColumnsRenamed({"sid": "b", "x": "y"}), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
+    return staged(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b"), "similar")
+
+
+def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between sets (sid, n, keys, h) with the components of all pairs that share a band and are similar.
+
+    Pairs of a bucket of at most `bucket` sets are all counted. In a larger one each set meets one hub; where that
+    leaves more than one component, all its pairs of different components are counted, so no bucket is capped.
+    """
+    keyed = sets.select("sid", "n", F.posexplode("keys").alias("band", "k"))
+    sizes = keyed.groupBy("band", "k").agg(F.count("*").alias("c"), F.min_by("sid", F.xxhash64("sid", "band", "k")).alias("hub")).where("c > 1")
+    shared = staged(keyed.join(sizes, ["band", "k"]), "buckets")
+    fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    small = shared.where(F.col("c") <= bucket).select("band", "k", F.col("sid").alias("a"), "n")
+    other = small.withColumnsRenamed({"a": "b", "n": "m"})
+    pairs = small.join(other, ["band", "k"]).where(F.col("a") < F.col("b")).where(fits).select("a", "b")
+    large = shared.where(F.col("c") > bucket)
+    hubs = large.where("sid <> hub").select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
+    found = _similar(pairs.unionByName(hubs), sets, texts, similarity, width)
+    if large.isEmpty():
+        return found
+    roots = components(found).withColumnsRenamed({"node": "sid", "root": "r"})
+    named = large.select("band", "k", "sid", "n").join(roots, "sid", "left").withColumn("r", F.coalesce("r", "sid"))
+    split = named.groupBy("band", "k").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("band", "k")
+    left = staged(named.join(split, ["band", "k"]), "split")
+    mine = left.select("band", "k", F.col("sid").alias("a"), "n", F.col("r").alias("ra"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)).alias("salt"))
+    theirs = left.select("band", "k", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("rb"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
+    across = mine.join(theirs, ["band", "k", "salt"]).where("a < b and ra <> rb").where(fits).select("a", "b")
+    return found.unionByName(_similar(across, sets, texts, similarity, width))
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of smallest (id, text hash); all columns stay.
+
+    Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`; bands of
+    min-hashes propose the pairs, and their shingles are counted in full. Wordless and null texts are one group.
+    """
     mine = "__near_dup_key"
     digest = F.xxhash64(F.col(text_col))
-    slim = staged(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fp", F.xxhash64("text").alias("h")), "fingerprints")
-    prints = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
-    roots = components(links(prints)).withColumnsRenamed({"node": "fp", "root": "r"})
-    first = prints.join(roots, "fp", "left").groupBy(F.coalesce("r", "fp").alias("r")).agg(F.min("first").alias("first"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    slim = staged(_sketched(texts, width).select("doc_id", "h", "s.*"), "sketches")
+    sets = staged(slim.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    discard(slim)
+    roots = components(similar_links(sets, texts.select("h", "text"), similarity, width, bucket)).withColumnsRenamed({"node": "sid", "root": "r"})
+    first = sets.join(roots, "sid", "left").groupBy(F.coalesce("r", "sid").alias("r")).agg(F.min("first").alias("first"))
     winners = first.select(F.xxhash64(F.col("first.doc_id"), F.col("first.h")).alias(mine), F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
     rows = docs.withColumn(mine, F.xxhash64(F.col(id_col), digest))
     kept = rows.join(winners, (rows[mine] == winners[mine]) & rows[id_col].eqNullSafe(winners["__id"]) & (F.xxhash64(rows[text_col]) == winners["__h"]), "left_semi")

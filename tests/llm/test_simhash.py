@@ -85,3 +85,38 @@ def test_keep_one(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0 and simhash.keep_one(df).count() == 0
+
+
+def similar_groups(texts):
+    """Group of each text, by comparing the five-word shingle sets of all pairs."""
+    sets = []
+    for text in texts:
+        words = text.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def near_copies(family):
+    """Texts of 200 words with 0 to 5 words exchanged, so that similarities lie on both sides of 0.8."""
+    rng, out = random.Random(9), []
+    for f in range(12):
+        base = [f"f{f}w{rng.randrange(500)}" for _ in range(200)]
+        for _ in range(family if f == 0 else 5):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randrange(6)):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("family,bucket", [(5, 64), (60, 2)])
+def test_keep_one_finds_similar_texts(spark, family, bucket):
+    texts = near_copies(family)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df, bucket=bucket).collect()) == sorted(set(similar_groups(texts)))
