@@ -56,6 +56,7 @@ class Container:
     text: int = 0
     linked: int = 0
     paragraphs: int = 0
+    above: tuple[int, ...] = ()
 
     def score(self) -> float:
         return self.text - 2.0 * self.linked + 25.0 * self.paragraphs
@@ -63,10 +64,11 @@ class Container:
 
 @dataclass
 class Page:
-    """Text blocks in page order, each with the containers (positions in `containers`) that it lies in."""
+    """Text blocks in page order, each with the containers (positions in `containers`) that it lies in, and their linked characters."""
 
     blocks: list[tuple[str, tuple[int, ...]]] = field(default_factory=list)
     containers: list[Container] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
 
 
 def _words(value: str) -> set[str]:
@@ -78,29 +80,45 @@ def _skipped(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    return tag not in ("body", "html", "main", "article") and not SKIP_WORDS.isdisjoint(_words(f"{attributes.get('class', '')} {attributes.get('id', '')}"))
+    return False
+
+
+def _suspect(tag: str, attributes: dict[str, str]) -> str:
+    """"sure" if a whole class or id consists of boilerplate words, "maybe" if one has some (has-comments), else nothing."""
+    if tag in ("body", "html", "main", "article"):
+        return ""
+    names = [_words(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    if any(x and x <= SKIP_WORDS for x in names):
+        return "sure"
+    return "maybe" if any(not SKIP_WORDS.isdisjoint(x) for x in names) else ""
+
+
+def _boilerplate(suspects: list[str], marked: list[tuple[int, ...]], sizes: dict[tuple[int, ...], int]) -> set[int]:
+    """The suspects that are boilerplate. One that holds the page's only article or main is a wrapper, and so is a "maybe" one
+    beside which hardly any text would be kept. `marked` and `sizes` are by the suspects around an article and a text."""
+    active = set(range(len(suspects)))
+    for i in sorted(active, key=lambda i: (suspects[i] == "sure", i)):
+        elsewhere = any(i not in around and active.isdisjoint(around) for around in marked)
+        inner = sum(n for around, n in sizes.items() if i in around)
+        outer = sum(n for around, n in sizes.items() if i not in around and active.isdisjoint(around))
+        if not elsewhere and (any(i in around for around in marked) or (suspects[i] == "maybe" and 10 * outer < inner)):
+            active.discard(i)
+    return active
 
 
 def parse(source: str | None) -> Page:
     """Tolerant one-pass reading: unclosed, crossed and cut-off tags are closed as far as needed; a page that ends
     inside an element keeps what came before. Skipped elements leave no block."""
-    page, stack = Page(), []  # stack: tag, skip, path, containers, inside a link
-    text, linked, source = [], 0, source or ""
+    page, stack = Page(), []  # stack: tag, skip, path, containers, inside a link, suspects around
+    text, source = [], source or ""  # text: words, linked characters, suspects around
+    blocks, suspects, around = [], [], []  # around: each container's suspects
     pos, size = 0, len(source)
 
     def flush() -> None:
-        nonlocal text, linked
+        nonlocal text
         if text:
-            block = _SPACE.sub(" ", "".join(text)).strip()
-            if block:
-                inside = stack[-1][3] if stack else ()
-                page.blocks.append((block, inside))
-                for i in inside:
-                    box = page.containers[i]
-                    box.text += len(block)
-                    box.linked += linked
-                    box.paragraphs += len(block) >= 40
-        text, linked = [], 0
+            blocks.append((text, stack[-1][3] if stack else ()))
+        text = []
 
     def close(upto: int) -> None:
         if any(x[0] in BLOCKS for x in stack[upto:]):
@@ -108,11 +126,8 @@ def parse(source: str | None) -> Page:
         del stack[upto:]
 
     def words(raw: str) -> None:
-        nonlocal linked
         if raw and not (stack and stack[-1][1]):
-            text.append(html.unescape(raw))
-            if stack and stack[-1][4]:
-                linked += len(raw.strip())
+            text.append((html.unescape(raw), len(raw.strip()) if stack and stack[-1][4] else 0, stack[-1][5] if stack else ()))
 
     while pos < size:
         at = source.find("<", pos)
@@ -139,7 +154,7 @@ def parse(source: str | None) -> Page:
             pos = end.end() if end else (size if tag in ("script", "style", "title", "textarea") else pos)
             continue
         if tag == "br" or tag == "hr":
-            text.append(" ") if tag == "br" else flush()
+            text.append((" ", 0, ())) if tag == "br" else flush()
             continue
         if tag in VOID:
             continue
@@ -158,28 +173,81 @@ def parse(source: str | None) -> Page:
         if tag in BLOCKS:
             flush()
         attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found[4] or "")}
-        above = stack[-1] if stack else ("", False, "", (), False)
+        above = stack[-1] if stack else ("", False, "", (), False, ())
         names = ".".join([tag, *sorted({re.sub(r"\d+", "", x) for x in attributes.get("class", "").lower().split()} - {""})])
         path = f"{above[2]}>{names}" if tag in BLOCKS else above[2]
         skip, inside = above[1] or _skipped(tag, attributes), above[3]
+        within, why = above[5], _suspect(tag, attributes)
+        if why and not skip:
+            suspects.append(why)
+            within = (*within, len(suspects) - 1)
         if tag in CONTAINERS and not skip:
-            page.containers.append(Container(path, len(inside)))
+            page.containers.append(Container(path, len(inside), above=inside))
+            around.append(within)
             inside = (*inside, len(page.containers) - 1)
         if not found[0].rstrip().endswith("/>") or tag in BLOCKS:
-            stack.append((tag, skip, path, inside, above[4] or tag == "a"))
+            stack.append((tag, skip, path, inside, above[4] or tag == "a", within))
     flush()
-    return page
+    return _settled(page, blocks, suspects, around)
+
+
+def _settled(page: Page, blocks: list, suspects: list[str], around: list[tuple[int, ...]]) -> Page:
+    """The page without the suspects that are boilerplate."""
+    sizes, held = {}, set()
+    for pieces, inside in blocks if suspects else ():
+        for raw, _, within in pieces:
+            sizes[within] = sizes.get(within, 0) + len(raw.strip())
+            held.update(inside if raw.strip() else ())
+    marked = [around[i] for i in sorted(held) if re.search(r">(article|main)(\.[^>]*)?$", page.containers[i].path)]
+    gone = _boilerplate(suspects, marked, sizes)
+    kept = [i for i, within in enumerate(around) if gone.isdisjoint(within)]
+    place = {old: new for new, old in enumerate(kept)}
+    out = Page(containers=[page.containers[i] for i in kept])
+    for box in out.containers:
+        box.above = tuple(place[i] for i in box.above if i in place)
+    for pieces, inside in blocks:
+        pieces = [x for x in pieces if gone.isdisjoint(x[2])]
+        block = _SPACE.sub(" ", "".join(x[0] for x in pieces)).strip()
+        if block:
+            inside, linked = tuple(place[i] for i in inside if i in place), sum(x[1] for x in pieces)
+            out.blocks.append((block, inside))
+            out.linked.append(linked)
+            for i in inside:
+                box = out.containers[i]
+                box.text += len(block)
+                box.linked += linked
+                box.paragraphs += len(block) >= 40
+    return out
 
 
 def best(page: Page) -> Container | None:
-    """The deepest container that holds nearly all of what the page's best-scored one holds; a semantic article or
-    main element goes before others."""
+    """The deepest container that holds nearly all of what the page's best-scored one holds, then the outermost around it
+    whose own blocks belong to the text; a semantic article or main element goes before others."""
     if not page.containers:
         return None
     marked = [c for c in page.containers if re.search(r">(article|main)(\.[^>]*)?$", c.path) and c.text]
     pool = marked or page.containers
     top = max(c.score() for c in pool)
-    return max((c for c in pool if c.score() >= 0.9 * top - 1e-9), key=lambda c: (c.depth, c.score()))
+    chosen = max((c for c in pool if c.score() >= 0.9 * top - 1e-9), key=lambda c: (c.depth, c.score()))
+    for i in reversed(chosen.above):
+        wider = page.containers[i]
+        if any(wider is c for c in pool) and wider.text > chosen.text:
+            if not _extends(page, wider, chosen):
+                break
+            chosen = wider
+    return chosen
+
+
+def _extends(page: Page, wider: Container, chosen: Container) -> bool:
+    """True if what `wider` adds are blocks of its own, and neither these nor a container beside `chosen` are mostly links."""
+    at, inner = (next(i for i, c in enumerate(page.containers) if c is x) for x in (wider, chosen))
+    text, linked = {}, {}
+    for (block, inside), n in zip(page.blocks, page.linked, strict=True):
+        if at in inside and inner not in inside:
+            child = next((i for i in inside[inside.index(at) + 1 :]), at)
+            text[child] = text.get(child, 0) + len(block)
+            linked[child] = linked.get(child, 0) + n
+    return at in text and all(2 * linked[x] <= text[x] for x in text)
 
 
 def ballot(source: str | None) -> tuple[str | None, float]:

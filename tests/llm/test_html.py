@@ -32,3 +32,27 @@ def test_host_votes_settle_the_path(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.main_text for r in html.main_text(df).collect()}
     assert got[9].count("\n") == 0 and got[0].count("\n") == 2
+
+
+LEAD, CLOSE = "A lead that says in short what the long text below says at length.", "A closing line."
+BODY = "<p>A paragraph of the long text, with words enough to count as one of its own.</p>" * 12
+
+
+def test_blocks_beside_the_longest_container_stay():
+    source = f'<body><div class="links"><a href="/">a link to elsewhere</a></div><div class="content"><h1>Title</h1><p>{LEAD}</p><div class="body">{BODY}</div><p>{CLOSE}</p></div></body>'
+    lines = html.extract(source, html.ballot(source)[0]).split("\n")
+    assert lines[:2] == ["Title", LEAD] and lines[-1] == CLOSE and len(lines) == 15
+    beside = f'<body><div class="content"><p><a href="/">Only a link to elsewhere</a></p><div class="body">{BODY}</div></div></body>'
+    assert len(html.extract(beside, html.ballot(beside)[0]).split("\n")) == 12
+
+
+def test_class_words_of_wrappers_skip_no_page():
+    comments = '<div id="comments" class="comments-area"><article class="comment"><p>' + "what a reader says " * 20 + "</p></article></div>"
+    for name in ("layout-with-sidebar", "has-comments", "page-no-nav", "sidebar"):
+        for box, end in (("article", "article"), ('div class="text"', "div")):
+            if name == "sidebar" and end == "div":
+                continue
+            extra = comments if end == "article" else '<div class="comments"><p>' + "what a reader says " * 90 + "</p></div>"
+            source = f'<body><div class="{name}"><div class="sidebar"><p>Popular stories of the week</p></div><{box}><p>{LEAD}</p>{BODY}</{end}>{extra}</div></body>'
+            lines = html.extract(source, html.ballot(source)[0]).split("\n")
+            assert lines[0] == LEAD and len(lines) == 13, (name, box, lines)
