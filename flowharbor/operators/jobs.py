@@ -116,38 +116,39 @@ def token_weight_scheme(weights: DataFrame, scheme: str, groups: dict[str, float
     return rows.withColumn("w", F.try_divide(F.col("w"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("flow_id")))))
 
 
-def leave_one_job(tokens: DataFrame, k: int, percentile: float = 99.0) -> DataFrame:
-    """CAL15: train-only weights, nearest benign memory, threshold from benign validation scores, metrics on the test."""
+def leave_one_job(tokens: DataFrame, k: int, percentile: float = 99.0, flows: DataFrame | None = None) -> DataFrame:
+    """CAL15: train-only weights, nearest benign memory, threshold from benign validation scores, metrics on the test.
+    `flows` (flow_id, split, label) also holds the flows without tokens."""
     w = T.token_weights(tokens, "binary", "l2")
     memory = w.where("split = 'train' AND label = 'BENIGN'").select(F.col("flow_id").alias("mid"), "token", "w")
     query = w.where("split <> 'train'").select(F.col("flow_id").alias("id"), "token", "w")
-    meta = tokens.select(F.col("flow_id").alias("id"), "split", (F.col("label") == "ATTACK").cast("int").alias("y")).distinct()
-    scored = K.knn_sparse(query, memory, k).join(meta, "id").select(F.col("id").alias("flow_id"), F.round("score", 9).alias("score"), "y", "split")
+    meta = (tokens if flows is None else flows).where("split <> 'train'").select(F.col("flow_id").alias("id"), "split", (F.col("label") == "ATTACK").cast("int").alias("y")).distinct()
+    scored = K.knn_sparse(query, memory, k, meta).join(meta, "id").select(F.col("id").alias("flow_id"), F.round("score", 9).alias("score"), "y", "split")
     return M.percentile_thresholds(scored.where("split = 'val'"), scored.where("split = 'test'"), [percentile])
 
 
-def memory_scaling(query: DataFrame, memory: DataFrame, sizes: list[int], k: int) -> DataFrame:
-    """CAL10: mean score against hash-drawn memories of several sizes."""
+def memory_scaling(query: DataFrame, memory: DataFrame, sizes: list[int], k: int, query_ids: DataFrame | None = None) -> DataFrame:
+    """CAL10: mean score against hash-drawn memories of several sizes; `query_ids` (id) names queries without known tokens too."""
     ids = memory.select("mid").distinct()
     ranked = ids.withColumn("r", F.row_number().over(Window.orderBy(hash_rank_key(F.col("mid"), 42, "memory"), "mid")))
     out = None
     for n in sizes:
         part = memory.join(ranked.where(F.col("r") <= n).select("mid"), "mid", "left_semi")
-        one = K.knn_sparse(query, part, k).agg(F.avg("score").alias("mean_score"), F.count("*").alias("queries")).select(F.lit(n).alias("size"), "mean_score", "queries")
+        one = K.knn_sparse(query, part, k, query_ids).agg(F.avg("score").alias("mean_score"), F.count("*").alias("queries")).select(F.lit(n).alias("size"), "mean_score", "queries")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def sweep(tokens: DataFrame, transforms: list[str], ks: list[int]) -> DataFrame:
-    """CAL11: mean benign and attack test scores by weighting and k."""
+def sweep(tokens: DataFrame, transforms: list[str], ks: list[int], flows: DataFrame | None = None) -> DataFrame:
+    """CAL11: mean benign and attack test scores by weighting and k; `flows` (flow_id, split, label) also holds those without tokens."""
     out = None
     for t in transforms:
         w = T.token_weights(tokens, t, "l2")
         memory = w.where("split = 'train' AND label = 'BENIGN'").select(F.col("flow_id").alias("mid"), "token", "w")
         query = w.where("split = 'test'").select(F.col("flow_id").alias("id"), "token", "w")
-        meta = tokens.where("split = 'test'").select(F.col("flow_id").alias("id"), "label").distinct()
+        meta = (tokens if flows is None else flows).where("split = 'test'").select(F.col("flow_id").alias("id"), "label").distinct()
         for k in ks:
-            one = K.knn_sparse(query, memory, k).join(meta, "id").groupBy("label").agg(F.avg("score").alias("mean_score")).select(F.lit(t).alias("transform"), F.lit(k).alias("k"), "label", "mean_score")
+            one = K.knn_sparse(query, memory, k, meta).join(meta, "id").groupBy("label").agg(F.avg("score").alias("mean_score")).select(F.lit(t).alias("transform"), F.lit(k).alias("k"), "label", "mean_score")
             out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,29 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def knn_sparse(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+def knn_sparse(query: DataFrame, memory: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame:
     """JOI13: mean of the k smallest cosine distances of sparse unit rows (id, token, w) to a memory (mid, token, w).
 
     Only pairs that share a token are made (join on token, partial sums); all others are at distance exactly 1, which pads a query
-    that meets fewer than k. With fewer than k memory rows the mean is over those. Returns (id, score).
+    that meets fewer than k. With fewer than k memory rows the mean is over those. `ids` (id) names all queries: one without a
+    known token has no row in `query` and is at distance 1 of everything. Returns (id, score).
     """
     dots = query.join(memory.withColumnRenamed("w", "m"), "token").groupBy("id", "mid").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
     near = dots.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k)
     by = near.groupBy("id").agg(F.sum(1 - F.col("dot")).alias("d"), F.count("*").alias("met"))
     n = memory.agg(F.least(F.lit(k), F.count_distinct("mid")).alias("k_"))
-    rows = query.select("id").distinct().join(by, "id", "left").crossJoin(F.broadcast(n))
+    rows = (query if ids is None else ids).select("id").distinct().join(by, "id", "left").crossJoin(F.broadcast(n))
     met = F.least(F.coalesce("met", F.lit(0)), F.col("k_"))
     return rows.select("id", ((F.coalesce("d", F.lit(0.0)) + (F.col("k_") - met)) / F.col("k_")).alias("score"))
 
 
-def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int) -> DataFrame:
-    """JOI14: candidates by summed idf of shared tokens (ties to the smaller id), then exact distances among them only."""
+def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, ids: DataFrame | None = None) -> DataFrame:
+    """JOI14: candidates by summed idf of shared tokens (ties to the smaller id), then exact distances among them only. A query
+    without candidates, `ids` (id) naming those without a row, is scored against all of the memory: every distance is 1."""
     n = memory.agg(F.count_distinct("mid").alias("n"))
     idf = memory.groupBy("token").agg(F.count_distinct("mid").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     pairs = query.join(memory.withColumnRenamed("w", "m").join(idf, "token"), "token").groupBy("id", "mid").agg(F.sum("idf").alias("shared"), F.sum(F.col("w") * F.col("m")).alias("dot"))
     kept = pairs.withColumn("c", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "mid"))).where(F.col("c") <= candidates)
     near = kept.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k)
-    return near.groupBy("id").agg(F.avg(1 - F.col("dot")).alias("score"), F.count("*").alias("neighbours"))
+    met = near.groupBy("id").agg(F.avg(1 - F.col("dot")).alias("score"), F.count("*").alias("neighbours"))
+    rows = (query if ids is None else ids).select("id").distinct().join(met, "id", "left").crossJoin(F.broadcast(n)).where("n > 0")
+    return rows.select("id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("neighbours", F.least(F.lit(k), F.col("n"))).alias("neighbours"))
 
 
 def dot(a, b):

@@ -48,6 +48,13 @@ DOCS = """docs AS (SELECT d.doc_id AS flow_id, CASE WHEN d.doc_id % 5 < 3 THEN '
 tok AS (SELECT flow_id, split, label, service, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM docs))"""
 
 
+def flow_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(flow_id, split, label) of the documents with labels, those without a token included."""
+    d = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    part = F.col("doc_id") % 5
+    return d.select(F.col("doc_id").alias("flow_id"), F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), F.when(F.col("quality") == 1, "BENIGN").otherwise("ATTACK").alias("label"))
+
+
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
     d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     part = F.col("doc_id") % 5
