@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of code points other than the six ASCII white-space characters.
@@ -32,16 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Rows that go to Python at once: texts can be long, and a worker holds several copies of a batch.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to Python at once: texts can be long, and a worker holds several copies of a batch.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, BATCH_ROWS)
-    return df
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH_LIMITS. Jobs (the queries and the pipeline's stages) call
+    this where they start; operators leave the session as it is."""
+    for key, most in BATCH_LIMITS.items():
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, most)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -112,16 +113,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A bounded sample to learn from: (doc_id, text, label) of at most `per_class` labelled learning rows of each class.
 
-    Labels under a hash threshold that follows the class's size are ranked and cut at `per_class`; that list,
-    bounded by the parameter, is broadcast to the documents, so no text is shuffled but the sample's. Rows with a null id,
-    text or label and held-out rows teach nothing; of rows with one id, one is used.
+    Of the labels under a hash threshold that follows the class's size, each class's `per_class` lowest hashes are taken
+    (a partial top-k in each task); that list, bounded by the parameter, is broadcast to the documents, so no text is
+    shuffled but the sample's. Rows with a null id, text or label and held-out rows teach nothing; of rows with one id, one is used.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where(~held_out()).withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 63) - 1)))
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
     cut = counts.select("label", F.expr(f"cast(least(1.0D, 2.0D * {per_class} / n) * 9223372036854775807D as bigint)").alias("cut"))
     near = rows.join(F.broadcast(cut), "label").where("h <= cut").groupBy("doc_id", "h").agg(F.max("label").alias("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
-    ids = near.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "label")
+    classes = [r.label for r in counts.collect()]
+    ids = reduce(DataFrame.unionAll, [near.where(F.col("label") == c).orderBy("h", "doc_id").limit(per_class) for c in classes], near.limit(0)).select("doc_id", "label")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

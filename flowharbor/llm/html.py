@@ -16,19 +16,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, staged, table
+from .common import bounded_batches, staged, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
 RAW = frozenset("script style noscript template svg textarea title iframe object select".split())
 #: Boilerplate by tag, by ARIA role and by words of class or id.
-SKIP_TAGS = frozenset("nav header footer aside form button dialog menu head figure".split()) - {"figure"}
+SKIP_TAGS = frozenset("nav header footer aside form button dialog menu head".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side "
     "footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup share sharing social related recommended "
     "recommendations comment comments commentlist respond reply replies disqus pagination pager widget widgets toolbar login search tags skip".split()
 )
+#: Words that say nothing beside one of SKIP_WORDS: comment-list is boilerplate, share-price may not be.
+NEUTRAL_WORDS = frozenset(
+    "list area box container wrap wrapper section block content item items body links link slot unit user reader site page inner outer left right top bottom bar "
+    "thread count button buttons icons article post posts entry story blog".split()
+)
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -41,9 +46,10 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
     "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"}),
 }
-#: An element's own words that make its path generalise: digits are dropped.
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: A quote opens a value only behind =, and only if it is closed; else the tag ends at the next >.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
+_MARKED = re.compile(r">(article|main)(\.[^>]*)?$")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -84,19 +90,26 @@ def _skipped(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def _suspect(tag: str, attributes: dict[str, str]) -> str:
-    """"sure" if a whole class or id consists of boilerplate words, "maybe" if one has some (has-comments), else nothing."""
+    """"sure" if a whole class or id consists of boilerplate words, beside neutral ones; "maybe" if one has some
+    (has-comments, share-price); else nothing."""
     if tag in ("body", "html", "main", "article"):
         return ""
     names = [_words(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
-    if any(x and x <= SKIP_WORDS for x in names):
+    if any(x - NEUTRAL_WORDS and x - NEUTRAL_WORDS <= SKIP_WORDS for x in names):
         return "sure"
     return "maybe" if any(not SKIP_WORDS.isdisjoint(x) for x in names) else ""
 
 
-def _boilerplate(suspects: list[str], marked: list[tuple[int, ...]], sizes: dict[tuple[int, ...], int]) -> set[int]:
+def _boilerplate(suspects: list[tuple[str, bool]], marked: list[tuple[int, ...]], sizes: dict[tuple[int, ...], int], links: dict[tuple[int, ...], int]) -> set[int]:
     """The suspects that are boilerplate. One that holds the page's only article or main is a wrapper, and so is a "maybe" one
-    beside which hardly any text would be kept. `marked` and `sizes` are by the suspects around an article and a text."""
-    active = set(range(len(suspects)))
+    beside which hardly any text would be kept. A "maybe" one inside an article or main is judged by what it holds: it stays
+    unless half its text is links. `marked`, `sizes` and `links` are by the suspects around an article, a text and its links."""
+    active = set()
+    for i, (why, within) in enumerate(suspects):
+        held, linked = (sum(n for around, n in x.items() if i in around) for x in (sizes, links))
+        if why == "sure" or not within or 2 * linked >= held:
+            active.add(i)
+    suspects = [why for why, _ in suspects]
     for i in sorted(active, key=lambda i: (suspects[i] == "sure", i)):
         elsewhere = any(i not in around and active.isdisjoint(around) for around in marked)
         inner = sum(n for around, n in sizes.items() if i in around)
@@ -179,7 +192,7 @@ def parse(source: str | None) -> Page:
         skip, inside = above[1] or _skipped(tag, attributes), above[3]
         within, why = above[5], _suspect(tag, attributes)
         if why and not skip:
-            suspects.append(why)
+            suspects.append((why, any(_MARKED.search(page.containers[i].path) for i in inside)))
             within = (*within, len(suspects) - 1)
         if tag in CONTAINERS and not skip:
             page.containers.append(Container(path, len(inside), above=inside))
@@ -191,15 +204,16 @@ def parse(source: str | None) -> Page:
     return _settled(page, blocks, suspects, around)
 
 
-def _settled(page: Page, blocks: list, suspects: list[str], around: list[tuple[int, ...]]) -> Page:
+def _settled(page: Page, blocks: list, suspects: list[tuple[str, bool]], around: list[tuple[int, ...]]) -> Page:
     """The page without the suspects that are boilerplate."""
-    sizes, held = {}, set()
+    sizes, links, held = {}, {}, set()
     for pieces, inside in blocks if suspects else ():
-        for raw, _, within in pieces:
+        for raw, linked, within in pieces:
             sizes[within] = sizes.get(within, 0) + len(raw.strip())
+            links[within] = links.get(within, 0) + linked
             held.update(inside if raw.strip() else ())
-    marked = [around[i] for i in sorted(held) if re.search(r">(article|main)(\.[^>]*)?$", page.containers[i].path)]
-    gone = _boilerplate(suspects, marked, sizes)
+    marked = [around[i] for i in sorted(held) if _MARKED.search(page.containers[i].path)]
+    gone = _boilerplate(suspects, marked, sizes, links)
     kept = [i for i, within in enumerate(around) if gone.isdisjoint(within)]
     place = {old: new for new, old in enumerate(kept)}
     out = Page(containers=[page.containers[i] for i in kept])
@@ -225,7 +239,7 @@ def best(page: Page) -> Container | None:
     whose own blocks belong to the text; a semantic article or main element goes before others."""
     if not page.containers:
         return None
-    marked = [c for c in page.containers if re.search(r">(article|main)(\.[^>]*)?$", c.path) and c.text]
+    marked = [c for c in page.containers if _MARKED.search(c.path) and c.text]
     pool = marked or page.containers
     top = max(c.score() for c in pool)
     chosen = max((c for c in pool if c.score() >= 0.9 * top - 1e-9), key=lambda c: (c.depth, c.score()))
@@ -270,7 +284,9 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """pages plus `main_text` (empty for a null or textless page); a column of that name is replaced.
 
     Votes are (host, path) sums, partly added up before they are shuffled, and one winner a host is joined back to pages
-    as a column; a hot host's pages are not gathered. Pages without a host share the null one.
+    as a column; a hot host's pages are not gathered. Of paths with equal votes the higher sum of scores wins, then the
+    first by name. Pages without a host share the null one; repeated rows vote and are extracted each; an empty table
+    gives no rows.
     """
     own = [F.col(f"`{c}`") for c in pages.columns if c.lower() != "main_text"]
     host = F.lower(F.regexp_extract(F.col(url_col), _HOST, 1))
@@ -288,10 +304,11 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     sums = votes.groupBy("__host", F.col("v.path").alias("path")).agg(F.count("*").alias("n"), F.sum("v.score").alias("score"))
     first = F.row_number().over(Window.partitionBy("__host").orderBy(F.desc("n"), F.desc(F.round("score", 3)), "path"))
     winners = staged(sums.withColumn("nth", first).where("nth = 1").select(F.col("__host").alias("__voter"), F.col("path").alias("__path")), "paths")
-    joined = in_small_batches(pages).select(*own, host.alias("__host")).join(winners, F.col("__host").eqNullSafe(F.col("__voter")), "left")
+    joined = pages.select(*own, host.alias("__host")).join(winners, F.col("__host").eqNullSafe(F.col("__voter")), "left")
     return joined.select(*own, take(F.col(html_col), F.col("__path")).alias("main_text"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))

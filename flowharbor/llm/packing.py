@@ -9,87 +9,167 @@ are. Pieces take their places by their rank within their length.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
-import struct
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, staged, table
+from .common import SPACE_PATTERN, bounded_batches, staged, table
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers; then it starts anew.
-REMEMBERED = 120_000
+#: Runs of letters or marks whose ids a worker remembers, twice: those met since it last began anew, and those met in the round before.
+REMEMBERED = 100_000
+#: Characters split into words at once, and runs merged at once: what a worker holds beside its batch.
+STRETCH = 1 << 20
+MERGED = 2000
 #: Pieces of one length aimed at in one salted bucket, which one task ranks.
 BUCKET_ROWS = 50_000
+#: Words of these characters lower-case letter by letter, and splitting parts them between letters and marks only.
+_MARK = r"!-&(-/:;=?@\[\]^_{|}"
+_PLAIN = rf"A-Za-zÀ-ÖØ-öø-ÿ{_MARK}"
+_MARKS = re.compile(f"[{_MARK}]+")
+_ODD = re.compile(rf"[^{_PLAIN}\x20\x09-\x0D]")
+#: A word with another character, found in one pass.
+_STRANGE = re.compile(rf"(?<![^\x20\x09-\x0D])[{_PLAIN}]*+[^{_PLAIN}\x20\x09-\x0D][^\x20\x09-\x0D]*+")
+_SPACE = re.compile(SPACE_PATTERN)
 #: The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the code points from 256 on.
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
-#: Letters that lower-case one by one, then marks that are no letters, digits or apostrophes.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[\]^_{|}]*)")
+_LETTERS = {chr(c): chr(c).encode().decode("latin-1").translate(_BYTE_LEVEL) for c in range(0xC0, 0x100)}
+#: The text steps of a tokenizer whose ids are those of its words in turn.
+WORD_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 @functools.cache
-def _tokenizer(name: str):
+def _tokenizers(name: str):
+    """The tokenizer, one that only merges lower-case runs between spaces, and which ids end a run; two times None where the
+    file has other steps than WORD_STEPS, so that words cannot be encoded apart from their texts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     import public_tokenizers
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+    with open(name if "/" in name else public_tokenizers.path(name), encoding="utf-8") as file:
+        source = file.read()
+    spec, full = json.loads(source), Tokenizer.from_str(source)
+    suffix = spec["model"].get("end_of_word_suffix")
+    if (spec["normalizer"], spec["pre_tokenizer"]) != WORD_STEPS or not suffix or spec["post_processor"] or any(not {"<", ">"} & set(x["content"]) for x in spec["added_tokens"]):
+        return full, None, None
+    merges = Tokenizer(full.model)
+    merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ends = np.zeros(full.get_vocab_size(), bool)
+    ends[[i for token, i in full.get_vocab(False).items() if token.endswith(suffix)]] = True
+    return full, merges, ends
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit bytes. The vocabulary drops white space and no merge or
-    normalisation crosses it, so a text's ids are those of its words in turn, each encoded once and remembered. Nor
-    does a merge cross from letters to marks after them, so a plain word's ids are those of its lower-cased letters, then of its marks."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, name: str = TOKENIZER):
-        self.encoder, self.known, self.older = _tokenizer(name), {}, {}
-        self.merge = self.encoder.model.tokenize
-
-    def piece(self, text: str) -> bytes:
-        """Ids of letters or of marks alone: what normalisation and splitting leave as it is goes straight to the merges."""
-        ids = [t.id for t in self.merge(text.encode().decode("latin-1").translate(_BYTE_LEVEL))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    Under WORD_STEPS white space is dropped and neither normalisation nor a merge crosses it, so a text's ids are those of
+    its words in turn. Plain words need no normalisation but lower case and part into runs of letters and of marks;
+    each distinct run is merged once, many at a time, and remembered for a while. Other words go through the whole
+    tokenizer, and a tokenizer with other steps encodes whole texts.
+    """
 
-    def learn(self, words: set[bytes]) -> None:
-        """Know all these words; at REMEMBERED, forget those not met since the last time."""
+    def __init__(self, name: str = TOKENIZER):
+        self.full, self.merges, self.ends = _tokenizers(name)
+        self.known, self.older = {"": b""}, {}
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        if self.merges is None:
+            for t in texts:
+                yield _packed(self.full.encode(t, add_special_tokens=False).ids)
+            return
+        at = 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and (not some or size + len(texts[at]) <= STRETCH):
+                some.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            yield from self._stretch(some) if size <= STRETCH else [self._long(some[0])]
+
+    def _long(self, text: str) -> bytes:
+        """Cut at white space into stretches that fit, beside single words that don't."""
+        out, at = [], 0
+        while at < len(text):
+            found = _SPACE.search(text, at + STRETCH)
+            end = found.start() if found else len(text)
+            out += self._stretch([text[at:end]])
+            at = end
+        return b"".join(out)
+
+    def _stretch(self, texts: list[str]) -> list[bytes]:
+        strange: set[str] = set()
+        parted = pc.ascii_split_whitespace(pa.array([_parted(t, strange) for t in texts], pa.string()))
+        coded = parted.values.dictionary_encode()
+        runs, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = self._learn(runs, strange)
+        ids = [known[x] for x in runs]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends, each = np.cumsum(sizes), sizes[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(ends[at] - upto[1:], each) + np.arange(upto[-1])]
+        cuts = upto[parted.offsets.to_numpy()].tolist()
+        return [flat[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
+
+    def _learn(self, runs: list[str], strange: set[str]) -> dict[str, bytes]:
+        """The ids of all these runs among others; beyond REMEMBERED, forgets those not met since the last time."""
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older, rest = self.known, self.older, []
-        for w in words:
-            if (ids := older.get(w)) is None:
-                if not (plain := _PLAIN.fullmatch(w.decode("utf-8", "surrogatepass"))):
-                    rest.append(w)
-                    continue
-                letters, marks = plain.groups()
-                ids = b""
-                for x in (letters.lower(), marks):
-                    if x:
-                        if (got := known.get(key := x.encode())) is None:
-                            got = known[key] = older.get(key) or self.piece(x)
-                        ids += got
-            known[w] = ids
-        for w, got in zip(rest, self.encoder.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in rest], add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            old = self.known
-            self.learn(new)
-            if self.known is not old:
-                self.learn(set().union(*split).difference(self.known))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.known, self.older = {"": b""}, self.known
+        known, older, fresh = self.known, self.older, []
+        for x in runs:
+            if x in known:
+                continue
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+            elif x in strange:
+                known[x] = _packed(self.full.encode(x, add_special_tokens=False).ids)
+            else:
+                fresh.append(x)
+        for at in range(0, len(fresh), MERGED):
+            some = fresh[at : at + MERGED]
+            text = " ".join(some)
+            for letter in _LETTERS.keys() & set(text):
+                text = text.replace(letter, _LETTERS[letter])
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw, start = ids.tobytes(), 0
+            for x, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                known[x] = raw[start:end]
+                start = end
+        return known
+
+
+def _parted(text: str, strange: set[str]) -> str:
+    """The text's runs in lower case between white space, and as they are its strange words, which are added to `strange`."""
+    if not _ODD.search(text):
+        return _MARKS.sub(r" \g<0> ", text.lower())
+    out, at = [], 0
+    for m in _STRANGE.finditer(text):
+        out += [_MARKS.sub(r" \g<0> ", text[at : m.start()].lower()), m[0]]
+        strange.add(m[0])
+        at = m.end()
+    return " ".join([*out, _MARKS.sub(r" \g<0> ", text[at:].lower())])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 @functools.cache
@@ -108,14 +188,13 @@ def tokenized(docs: DataFrame, text_col: str = "text", capacity: int = CAPACITY,
         encode = _word_ids(tokenizer)
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 256):
-                for ids in encode([t or "" for t in texts.iloc[at : at + 256]]):
-                    ids += end
-                    out.append([ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)])
+            for ids in encode([t or "" for t in texts]):
+                ids += end
+                out.append([ids[i : i + 4 * capacity] for i in range(0, len(ids), 4 * capacity)])
             yield pd.Series(out)
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    cutted = in_small_batches(docs).select(*rest, F.posexplode(cut(F.col(text_col))).alias("piece", "ids"))
+    cutted = docs.select(*rest, F.posexplode(cut(F.col(text_col))).alias("piece", "ids"))
     return cutted.select(*rest, "piece", (F.col("piece").cast("long") * capacity).alias("start"), (F.length("ids") / 4).cast("long").alias("length"), "ids")
 
 
@@ -221,4 +300,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return pack_documents(table(spark, sf_dir, "documents"), keep_ids=False)

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, in_small_batches, staged, table
+from .common import bounded_batches, components, discard, staged, table
 
 SEED = 42
 BITS = 64
@@ -31,7 +31,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-SALTS = 16
+#: Shingles aimed at in a block of a large bucket's sets.
+BLOCK_SHINGLES = 200_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -62,7 +63,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", w
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, width, seed)) for t in texts], dtype="int64")
 
-    return in_small_batches(docs).withColumn(out, udf(F.col(text_col)))
+    return docs.withColumn(out, udf(F.col(text_col)))
 
 
 def cover(mask: int, radius: int = RADIUS) -> list[int]:
@@ -82,25 +83,32 @@ def levels(radius: int = RADIUS, bucket: int = BUCKET) -> list[dict[int, list[in
     return out
 
 
+def _forest(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges that span the components of a symmetric relation: fewer than its members."""
+    a, b, seen = [], [], np.zeros(len(near), bool)
+    for root in range(len(near)):
+        edge = [] if seen[root] else [root]
+        seen[root] = True
+        while edge:
+            i = edge.pop()
+            new = np.flatnonzero(near[i] & ~seen).tolist()
+            seen[new] = True
+            a += [i] * len(new)
+            b += new
+            edge += new
+    return a, b
+
+
 def _spanning(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each bucket's fingerprints, edges that span what links within the radius join: fewer than its members."""
+    """Of each bucket's fingerprints, edges that span what links within the radius join."""
     for pdf in batches:
-        a, b = [], []
+        a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
         for fps in pdf["fps"]:
             x = np.unique(np.asarray(fps, np.int64)).view(np.uint64)
-            near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-            seen = np.zeros(len(x), bool)
-            for root in range(len(x)):
-                edge = [] if seen[root] else [root]
-                seen[root] = True
-                while edge:
-                    i = edge.pop()
-                    new = np.flatnonzero(near[i] & ~seen)
-                    seen[new] = True
-                    a += [x[i]] * len(new)
-                    b += x[new].tolist()
-                    edge += new.tolist()
-        yield pd.DataFrame({"a": np.array(a, np.uint64).view(np.int64), "b": np.array(b, np.uint64).view(np.int64)})
+            i, j = _forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
+            a.append(x[i])
+            b.append(x[j])
+        yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
 
 def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -141,6 +149,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -182,75 +191,107 @@ def _sketched(texts: DataFrame, width: int) -> DataFrame:
         sids = [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) if len(x) else 0 for x in sets]
         return pd.DataFrame({"sid": np.array(sids, np.int64), "n": np.array([len(x) for x in sets], np.int32), "keys": [band_keys(x).view(np.int64) for x in sets]})
 
-    return in_small_batches(texts).withColumn("s", udf(F.col("text")))
+    return texts.withColumn("s", udf(F.col("text")))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity, counted over all their shingles, reaches `similarity`."""
+def _shingled(wanted: DataFrame, sets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(sid, x): the shingle hashes of the wanted sets, from one text of each."""
 
     @F.pandas_udf("array<long>")
     def udf(column: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).view(np.int64) for t in column], dtype=object)
 
+    one = texts.join(sets.join(wanted.distinct(), "sid").select("sid", "h"), "h").groupBy("sid").agg(F.min("text").alias("text"))
+    return staged(one.select("sid", udf(F.col("text")).alias("x")), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity, counted over all their shingles, reaches `similarity`."""
     pairs = staged(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    one = texts.join(sets.join(wanted, "sid").select("sid", "h"), "h").groupBy("sid").agg(F.min("text").alias("text"))
-    shingles = staged(one.select("sid", udf(F.col("text")).alias("x")), "shingles")
+    shingles = _shingled(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))), sets, texts, width)
     both = pairs.join(shingles.withColumnRenamed("sid", "a"), "a").join(shingles.withColumnsRenamed({"sid": "b", "x": "y"}), "b")
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"))
-    return staged(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b"), "similar")
+    out = staged(common.where(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select("a", "b"), "similar")
+    discard(pairs)
+    discard(shingles)
+    return out
+
+
+def _block_links(similarity: float, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning edges between the similar sets of two blocks of a bucket (or of one with itself), from shared shingles
+    counted for all their pairs by matrix products over stretches of the shingles that occur twice."""
+    sets = [np.asarray(x, np.int64) for x in pdf["x"]]
+    n, owner = np.array([len(x) for x in sets], float), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = times > 1
+    place, kept = np.cumsum(twice) - 1, twice[code]
+    code, owner = place[code][kept], owner[kept]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(twice.sum()), 2048):
+        part = (code >= low) & (code < low + 2048)
+        held = np.zeros((len(sets), 2048), np.float32)
+        held[owner[part], code[part] - low] = 1
+        common += held @ held.T
+    i, j = _forest(common >= similarity * (n[:, None] + n[None, :] - common) - 1e-6)
+    ids = pdf["sid"].to_numpy()
+    return pd.DataFrame({"a": ids[i], "b": ids[j]})
 
 
 def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between sets (sid, n, keys, h) with the components of all pairs that share a band and are similar.
 
-    Pairs of a bucket of at most `bucket` sets are all counted. In a larger one each set meets one hub; where that
-    leaves more than one component, all its pairs of different components are counted, so no bucket is capped.
+    In each bucket every set first meets one hub. Where that leaves several components, the pairs between them follow:
+    one by one in a bucket of up to `bucket` sets, and in a larger one between blocks of about BLOCK_SHINGLES
+    shingles, each pair of blocks in a task of its own that gives only spanning edges. No bucket is capped, and no
+    task holds more than two blocks; the work in a bucket that stays in several components grows with its square.
     """
     keyed = sets.select("sid", "n", F.posexplode("keys").alias("band", "k"))
-    sizes = keyed.groupBy("band", "k").agg(F.count("*").alias("c"), F.min_by("sid", F.xxhash64("sid", "band", "k")).alias("hub")).where("c > 1")
-    shared = staged(keyed.join(sizes, ["band", "k"]), "buckets")
+    hub = F.min_by(F.struct("sid", "n"), F.xxhash64("sid", "band", "k"))
+    sizes = keyed.groupBy("band", "k").agg(F.count("*").alias("c"), F.sum("n").alias("held"), hub.alias("hub")).where("c > 1")
+    shared = staged(keyed.join(sizes, ["band", "k"]).select("band", "k", "c", "held", "sid", "n", F.col("hub.sid").alias("hub"), F.col("hub.n").alias("m")), "buckets")
     fits = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
-    small = shared.where(F.col("c") <= bucket).select("band", "k", F.col("sid").alias("a"), "n")
-    other = small.withColumnsRenamed({"a": "b", "n": "m"})
-    pairs = small.join(other, ["band", "k"]).where(F.col("a") < F.col("b")).where(fits).select("a", "b")
-    large = shared.where(F.col("c") > bucket)
-    hubs = large.where("sid <> hub").select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
-    found = _similar(pairs.unionByName(hubs), sets, texts, similarity, width)
-    if large.isEmpty():
-        return found
+    hubs = shared.where("sid <> hub").where(fits).select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"))
+    found = _similar(hubs, sets, texts, similarity, width)
     roots = components(found).withColumnsRenamed({"node": "sid", "root": "r"})
-    named = large.select("band", "k", "sid", "n").join(roots, "sid", "left").withColumn("r", F.coalesce("r", "sid"))
+    named = shared.where("c > 2").join(roots, "sid", "left").withColumn("r", F.coalesce("r", "sid"))
     split = named.groupBy("band", "k").agg(F.min("r").alias("r0"), F.max("r").alias("r1")).where("r0 < r1").select("band", "k")
-    left = staged(named.join(split, ["band", "k"]), "split")
-    mine = left.select("band", "k", F.col("sid").alias("a"), "n", F.col("r").alias("ra"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)).alias("salt"))
-    theirs = left.select("band", "k", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("r").alias("rb"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
-    across = mine.join(theirs, ["band", "k", "salt"]).where("a < b and ra <> rb").where(fits).select("a", "b")
-    return found.unionByName(_similar(across, sets, texts, similarity, width))
+    left = staged(named.join(split, ["band", "k"]).drop("m"), "split")
+    discard(shared)
+    small = left.where((F.col("c") <= bucket) & (F.col("sid") != F.col("hub"))).select("band", "k", F.col("sid").alias("a"), "n", "r")
+    other = small.withColumnsRenamed({"a": "b", "n": "m", "r": "s"})
+    pairs = small.join(other, ["band", "k"]).where("a < b and r <> s").where(fits).select("a", "b")
+    found = found.unionByName(_similar(pairs, sets, texts, similarity, width))
+    large = left.where(F.col("c") > bucket)
+    if large.isEmpty():
+        return found
+    blocks = F.ceil(F.col("held") / BLOCK_SHINGLES)
+    mine = large.withColumn("g", F.pmod(F.xxhash64("sid"), blocks)).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = mine.select("band", "k", F.least("g", "t").alias("lo"), F.greatest("g", "t").alias("hi"), "sid")
+    shingles = _shingled(large.select("sid"), sets, texts, width)
+    across = met.join(shingles, "sid").groupBy("band", "k", "lo", "hi").applyInPandas(lambda pdf: _block_links(similarity, pdf), "a long, b long")
+    return found.unionByName(staged(across.distinct(), "across"))
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one of smallest (id, text hash); all columns stay.
+    """docs with one row of each near-duplicate group: the one of smallest (id, text hash), null ids last; all columns stay.
 
     Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`; bands of
-    min-hashes propose the pairs, and their shingles are counted in full. Wordless and null texts are one group.
+    min-hashes propose the pairs, and their shingles are counted in full. Wordless and null texts are one group. Of rows
+    with equal id and text the one whose columns hash lowest stays. An empty table gives no rows.
     """
-    mine = "__near_dup_key"
-    digest = F.xxhash64(F.col(text_col))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     slim = staged(_sketched(texts, width).select("doc_id", "h", "s.*"), "sketches")
-    sets = staged(slim.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    sets = staged(slim.groupBy("sid").agg(first.alias("first"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys")), "sets")
     discard(slim)
     roots = components(similar_links(sets, texts.select("h", "text"), similarity, width, bucket)).withColumnsRenamed({"node": "sid", "root": "r"})
-    first = sets.join(roots, "sid", "left").groupBy(F.coalesce("r", "sid").alias("r")).agg(F.min("first").alias("first"))
-    winners = first.select(F.xxhash64(F.col("first.doc_id"), F.col("first.h")).alias(mine), F.col("first.doc_id").alias("__id"), F.col("first.h").alias("__h"))
-    rows = docs.withColumn(mine, F.xxhash64(F.col(id_col), digest))
-    kept = rows.join(winners, (rows[mine] == winners[mine]) & rows[id_col].eqNullSafe(winners["__id"]) & (F.xxhash64(rows[text_col]) == winners["__h"]), "left_semi")
-    return once(kept, mine).select(*[F.col(f"`{c}`") for c in docs.columns])
-
+    least = sets.join(roots, "sid", "left").groupBy(F.coalesce("r", "sid").alias("r")).agg(F.min("first").alias("first"))
+    key = ["__near_dup_id", "__near_dup_none", "__near_dup_text"]
 
-def once(df: DataFrame, key: str) -> DataFrame:
-    """One row of each value of key."""
-    from pyspark.sql import Window
+    def keyed(i: str, h) -> list:
+        return [F.coalesce(F.col(i).cast("string"), F.lit("")).alias(key[0]), F.col(i).isNull().alias(key[1]), h.alias(key[2])]
 
-    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where("__nth = 1").drop("__nth", key)
+    rows = docs.select("*", *keyed(id_col, F.xxhash64(F.col(text_col)))).join(least.select(*keyed("first.doc_id", F.col("first.h"))), key, "left_semi")
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    return rows.withColumn("__near_dup_nth", nth).where("__near_dup_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

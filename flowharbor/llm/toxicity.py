@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, labelled_sample, staged, table
+from .common import bounded_batches, labelled_sample, staged, table
 
 #: Learning rows of each label at most, terms kept as features, and the least share of the toxic ones that a term must be in.
 PER_CLASS = 6000
@@ -126,7 +126,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
         return pd.Series([_marked(t, marks) for t in texts])
 
     grade = F.when(F.col("label") == 0, 0).otherwise(1 + sum((marked("text") >= x).cast("int") for x in SEVERE))
-    got = sample.select("doc_id", positions("text").alias("x"), grade.alias("g")).orderBy("doc_id").collect()
+    got = sorted(sample.select("doc_id", positions("text").alias("x"), grade.alias("g")).collect(), key=lambda r: (r.doc_id, r.g))
     weights, cuts = fit([(r.x, r.g) for r in got], len(index))
     return Ordinal(index, weights, cuts)
 
@@ -142,22 +142,25 @@ def _severity(model: Ordinal, text_col: str) -> Column:
 
 
 def accepted(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
-    """The rows of docs that scored() does not reject, with the columns of docs."""
-    return in_small_batches(docs).withColumn("__tox", _severity(model, text_col)).where(F.col("__tox.probability") < REJECT).drop("__tox")
+    """The rows of docs that scored() does not reject, with the columns of docs. A probability equal to REJECT rejects;
+    null and empty texts stay, repeated rows share one fate, and an empty table gives no rows."""
+    return docs.withColumn("__tox", _severity(model, text_col)).where(F.col("__tox.probability") < REJECT).drop("__tox")
 
 
 def scored(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """docs plus `tox_severity` (expected grade, 0 to 3), `tox_probability` (of a grade above 0) and `tox_rejected`.
 
-    Null and empty texts have no feature. Columns of docs with these names are replaced.
+    Null and empty texts have no feature. Equal texts, so also repeated rows, score alike and stay rows of their own; an
+    empty table gives no rows. Columns of docs with these names are replaced.
     """
     made = ("tox_severity", "tox_probability", "tox_rejected")
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
-    out = in_small_batches(docs).select(*own, _severity(model, text_col).alias("__tox"))
+    out = docs.select(*own, _severity(model, text_col).alias("__tox"))
     return out.select(*own, F.col("__tox.severity").alias(made[0]), F.col("__tox.probability").alias(made[1]), (F.col("__tox.probability") >= REJECT).alias(made[2]))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     out = scored(docs.select("doc_id", "text"), model)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -17,22 +18,6 @@ def test_escape_round_trip(text, role):
     assert not any(c in chat.role_name(role) for c in chat.CONTROL) and "\n" not in chat.role_name(role)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a\nb"]), texts), min_size=1, max_size=12), st.integers(1, 60), st.integers(0, 30))
-def test_windows_cover_each_turn_once(turns, budget, history):
-    got = list(chat.windows(iter([(1, r, t) for r, t in turns]), budget, history))
-    read, loss = [], []
-    for n, (_, window, first, context, text, starts, ends) in enumerate(got):
-        parts = [(chat.role_of(m[1]), chat.unescaped(m[2])) for m in chat._TURN.finditer(text)]
-        assert window == n and first == len(read)
-        assert sum(len(m[0]) for m in chat._TURN.finditer(text)) == len(text)
-        if n and turns[0][0] == "system":
-            assert parts[0] == turns[0]
-        read += parts[context:]
-        loss += [chat.unescaped(text[s:e]) for s, e in zip(starts, ends)]
-    assert read == turns and loss == [t for r, t in turns if r == "assistant"]
-
-
 def expected(rows):
     by = {}
     for c, turn, role, text in rows:
@@ -45,16 +30,50 @@ def expected(rows):
     return out
 
 
-def test_read_back(spark):
+def odd_rows():
     rng = random.Random(2)
     rows = [(c, t, rng.choice(["user", "assistant", None]) if t else "system", " ".join(rng.choices(["hello", "</s>", "[INST]", "a\nb", "é🙂", "<|im_end|>\n"], k=rng.randint(0, 300)))) for c in range(20) for t in range(rng.randint(1, 25))]
-    rows += [(5, None, "user", None), (5, None, "user", None), (None, 0, "assistant", "x"), (99, 0, None, None), (98, 3, "assistant", "word " * 5000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as window")
+    rows += [(5, None, "user", None), (5, None, "user", None), (None, 0, "assistant", "x"), (None, 1, "user", "y"), (99, 0, None, None), (98, 3, "assistant", "word " * 5000)]
+    rows += [(2**60 + 1, 0, "user", "one"), (2**60 + 3, 0, "assistant", "two"), (97, 0, "system", "rule " * 700), (97, 1, "user", "word " * 900)]
+    rows += [(95, t, rng.choice(["user", "assistant"]) if t else "system", "ab " * rng.randint(1, 6)) for t in range(80)]
+    return rows + [(96, t, rng.choice(["user", "assistant"]), "turn of many " * rng.randint(1, 90)) for t in range(300)]
+
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def test_read_back(spark):
+    rows = odd_rows()
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as window", "'x' as cid", "2 as win")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(chat.formatted(df)).collect()}
     assert got == expected(rows)
-    sizes = [len(chat._TOKEN.findall(r.text)) for r in chat.formatted(df).where("conv_id < 20").collect()]
-    assert len(sizes) > 30
+
+
+@pytest.mark.parametrize("budget,history", [(1024, 256), (90, 20), (12, 3)])
+def test_windows_cover_each_turn_once_within_the_budget(spark, budget, history):
+    rows = odd_rows()
+    out = chat.formatted(spark.createDataFrame(rows, SCHEMA), budget, history).collect()
+    by, said = {}, {c: [(r or "", t or "") for x, _, r, t in rows if x == c] for c in {x[0] for x in rows}}
+    encode = chat.WordIds()
+    for w in out:
+        by.setdefault(w.conv_id, []).append(w)
+    for conv, windows in by.items():
+        turns, at = [], 0
+        for n, w in enumerate(sorted(windows, key=lambda w: w.window)):
+            parts = [(chat.role_of(m[1]), chat.unescaped(m[2])) for m in chat._TURN.finditer(w.text)]
+            assert w.first_turn == len(turns) and sum(len(m[0]) for m in chat._TURN.finditer(w.text)) == len(w.text)
+            fresh, context = parts[w.context_turns :], parts[: w.context_turns]
+            tokens = [len(x) // 4 + chat.FRAME for x in encode([f"{r} {t}" for r, t in parts])]
+            assert sum(tokens) == w.tokens and (w.tokens <= budget or len(fresh) == 1)
+            if n and turns[0][0] == "system" and 2 * next(len(x) // 4 + chat.FRAME for x in encode([" ".join(turns[0])])) <= budget:
+                assert context[0] == turns[0]
+                context = context[1:] if len(context) <= len(turns) and context != turns[-len(context) :] else context
+            assert not context or context == turns[-len(context) :]
+            turns += fresh
+            assert [chat.unescaped(w.text[s:e]) for s, e in zip(w.loss_starts, w.loss_ends)] == [t for r, t in fresh if r == "assistant"]
+        assert len(turns) == len(said[conv]) and sorted(turns) == sorted(said[conv])
+    assert budget != 90 or sum(w.context_turns > 1 for w in out) > 4
 
 
 def test_empty(spark):
-    assert chat.read_back(chat.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+    assert chat.read_back(chat.formatted(spark.createDataFrame([], SCHEMA))).count() == 0

@@ -1,3 +1,6 @@
+import random
+from html import escape
+
 from flowharbor.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -56,3 +59,39 @@ def test_class_words_of_wrappers_skip_no_page():
             source = f'<body><div class="{name}"><div class="sidebar"><p>Popular stories of the week</p></div><{box}><p>{LEAD}</p>{BODY}</{end}>{extra}</div></body>'
             lines = html.extract(source, html.ballot(source)[0]).split("\n")
             assert lines[0] == LEAD and len(lines) == 13, (name, box, lines)
+
+
+def test_words_in_class_names_alone_drop_no_article_text():
+    for name in ("share-price", "side-effects", "search-results-explained"):
+        source = f'<body><article><p>{LEAD}</p><section class="{name}"><p>{CLOSE}</p></section>{BODY}</article></body>'
+        assert html.extract(source, html.ballot(source)[0]).split("\n")[:2] == [LEAD, CLOSE]
+    for name in ("comment-list", "ad-slot", "post-comments", "related"):
+        source = f'<body><article><p>{LEAD}</p><section class="{name}"><p>{CLOSE}</p></section>{BODY}</article></body>'
+        assert CLOSE not in html.extract(source, html.ballot(source)[0])
+    links = f'<body><article><p>{LEAD}</p><div class="more-related-here"><a href="/">{CLOSE}</a></div>{BODY}</article></body>'
+    assert CLOSE not in html.extract(links, html.ballot(links)[0])
+
+
+def test_quotes_open_only_behind_an_equals_sign():
+    for attribute in ("data-x=it's", "data-x='a>b'", 'data-x="a>b"', "it's", 'x"y', "data-x= \"it's > that\"", "data-x='", 'title="'):
+        source = f"<article><p>one</p><p {attribute}>two</p><p>three</p></article>"
+        assert html.extract(source, html.ballot(source)[0]) == "one\ntwo\nthree", attribute
+
+
+def test_generated_pages_give_back_their_articles(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghié&<'\"", k=rng.randint(1, 9)))
+    rows, want = [], {}
+    for i in range(300):
+        blocks = [" ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(rng.randint(1, 12))]
+        box = rng.choice(["article", "main", 'div class="text"'])
+        tag = lambda: rng.choice(["p", "h2", "p class='lead'", "blockquote", "div data-x=it's", "p title=\"a > b\""])
+        inner = "".join(f"<{t}>{rng.choice(['', ' ', chr(10)])}{escape(b).replace(' ', rng.choice([' ', '  ', chr(10)]))}</{t.split()[0]}>" for b in blocks for t in [tag()])
+        noise = [f"<nav><a href='/'>{escape(word())}</a></nav>", f"<div class='sidebar'><a href='/x'>{escape(word())}</a></div>", f"<footer>{escape(word())}</footer>", "<script>if (a < b) '</p>'</script>", "<!-- <p>no</p> -->"]
+        rng.shuffle(noise)
+        rows.append((i, f"http://h{i % 7}.example/{i}", f"<html><body>{''.join(noise[:3])}<{box}>{inner}{noise[3]}</{box.split()[0]}>{noise[4]}</body></html>"))
+        want[i] = "\n".join(blocks)
+    rows.append((1000, "http://h0.example/long", "<article>" + "<p>very long</p>" * 60_000 + "</article>"))
+    want[1000] = "\n".join(["very long"] * 60_000)
+    got = {r.page_id: r.main_text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want

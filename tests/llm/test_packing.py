@@ -7,7 +7,7 @@ from flowharbor.llm import packing
 
 
 def ids_of(text):
-    return packing._tokenizer(packing.TOKENIZER).encode(text or "", add_special_tokens=False).ids
+    return packing._tokenizers(packing.TOKENIZER)[0].encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_ids_equal_whole_text_ids():
@@ -19,6 +19,22 @@ def test_word_ids_equal_whole_text_ids():
         assert np.frombuffer(got, "<u4").tolist() == ids_of(text), repr(text)
 
 
+def test_long_texts_and_forgotten_words(monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    monkeypatch.setattr(packing, "REMEMBERED", 20)
+    rng, encode = random.Random(3), packing.WordIds()
+    texts = [" ".join(rng.choices(["alpha,", "Éta", "don't", "x" * 70, "12", "(b)"] + [f"w{chr(97 + i)}" for i in range(26)], k=n)) for n in (1, 5, 400, 0, 90)]
+    for text, got in zip(texts, encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids_of(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encode = packing.WordIds("byte_bpe_50k.json")
+    full = packing._tokenizers("byte_bpe_50k.json")[0]
+    texts = ["Two  words, and\nmore", "", " é"]
+    assert encode.merges is None and [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_places_every_piece_tightly():
     rng = random.Random(4)
     counts = {n: rng.randint(1, 60) for n in rng.sample(range(1, 2049), 700)}

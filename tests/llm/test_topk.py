@@ -7,14 +7,11 @@ from flowharbor.llm import topk
 
 
 def brute(rows, k=5):
-    seen = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            seen[i, tuple(math.floor(256 * x) for x in v)] = None
+    seen = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in seen:
+    for at, (i, v) in enumerate(seen):
         if i % 50 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in seen if j != i and len(w) == len(v))[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for n, (j, w) in enumerate(seen) if n != at and len(w) == len(v))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -26,13 +23,13 @@ def run(spark, rows):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for name, value in (("DATA_BLOCK", 90), ("QUERY_BLOCK", 4), ("SAMPLE", 40), ("LEAF", 8), ("PIVOTS", 6)):
+    for name, value in (("DATA_BLOCK", 90), ("QUERY_BLOCK", 4), ("SAMPLE", 40), ("LEAF", 8), ("QUERY_LEAF", 3), ("PIVOTS", 6)):
         monkeypatch.setattr(topk, name, value)
     rng = random.Random(1)
     centers = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     rows = [(i, [c + rng.gauss(0, 0.1) for c in rng.choice(centers)]) for i in range(600)]
     rows += [(1000 + i, centers[0]) for i in range(120)]
-    rows += [(50, rows[50][1]), (None, centers[0]), (2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [0.5, 0.25]), (2201, [1.0, 1.0]), (2250, []), (2300, [1e30] * 3), (2301, [1e3, 1.0, 1.0])]
+    rows += [(50, rows[50][1]), (50, rows[50][1]), (50, [0.5] * 6), (None, centers[0]), (2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (2200, [0.5, 0.25]), (2201, [1.0, 1.0]), (2250, []), (2300, [1e30] * 3), (2301, [1e3, 1.0, 1.0])]
     want = [x for x in brute(rows) if abs(x[3]) < 2**62]
     assert [x for x in run(spark, rows) if abs(x[3]) < 2**62] == want and len(want) > 70
 
@@ -43,7 +40,7 @@ def test_nothing_is_pruned_wrongly():
         base = rng.normal(size=(12, 16))
         d = np.floor(256 * (base[rng.integers(0, 12, 3000)] + spread * rng.normal(size=(3000, 16))))
         q = d[::40]
-        s = topk.Search(q, np.arange(0, 3000, 40), d, np.arange(3000), 5)
+        s = topk.Search(q, d, np.arange(3000), 5, np.arange(0, 3000, 40))
         got = s.run()
         for i, row in enumerate(got):
             score = q[i] @ d.T
