@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
@@ -11,11 +11,12 @@ from flowharbor.functions import scalars as S
 def aggregate_packets(packets: DataFrame) -> DataFrame:
     """AGG01: one row a bidirectional flow (and uid, if the packets have one), packets ordered by (timestamp, seq).
 
-    `dirs` is 1 for the canonical direction. One shuffle on the key; a flow's packets form arrays as the output has them.
+    `dirs` is 1 for the canonical direction, or, where the packets say `is_orig`, for the originator: the flag as it is on
+    the canonical tuple, negated on its reverse. One shuffle on the key; a flow's packets form arrays as the output has them.
     """
     uid = F.col("uid") if "uid" in packets.columns else F.lit("")
     key = S.canonical_key(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"), F.col("protocol"))
-    rows = packets.select(key.alias("k"), uid.alias("uid"), F.struct(F.col("timestamp").alias("ts"), F.col("seq").alias("seq"), F.col("length").alias("len"), key["is_fwd"].cast("int").alias("dir")).alias("p"))
+    rows = packets.select(key.alias("k"), uid.alias("uid"), F.struct(F.col("timestamp").alias("ts"), F.col("seq").alias("seq"), F.col("length").alias("len"), direction(packets, key["is_fwd"]).alias("dir")).alias("p"))
     flows = rows.groupBy(F.col("k.key").alias("key"), "uid").agg(F.sort_array(F.collect_list("p")).alias("p"))
     tss = F.transform("p", lambda x: x["ts"])
     return flows.select(
@@ -25,18 +26,23 @@ def aggregate_packets(packets: DataFrame) -> DataFrame:
     )
 
 
-def trace_flows(packets: DataFrame, cap: int = 128) -> DataFrame:
-    """AGG03: exact counters of packets and bytes by direction, arrays cut at `cap` packets."""
-    flows = aggregate_packets(packets)
-    zipped = F.arrays_zip("lens", "dirs")
+def direction(packets: DataFrame, forward: Column) -> Column:
+    """1 or 0 by the originator flag of packets that have one, else by the canonical tuple."""
+    if "is_orig" not in packets.columns:
+        return forward.cast("int")
+    return F.coalesce(F.when(forward, F.col("is_orig")).otherwise(~F.col("is_orig")), forward).cast("int")
 
-    def total(way: int, value) -> F.Column:
-        return F.aggregate(F.filter(zipped, lambda x: x["dirs"] == way), F.lit(0).cast("bigint"), lambda a, x: a + value(x))
 
-    return flows.select(
-        "key", "start_ts", "packet_count", total(1, lambda x: F.lit(1)).alias("orig_packets"), total(0, lambda x: F.lit(1)).alias("resp_packets"),
-        total(1, lambda x: x["lens"].cast("bigint")).alias("orig_bytes"), total(0, lambda x: x["lens"].cast("bigint")).alias("resp_bytes"), F.slice("lens", 1, cap).alias("lens"), F.slice("dirs", 1, cap).alias("dirs"),
-    )
+def trace_flows(packets: DataFrame, cap: int = 128) -> DataFrame:
+    """AGG03: exact counters of packets and bytes by direction, arrays of the first `cap` packets only: a packet's rank is known before
+    arrays are made, and later packets go into sums."""
+    key = S.canonical_key(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"), F.col("protocol"))
+    rows = packets.select(key["key"].alias("key"), F.col("timestamp").alias("ts"), "seq", F.col("length").alias("len"), direction(packets, key["is_fwd"]).alias("dir"))
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("ts", "seq")))
+    head = F.sort_array(F.collect_list(F.when(F.col("i") <= cap, F.struct("i", "len", "dir"))))
+    up, bytes_ = F.col("dir") == 1, F.col("len").cast("bigint")
+    flows = ranked.groupBy("key").agg(F.min("ts").alias("start_ts"), F.count("*").alias("packet_count"), F.count_if(up).alias("orig_packets"), F.count_if(~up).alias("resp_packets"), F.sum(F.when(up, bytes_).otherwise(0)).alias("orig_bytes"), F.sum(F.when(up, 0).otherwise(bytes_)).alias("resp_bytes"), head.alias("p"))
+    return flows.select(*[c for c in flows.columns if c != "p"], F.transform("p", lambda x: x["len"]).alias("lens"), F.transform("p", lambda x: x["dir"]).alias("dirs"))
 
 
 def packet_rows(packets: DataFrame) -> DataFrame:

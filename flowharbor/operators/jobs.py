@@ -118,10 +118,11 @@ def token_weight_scheme(weights: DataFrame, scheme: str, groups: dict[str, float
 
 def leave_one_job(tokens: DataFrame, k: int, percentile: float = 99.0, flows: DataFrame | None = None) -> DataFrame:
     """CAL15: train-only weights, nearest benign memory, threshold from benign validation scores, metrics on the test.
-    `flows` (flow_id, split, label) also holds the flows without tokens."""
+    `flows` (flow_id, split, label) names the flows to score, those without tokens too."""
     w = T.token_weights(tokens, "binary", "l2")
     memory = w.where("split = 'train' AND label = 'BENIGN'").select(F.col("flow_id").alias("mid"), "token", "w")
     query = w.where("split <> 'train'").select(F.col("flow_id").alias("id"), "token", "w")
+    query = query if flows is None else query.join(flows.select(F.col("flow_id").alias("id")), "id", "left_semi")
     meta = (tokens if flows is None else flows).where("split <> 'train'").select(F.col("flow_id").alias("id"), "split", (F.col("label") == "ATTACK").cast("int").alias("y")).distinct()
     scored = K.knn_sparse(query, memory, k, meta).join(meta, "id").select(F.col("id").alias("flow_id"), F.round("score", 9).alias("score"), "y", "split")
     return M.percentile_thresholds(scored.where("split = 'val'"), scored.where("split = 'test'"), [percentile])

@@ -17,11 +17,14 @@ def small(df: DataFrame) -> DataFrame:
 def label_flows(flows: DataFrame, labels: DataFrame, tolerance: float, bucket: float) -> DataFrame:
     """JOI01/02: each flow's label row that is nearest in time, within the tolerance, on the same canonical key.
 
-    flows (flow_id, key, ts), labels (label_id, key, start_ts, end_ts, label; both times null: matches at distance 0).
+    flows (flow_id, key, ts), labels (label_id, key, start_ts, end_ts, label; both times null: matches at distance 0, unless
+    a column timestamp_parse_status calls the time invalid, not missing: then the row matches nothing).
     Intervals are dealt to time buckets, so the band is an equi-join on (key, bucket) and a hot key spreads over buckets. Ties go to the smaller
     (distance, start, end, label_id). Returns every flow with label (null: unmatched), delta and n_candidates.
     """
     lo, hi = F.col("start_ts") - tolerance, F.col("end_ts") + tolerance
+    if "timestamp_parse_status" in labels.columns:
+        labels = labels.where("timestamp_parse_status IS NULL OR timestamp_parse_status <> 'invalid'")
     timed = labels.where("start_ts IS NOT NULL").withColumn("b", F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))))
     keyed = flows.withColumn("b", F.floor(F.col("ts") / bucket))
     near = keyed.join(timed, ["key", "b"]).where((F.col("ts") >= lo) & (F.col("ts") <= hi)).drop("b")
@@ -57,13 +60,24 @@ def clock_offset(flows: DataFrame, labels: DataFrame, most: float = 36 * 3600.0,
     return by.join(F.broadcast(hour), "h").orderBy(F.desc("n"), F.abs("m"), "m").limit(1).select(F.col("m").alias("offset"), F.col("n").alias("votes"), F.col("hn").alias("hour_votes"))
 
 
-def label_by_schedule(flows: DataFrame, windows: DataFrame, tolerance: float = 0.0, ambiguous: str = "quarantine") -> DataFrame:
+def overlapping(rows: DataFrame, windows: DataFrame, bucket: float) -> DataFrame:
+    """Rows (start_ts, end_ts) with each window (w_start, w_end) that they overlap: both are dealt to the time buckets that they
+    touch, and a pair counts in its first common bucket only, so the range join is an equi-join at any size."""
+    place = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
+    r = rows.where("start_ts <= end_ts").withColumn("__b", place("start_ts", "end_ts"))
+    w = windows.where("w_start <= w_end").withColumn("__b", place("w_start", "w_end"))
+    met = r.join(w, "__b").where("start_ts <= w_end AND end_ts >= w_start")
+    return met.where(F.col("__b") == F.floor(F.greatest("start_ts", "w_start") / bucket)).drop("__b")
+
+
+def label_by_schedule(flows: DataFrame, windows: DataFrame, tolerance: float = 0.0, ambiguous: str = "quarantine", bucket: float = 86400.0) -> DataFrame:
     """JOI05: flows (flow_id, src, dst, start_ts, end_ts) against windows (window_id, family, start_ts, end_ts, attackers,
     victims): overlap in time and the two end sets met in either orientation. No window: BENIGN. Windows of several
     families: quarantine, drop, first (window) or benign."""
-    w = small(windows.withColumnsRenamed({"start_ts": "w_start", "end_ts": "w_end"}))
+    w = windows.select("window_id", "family", "attackers", "victims", (F.col("start_ts") - tolerance).alias("w_start"), (F.col("end_ts") + tolerance).alias("w_end"))
     met = (F.array_contains("attackers", F.col("src")) & F.array_contains("victims", F.col("dst"))) | (F.array_contains("attackers", F.col("dst")) & F.array_contains("victims", F.col("src")))
-    hit = flows.join(w, (F.col("start_ts") <= F.col("w_end") + tolerance) & (F.col("end_ts") >= F.col("w_start") - tolerance) & met, "left")
+    hits = overlapping(flows, w, bucket).where(met).select("flow_id", "window_id", "family")
+    hit = flows.select("flow_id").join(hits, "flow_id", "left")
     by = hit.groupBy("flow_id").agg(F.count("window_id").alias("n"), F.size(F.collect_set("family")).alias("families"), F.min(F.struct("window_id", "family")).alias("first"))
     several = {"quarantine": "QUARANTINE", "benign": "BENIGN"}.get(ambiguous)
     label = F.when(F.col("n") == 0, "BENIGN").when(F.col("families") > 1, F.lit(several) if several else F.col("first.family")).otherwise(F.col("first.family"))
@@ -85,19 +99,25 @@ def enrich_by_uid(packets: DataFrame, conns: DataFrame) -> DataFrame:
     return packets.join(last, "uid", "left").withColumns({"protocol": fill("protocol", "c.proto"), "service": fill("service", "c.service")}).drop("c")
 
 
-def match_interval(flows: DataFrame, labels: DataFrame, tolerance: float) -> DataFrame:
-    """JOI08: status of each flow against label intervals: matched (one family), ambiguous, unmatched_time, unmatched_key."""
-    joined = flows.join(labels.withColumnsRenamed({"start_ts": "l_start", "end_ts": "l_end"}), "key", "left")
-    over = (F.col("ts") >= F.col("l_start") - tolerance) & (F.col("ts") <= F.col("l_end") + tolerance)
-    by = joined.groupBy("flow_id").agg(F.count("label").alias("keyed"), F.count_if(over).alias("hits"), F.count_distinct(F.when(over, F.col("label"))).alias("families"), F.min(F.when(over, F.col("label"))).alias("family"))
+def match_interval(flows: DataFrame, labels: DataFrame, tolerance: float, bucket: float = 86400.0) -> DataFrame:
+    """JOI08: status of each flow against label intervals: matched (one family), ambiguous, unmatched_time, unmatched_key.
+    Intervals are dealt to time buckets, so a hot key's flows meet only the labels of their time."""
+    lo, hi = F.col("start_ts") - tolerance, F.col("end_ts") + tolerance
+    timed = labels.where("start_ts IS NOT NULL AND end_ts >= start_ts").select("key", "label", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))).alias("b"))
+    hits = flows.select("flow_id", "key", "ts", F.floor(F.col("ts") / bucket).alias("b")).join(timed, ["key", "b"]).where("ts >= lo AND ts <= hi")
+    found = hits.groupBy("flow_id").agg(F.count("*").alias("hits"), F.count_distinct("label").alias("families"), F.min("label").alias("family"))
+    keys = labels.where("label IS NOT NULL").select("key").distinct().withColumn("keyed", F.lit(1))
+    by = flows.select("flow_id", "key").join(keys, "key", "left").join(found, "flow_id", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("keyed", "hits", "families")})
     status = F.when(F.col("keyed") == 0, "unmatched_key").when(F.col("hits") == 0, "unmatched_time").when(F.col("families") > 1, "ambiguous").otherwise("matched")
     return by.select("flow_id", status.alias("status"), F.when(status == "matched", F.col("family")).alias("family"))
 
 
-def periods(flows: DataFrame, windows: DataFrame, pad: float) -> DataFrame:
+def periods(flows: DataFrame, windows: DataFrame, pad: float, bucket: float = 86400.0) -> DataFrame:
     """JOI09: in, pre, post or outside of the first window (by id) whose padded span holds the flow's ts."""
-    w = small(windows)
-    hit = flows.join(w, (F.col("ts") >= F.col("start_ts") - pad) & (F.col("ts") <= F.col("end_ts") + pad), "left")
+    w = windows.select("window_id", F.col("start_ts").alias("s"), F.col("end_ts").alias("e"), (F.col("start_ts") - pad).alias("w_start"), (F.col("end_ts") + pad).alias("w_end"))
+    points = flows.select("flow_id", "ts", F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"))
+    hits = overlapping(points, w, bucket).select("flow_id", "window_id", F.col("s").alias("start_ts"), F.col("e").alias("end_ts"))
+    hit = flows.select("flow_id", "ts").join(hits, "flow_id", "left")
     where = F.when(F.col("window_id").isNull(), "outside").when(F.col("ts") < F.col("start_ts"), "pre").when(F.col("ts") > F.col("end_ts"), "post").otherwise("in")
     return hit.groupBy("flow_id").agg(F.min(F.struct(F.col("window_id"), where.alias("period"))).alias("m")).select("flow_id", "m.window_id", "m.period")
 

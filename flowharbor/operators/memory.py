@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +37,45 @@ def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, i
     return rows.select("id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("neighbours", F.least(F.lit(k), F.col("n"))).alias("neighbours"))
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Rows of a block of queries and of a block of memory in knn_dense.
+QUERY_BLOCK, MEMORY_BLOCK = 2048, 8192
+
+
+def _unit(column: pd.Series) -> np.ndarray:
+    x = np.array(column.tolist(), float).reshape(len(column), -1)
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
 def knn_dense(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
-    """JOI13 for dense vectors (id, v) and (mid, v): the stated query set against all memory rows, in salted blocks of both
-    sides, each block pair keeping its k best of every query. Returns (id, rank, mid, distance)."""
-    blocks = 8
-    q = query.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("mb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    m = memory.select("mid", F.col("v").alias("mv")).withColumn("mb", F.pmod(F.xxhash64("mid"), F.lit(blocks))).withColumn("qb", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    distance = 1 - dot(F.col("v"), F.col("mv")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("mv"), F.col("mv")))
-    pairs = q.join(m, ["qb", "mb"]).where("id <> mid").select("id", "mid", F.round(distance, 9).alias("distance"))
+    """JOI13 for dense vectors (id, v) and (mid, v) of one length: the stated query set against all memory rows but that of the
+    same id, by cosine. Both sides are dealt to blocks, whose number grows with the rows; a pair of blocks is one matrix
+    product that leaves each query's k best. A zero vector is at distance 1 of all. Returns (id, rank, mid, distance), distances to 9 places.
+    """
+    qs, ms = (max(1, -(-df.count() // size)) for df, size in ((query, QUERY_BLOCK), (memory, MEMORY_BLOCK)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = query.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("qb"), each(ms).alias("mb"))
+    m = memory.select("mid", "v", F.pmod(F.xxhash64("mid"), F.lit(ms)).cast("int").alias("mb"), each(qs).alias("qb"))
+    ids, kinds = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"id": a["id"][:0], "mid": b["mid"][:0], "distance": np.zeros(0)})
+        away = np.round(1 - _unit(a["v"]) @ _unit(b["v"]).T, 9)
+        away[a["id"].to_numpy()[:, None] == b["mid"].to_numpy()[None, :]] = np.inf
+        last = np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, [min(k, away.shape[1]) - 1]]
+        i, j = np.nonzero((away <= last) & np.isfinite(away))
+        out = pd.DataFrame({"id": a["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "distance": away[i, j]}).sort_values(["id", "distance", "mid"])
+        return out[out.groupby("id").cumcount() < k]
+
+    found = q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb")).applyInPandas(nearest, f"id {ids}, mid {kinds}, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "mid"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "mid", "distance")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "mid", "distance")
+
+
+def mean_distance(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """(id, score): mean cosine distance to the k nearest memory rows."""
+    return knn_dense(query, memory, k).groupBy("id").agg(F.round(F.avg("distance"), 9).alias("score"))
 
 
 def prototypes(rows: DataFrame, group: str) -> DataFrame:
@@ -66,15 +93,10 @@ def coreset(memory: DataFrame, ratio: float, strategy: str, seed: int = 42) -> D
     """TOP11: a share of memory rows (mid, distance): by hash order, or `tail`: half those farthest from the centre (ties to
     the smaller id), the rest by hash order."""
     key = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("mid").cast("string")))
-    total = memory.agg(F.ceil(F.count("*") * ratio).cast("bigint").alias("want"))
-    rows = memory.crossJoin(F.broadcast(total))
-    if strategy == "tail":
-        far = F.row_number().over(Window.orderBy(F.desc("distance"), "mid"))
-        rows = rows.withColumn("tail", (far <= F.floor(F.col("want") / 2)).cast("int"))
-    else:
-        rows = rows.withColumn("tail", F.lit(0))
-    nth = F.row_number().over(Window.orderBy(F.desc("tail"), key))
-    return rows.withColumn("nth", nth).where("nth <= want").select("mid", "tail")
+    want = memory.agg(F.ceil(F.count("*") * ratio).cast("bigint")).first()[0]
+    far = memory.orderBy(F.desc("distance"), "mid").limit(want // 2 if strategy == "tail" else 0).select("mid")
+    rest = memory.join(far, "mid", "left_anti").orderBy(key).limit(want - (want // 2 if strategy == "tail" else 0))
+    return far.select("mid", F.lit(1).alias("tail")).unionByName(rest.select("mid", F.lit(0).alias("tail")))
 
 
 def gate(scores: DataFrame, val: DataFrame) -> DataFrame:

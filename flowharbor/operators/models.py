@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowharbor.functions.scalars import hash_rank_key
 
 
 def vectors(df: DataFrame, column: str = "v") -> DataFrame:
@@ -71,21 +74,89 @@ def correlated_groups(features: DataFrame, columns: list[str], most: int) -> Dat
     return features.sparkSession.createDataFrame(out, "group int, feature string")
 
 
-def domain_gap(rows: DataFrame, domain: str) -> DataFrame:
-    """AGG39: distance between the domains' centroids (domain, v) in the two main components of all rows."""
-    model = PCA(k=2, inputCol="features", outputCol="p").fit(vectors(rows))
-    two = model.transform(vectors(rows)).select(domain, vector_to_array("p").alias("p"))
-    c = two.groupBy(domain).agg(F.avg(F.col("p")[0]).alias("x"), F.avg(F.col("p")[1]).alias("y"))
-    a, b = c.alias("a"), c.alias("b")
-    return a.join(b, F.expr(f"a.{domain} < b.{domain}")).select(F.col(f"a.{domain}").alias("one"), F.col(f"b.{domain}").alias("other"), F.sqrt(F.pow(F.col("a.x") - F.col("b.x"), F.lit(2)) + F.pow(F.col("a.y") - F.col("b.y"), F.lit(2))).alias("distance"))
-
-
-def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, p99: float) -> DataFrame:
-    """CAL08: the memory (mid, score) after an update by policy: none, all, low_score (under p99), tail_aware (under p99, or
-    one in ten of those above by hash), quarantine (nothing above p99, and those marked)."""
-    tail = F.pmod(F.xxhash64("mid"), F.lit(10)) == 0
-    admit = {"none": F.lit(False), "all": F.lit(True), "low_score": F.col("score") < p99, "tail_aware": (F.col("score") < p99) | tail, "quarantine": F.col("score") < p99}[policy]
-    return memory.select("mid", "score", F.lit("memory").alias("origin")).unionByName(candidates.where(admit).select("mid", "score", F.lit("candidate").alias("origin")))
+def domain_gap(rows: DataFrame, domain: str, most: int = 400, seed: int = 42) -> DataFrame:
+    """AGG39: between any two domains of (domain, v): distance of their centroids and RBF discrepancy (MMD, width 1) in the two
+    main components of standardised vectors. At most `most` rows a domain, drawn by hash: the bound of the kernel's pairs."""
+    drawn = rows.withColumn("nth", F.row_number().over(Window.partitionBy(domain).orderBy(F.xxhash64(F.lit(seed), "v")))).where(F.col("nth") <= most).drop("nth")
+    scaler = StandardScaler(withMean=True, inputCol="features", outputCol="scaled").fit(vectors(drawn))
+    scaled = scaler.transform(vectors(drawn))
+    two = PCA(k=2, inputCol="scaled", outputCol="p").fit(scaled).transform(scaled).select(F.col(domain).alias("d"), vector_to_array("p").alias("p"))
+    two = two.select("d", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    c = two.groupBy("d").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    square = F.pow(F.col("a.x") - F.col("b.x"), F.lit(2)) + F.pow(F.col("a.y") - F.col("b.y"), F.lit(2))
+    near = two.alias("a").join(F.broadcast(two).alias("b"), F.expr("a.d <= b.d")).groupBy(F.col("a.d").alias("one"), F.col("b.d").alias("other")).agg(F.avg(F.exp(-square / 2)).alias("k"))
+    own = near.where("one = other").select("one", F.col("k").alias("own"))
+    mmd = near.where("one < other").join(own, "one").join(own.withColumnsRenamed({"one": "other", "own": "theirs"}), "other").select("one", "other", (F.col("own") + F.col("theirs") - 2 * F.col("k")).alias("mmd"))
+    apart = c.alias("a").join(c.alias("b"), F.expr("a.d < b.d")).select(F.col("a.d").alias("one"), F.col("b.d").alias("other"), F.sqrt(square).alias("distance"))
+    return apart.join(mmd, ["one", "other"])
+
+
+def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, seed: int = 42) -> DataFrame:
+    """CAL08: the memory (mid, score) after an update by policy; candidates' scores are their distances to the memory.
+
+    core75: none; all: every candidate; random: half of them by hash order; low_score: up to their median; tail_aware:
+    these and, of those from the 95th percentile on, a twentieth of all by id; quarantine: up to the 95th percentile, the rest waits.
+    """
+    n, low, gate = candidates.agg(F.count("*"), F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(0.95))).first()
+    if policy == "random":
+        more = candidates.orderBy(hash_rank_key(F.col("mid"), seed, "update"), "mid").limit(max(1, n // 2))
+    elif policy == "tail_aware":
+        tail = candidates.where(F.col("score") >= F.lit(gate)).orderBy("mid").limit(max(1, n // 20))
+        more = candidates.where(F.col("score") <= F.lit(low)).unionByName(tail.where(F.col("score") > F.lit(low)))
+    else:
+        more = candidates.where({"core75": F.lit(False), "all": F.lit(True), "low_score": F.col("score") <= F.lit(low), "quarantine": F.col("score") <= F.lit(gate)}[policy])
+    return memory.select("mid", "score", F.lit("memory").alias("origin")).unionByName(more.select("mid", "score", F.lit("candidate").alias("origin")))
+
+
+def core_split(memory: DataFrame, share: float = 0.75, least: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """CAL08: the memory's core of a share of its rows (mid, ...) by hash order, at least `least`, and the candidates that remain."""
+    want = max(least, round(memory.count() * share))
+    core = memory.orderBy(hash_rank_key(F.col("mid"), seed, "core"), "mid").limit(want)
+    return core, memory.join(core.select("mid"), "mid", "left_anti")
+
+
+def window_centroids(windows: DataFrame, clusters: int, seed: int = 42) -> list[list[float]]:
+    """CAL13: k-means centres of benign windows (v) without the smallest cluster: what benign windows look like."""
+    rows = vectors(windows)
+    model = KMeans(k=clusters, seed=seed, maxIter=20).fit(rows)
+    sizes = {r.prediction: r["count"] for r in model.transform(rows).groupBy("prediction").count().collect()}
+    kept = sorted(sizes, key=lambda c: (-sizes[c], c))[: max(1, len(sizes) - 1)]
+    return [model.clusterCenters()[c].tolist() for c in kept]
+
+
+def window_centroid_scores(windows: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """CAL13: (id, score): Euclidean distance of (id, v) to the nearest of a few centroids."""
+    gap = lambda c: F.sqrt(F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in c]), lambda a, b: F.pow(a.cast("double") - b, F.lit(2))), F.lit(0.0), lambda s, x: s + x))
+    return windows.select("id", F.array_min(F.array(*[gap(c) for c in centroids])).alias("score"))
+
+
+def entropy_rule(windows: DataFrame, clusters: int, least_rows: int = 2, popular: float = 2.0, suspects: int = 2, seed: int = 42) -> DataFrame:
+    """CAL13: (id, port, cluster, score, prediction) of windows (id, port, v): each port's windows are clustered, and the cluster
+    of lowest mean in the last component (how widely a window's destinations spread) is suspected if it has `suspects` rows.
+    The score is the gap to the port's highest cluster. Ports of fewer than `clusters` windows, or of more than a share of
+    1 / popular of all, are left at 0. Spark groups by port; the popularity bound keeps any port's group a share of the table.
+    """
+    n = windows.count()
+    sized = windows.withColumn("rows", F.count("*").over(Window.partitionBy("port")))
+    usable = (F.col("rows") >= clusters) & (F.col("rows") <= max(1.0, n / max(popular, 1e-6)))
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["v"].tolist(), float)
+        centers = x[np.random.default_rng(seed).permutation(len(x))[:clusters]]
+        for _ in range(20):
+            own = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+            centers = np.array([x[own == c].mean(0) if (own == c).any() else centers[c] for c in range(len(centers))])
+        spread = {c: x[own == c, -1].mean() for c in set(own.tolist())}
+        lowest, top = min(spread, key=lambda c: (spread[c], c)), max(spread.values())
+        size = np.bincount(own, minlength=len(centers))
+        hit = (own == lowest) & (size[own] >= max(least_rows, suspects))
+        return pd.DataFrame({"id": pdf["id"], "port": pdf["port"], "cluster": own, "score": [top - spread[c] for c in own], "prediction": hit.astype(int)})
+
+    kinds = dict(windows.dtypes)
+    schema = f"id {kinds['id']}, port {kinds['port']}, cluster int, score double, prediction int"
+    judged = sized.where(usable).groupBy("port").applyInPandas(lambda pdf: judge(pdf.sort_values("id")), schema)
+    rest = sized.where(~usable).select("id", "port", F.lit(None).cast("int").alias("cluster"), F.lit(0.0).alias("score"), F.lit(0).alias("prediction"))
+    return judged.unionByName(rest)
 
 
 def diagnosis(alerts: DataFrame, memory: DataFrame, neighbours: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ def make_split(flows: DataFrame, kind: str, val: float = 0.1, test: float = 0.2,
 def leave_one_out(flows: DataFrame, attack: str, seed: int, train: int, val: int, test: int) -> DataFrame:
     """TOP02: disjoint slices of benign flows in hash order; the held-out attack's flows join the test."""
     key = hash_rank_key(F.col("flow_id"), seed, "loo")
-    benign = flows.where("label = 'BENIGN'").withColumn("r", F.row_number().over(Window.orderBy(key, "flow_id"))).where(F.col("r") <= train + val + test)
+    # the bounded slice is cut by partial top-k before its rows are numbered
+    some = flows.where("label = 'BENIGN'").withColumn("key", key).orderBy("key", "flow_id").limit(train + val + test)
+    benign = some.withColumn("r", F.row_number().over(Window.orderBy("key", "flow_id")))
     split = F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "val").otherwise("test")
     return benign.select("flow_id", split.alias("split")).unionByName(flows.where(F.col("label") == attack).select("flow_id", F.lit("test").alias("split")))
 
@@ -92,31 +96,59 @@ def uniform(seed: int, salt: str, *cols: Column) -> Column:
 
 
 def perturb(rows: DataFrame, mode: str, strength: float, seed: int = 42) -> DataFrame:
-    """AUG01-04 on packet rows (flow, ts, seq, len, dir): packet_delete (one packet stays at least), packet_insert,
-    direction_flip, length_padding, length_align, delay_stretch, low_rate_c2. Draws hash (seed, mode, flow, seq)."""
+    """AUG01-05 on packet rows (flow, ts, seq, len, dir): packet_delete (one packet stays at least), packet_insert and
+    direction_flip (one packet at least), length_padding, length_align, iat_jitter (normal, a share of the gap), delay_stretch,
+    burst_split (short gaps widened), burst_merge (long gaps shortened), low_rate_c2 (evenly spaced packets at a slow steady pace; of flows
+    whose column `attack` is false, if there is one, nothing) and short_flow_delete (flows of under 6 packets). Draws hash (seed, mode, flow, seq)."""
     u = uniform(seed, mode, F.col("flow"), F.col("seq"))
     w = Window.partitionBy("flow")
+    hit = (F.col("u") < strength) | (F.col("u") == F.col("least"))
+    drawn = rows.withColumns({"u": u, "least": F.min(u).over(w)})
     if mode == "packet_delete":
         return rows.withColumns({"u": u, "top": F.max(u).over(w)}).where((F.col("u") >= strength) | (F.col("u") == F.col("top"))).drop("u", "top")
     if mode == "packet_insert":
-        more = rows.where(u < strength).withColumns({"ts": F.col("ts") + 5e-4, "len": F.bround(F.col("len") * (0.5 + uniform(seed, "scale", F.col("flow"), F.col("seq")))).cast("int")})
+        more = drawn.where(hit).drop("u", "least").withColumns({"ts": F.col("ts") + 5e-4, "len": F.bround(F.col("len") * (0.5 + uniform(seed, "scale", F.col("flow"), F.col("seq")))).cast("int")})
         return rows.unionByName(more)
     if mode == "direction_flip":
-        return rows.withColumn("dir", F.when(u < strength, 1 - F.col("dir")).otherwise(F.col("dir")))
+        return drawn.withColumn("dir", F.when(hit, 1 - F.col("dir")).otherwise(F.col("dir"))).drop("u", "least")
     if mode == "length_padding":
         return rows.withColumn("len", (F.col("len") + 1 + F.floor(u * max(1, round(64 * strength)))).cast("int"))
     if mode == "length_align":
         to = (64, 128, 256)[min(2, max(0, -(-int(strength * 300) // 100) - 1))]
         return rows.withColumn("len", (F.floor((F.col("len") + to - 1) / to) * to).cast("int"))
+    order = w.orderBy("ts", "seq")
+    raw = F.col("ts") - F.lag("ts").over(order)
+    at = rows.withColumns({"gap": F.greatest(raw, F.lit(1e-6)), "first": F.min("ts").over(w)})
+
+    def retimed(gap: Column) -> DataFrame:
+        moved = at.withColumn("to", F.coalesce(gap, F.lit(0.0)))
+        return moved.withColumn("ts", F.col("first") + F.sum("to").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*rows.columns)
+
     if mode == "delay_stretch":
-        order = w.orderBy("ts", "seq")
-        gap = F.greatest(F.col("ts") - F.lag("ts").over(order), F.lit(1e-6)) * (1 + strength * (0.5 + u))
-        first = F.min("ts").over(w)
-        return rows.withColumn("gap", F.coalesce(gap, F.lit(0.0))).withColumn("ts", first + F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+        return retimed(F.col("gap") * (1 + strength * (0.5 + u)))
+    if mode == "iat_jitter":
+        normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * uniform(seed, "angle", F.col("flow"), F.col("seq")))
+        at = at.withColumn("gap", raw)
+        return retimed(F.greatest(F.col("gap") + normal * F.greatest(F.abs("gap") * strength, F.lit(1e-6)), F.lit(0.0)))
+    if mode in ("burst_split", "burst_merge"):
+        cut = at.groupBy("flow").agg(F.percentile("gap", F.lit(0.25 if mode == "burst_split" else 0.75)).alias("cut"))
+        at = at.join(cut, "flow")
+        if mode == "burst_split":
+            return retimed(F.when(F.col("gap") <= F.col("cut"), F.col("gap") * (1 + 10 * max(strength, 0.01))).otherwise(F.col("gap")))
+        return retimed(F.when(F.col("gap") >= F.col("cut"), F.greatest(F.col("gap") * max(0.0, 1 - strength), F.lit(1e-6))).otherwise(F.col("gap")))
     if mode == "low_rate_c2":
-        order = w.orderBy("ts", "seq")
-        step = max(1, round(1 / max(1e-9, 1 - strength)))
-        return rows.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") % step == 0).drop("i")
+        attack = F.col("attack") if "attack" in rows.columns else F.lit(True)
+        facts = at.groupBy("flow").agg(F.count("*").alias("n"), F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(1.0)).alias("pace"))
+        want = F.greatest(F.lit(2.0), F.bround(F.col("n") * max(0.05, 1 - strength)))
+        ranked = at.withColumn("i", F.row_number().over(order) - 1).join(facts, "flow").withColumn("want", want)
+        j = F.ceil(F.col("i") * (F.col("want") - 1) / (F.col("n") - 1))  # the only place that could be this packet's
+        slow = attack & (F.col("want") < F.col("n"))
+        kept = ranked.withColumn("j", F.when(slow, j)).where(~slow | (F.floor(F.col("j") * (F.col("n") - 1) / (F.col("want") - 1)) == F.col("i")))
+        pace = F.greatest(F.col("pace"), F.lit(1e-3)) * (1 + 20 * max(strength, 0.01))
+        return kept.withColumn("ts", F.when(slow, F.col("first") + F.col("j") * pace).otherwise(F.col("ts"))).select(*rows.columns)
+    if mode == "short_flow_delete":
+        sized = rows.withColumns({"n": F.count("*").over(w), "f": uniform(seed, mode, F.col("flow"))})
+        return sized.where((F.col("n") >= 6) | (F.col("f") >= strength)).drop("n", "f")
     raise ValueError(f"unknown mode {mode}")
 
 

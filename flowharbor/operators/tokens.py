@@ -28,7 +28,7 @@ def token_weights(tokens: DataFrame, transform: str = "tfidf", norm: str = "l2")
 
 def fit_vocab(tokens: DataFrame, specials: tuple = ("[PAD]", "[UNK]", "[CLS]", "[SEP]"), split: str = "train") -> DataFrame:
     """AGG09: (token, id) by first place in the train rows, in order of (flow_id, pos), after the specials."""
-    first = tokens.where(F.col("split") == split).groupBy("token").agg(F.min(F.struct("flow_id", "pos")).alias("at"))
+    first = tokens.where((F.col("split") == split) & ~F.col("token").isin(*specials)).groupBy("token").agg(F.min(F.struct("flow_id", "pos")).alias("at"))
     ids = first.select("token", (F.row_number().over(Window.orderBy("at")) + len(specials) - 1).cast("bigint").alias("id"))
     return tokens.sparkSession.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id long").unionByName(ids)
 
@@ -101,32 +101,73 @@ def token_lift(tokens: DataFrame, least: int = 1) -> DataFrame:
     return at.select("token", "in_attack", "in_benign", ((ra + 1e-6) / (rb + 1e-6)).alias("lift"))
 
 
-def select_motifs(stats: DataFrame, tokens: DataFrame, size: int, least: float, most: float, redundancy: float, pool: int = 1000) -> DataFrame:
-    """AGG16: greedy dictionary of up to `size` motifs by utility (column of stats, ties by name), support within bounds, none
-    with a Jaccard overlap over `redundancy` with one chosen before.
+#: AGG16: the terms of each strategy's utility, and whether motifs that overlap with chosen ones are left out.
+STRATEGIES = {
+    "all_candidates": ((), False), "support_only": (("support",), False), "support_stability": (("support", "stability"), False), "support_stability_tail": (("support", "stability", "sensitivity"), False),
+    "full_utility": (("support", "stability", "coverage", "sensitivity"), True),
+}
 
-    Candidates are the `pool` best; their overlaps come from one self-join on train flows, kept only above the cut, and
-    the driver's loop sees pool rows and those pairs.
+
+def motif_utility(stats: DataFrame, strategy: str = "full_utility", weights: dict[str, float] | None = None) -> DataFrame:
+    """AGG16: stats (token and the columns of the strategy's terms) plus `utility`: the weighted sum of its terms, each scaled
+    to 0 to 1 over all tokens (1 where all are equal and above 0); support alone is taken unweighted, and all_candidates gives 1."""
+    terms, _ = STRATEGIES[strategy]
+    if not terms:
+        return stats.withColumn("utility", F.lit(1.0))
+    ends = stats.agg(*[f(t).alias(f"{n}_{t}") for t in terms for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = lambda t: F.when(F.col(f"hi_{t}") > F.col(f"lo_{t}"), (F.col(t) - F.col(f"lo_{t}")) / (F.col(f"hi_{t}") - F.col(f"lo_{t}"))).otherwise((F.col(f"hi_{t}") > 0).cast("double"))
+    weight = {t: (weights or {}).get(t, 1.0) if len(terms) > 1 else 1.0 for t in terms}
+    return stats.crossJoin(F.broadcast(ends)).select(*stats.columns, F.round(sum(weight[t] * scaled(t) for t in terms), 9).alias("utility"))
+
+
+def select_motifs(stats: DataFrame, tokens: DataFrame, size: int, least: float, most: float, redundancy: float, pool: int = 1000, redundancy_cost: float = 0.0, family_caps: dict[str, float] | None = None) -> DataFrame:
+    """AGG16: greedy dictionary (rank, token, utility) of up to `size` motifs by utility (column of stats, ties by name), support
+    within bounds, none with a Jaccard overlap over `redundancy` with one chosen before (1: no matter); what remains of the
+    utility after redundancy_cost times the largest overlap must be above 0. family_caps: the share of `size` that motifs of a
+    family (profile, data_mined; structural for all others) may take.
+
+    Candidates come `pool` at a time, best first, until the dictionary is full or none is left. The overlaps of a pool with itself and
+    with the chosen come from one self-join on the train flows of these tokens; the driver's loop sees pool rows and pairs that overlap.
     """
-    best = stats.where((F.col("support") >= least) & (F.col("support") <= most)).orderBy(F.desc("utility"), "token").limit(pool)
-    names = [(r.token, r.utility) for r in best.select("token", "utility").collect()]
-    cand = tokens.sparkSession.createDataFrame(names, "token string, utility double")
-    has = tokens.where("split = 'train'").select("flow_id", "token").distinct().join(F.broadcast(cand.select("token")), "token")
-    n = {r.token: r.n for r in has.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    both = has.alias("a").join(has.alias("b"), F.expr("a.flow_id = b.flow_id AND a.token < b.token")).groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.count("*").alias("c"))
+    spark, flows = tokens.sparkSession, tokens.where("split = 'train'").select("flow_id", "token").distinct()
+    left = stats.where((F.col("support") >= least) & (F.col("support") <= most)).select("token", "utility")
+    chosen: list[tuple] = []
+    held: dict[str, int] = {}
+    last = None
+    while len(chosen) < size:
+        after = left if last is None else left.where((F.col("utility") < last[1]) | ((F.col("utility") == last[1]) & (F.col("token") > last[0])))
+        names = [(r.token, r.utility) for r in after.orderBy(F.desc("utility"), "token").limit(pool).collect()]
+        if not names:
+            break
+        last = names[-1]
+        overlap = _overlaps(flows, spark.createDataFrame([(t, i < len(names)) for i, (t, *_) in enumerate([*names, *((c[1],) for c in chosen)])], "token string, fresh boolean")) if redundancy < 1 or redundancy_cost else {}
+        for token, utility in names:
+            family = "profile" if token.startswith("PRIM_PROFILE_") else "data_mined" if token.startswith("DM_") else "structural"
+            if len(chosen) >= size or family in (family_caps or {}) and held.get(family, 0) >= int(size * family_caps[family]):
+                continue
+            near = max((overlap.get((token, c[1]), overlap.get((c[1], token), 0.0)) for c in chosen), default=0.0)
+            if near > redundancy or utility - redundancy_cost * near <= 0:
+                continue
+            chosen.append((len(chosen) + 1, token, utility - redundancy_cost * near))
+            held[family] = held.get(family, 0) + 1
+    return spark.createDataFrame(chosen, "rank int, token string, utility double")
+
+
+def _overlaps(flows: DataFrame, named: DataFrame) -> dict[tuple[str, str], float]:
+    """Jaccard overlap of each pair of named tokens (token, fresh), at least one fresh, that share a flow."""
+    has = flows.join(F.broadcast(named), "token")
     sizes = has.groupBy("token").agg(F.count("*").alias("k"))
+    both = has.alias("a").join(has.alias("b"), F.expr("a.flow_id = b.flow_id AND a.token < b.token AND (a.fresh OR b.fresh)")).groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.count("*").alias("c"))
     pairs = both.join(F.broadcast(sizes.withColumnsRenamed({"token": "x", "k": "kx"})), "x").join(F.broadcast(sizes.withColumnsRenamed({"token": "y", "k": "ky"})), "y")
-    close: dict[str, set] = {}
-    for r in pairs.where(F.col("c") / (F.col("kx") + F.col("ky") - F.col("c")) > redundancy).select("x", "y").collect():
-        close.setdefault(r.x, set()).add(r.y)
-        close.setdefault(r.y, set()).add(r.x)
-    chosen: list[tuple] = []
-    taken: set = set()
-    for token, utility in names:
-        if len(chosen) < size and token in n and not close.get(token, set()) & taken:
-            chosen.append((len(chosen) + 1, token, utility))
-            taken.add(token)
-    return tokens.sparkSession.createDataFrame(chosen, "rank int, token string, utility double")
+    return {(r.x, r.y): r.j for r in pairs.select("x", "y", (F.col("c") / (F.col("kx") + F.col("ky") - F.col("c"))).alias("j")).collect()}
+
+
+def motif_report(stats: DataFrame, chosen: DataFrame, least: float, most: float) -> DataFrame:
+    """AGG16: every candidate of stats with its family, rank if chosen, and whether its support put it out."""
+    from flowharbor.functions.scalars import motif_family
+
+    rows = stats.join(F.broadcast(chosen.select("token", "rank")), "token", "left")
+    return rows.select("token", motif_family(F.col("token")).alias("family"), F.col("rank").isNotNull().alias("selected"), "rank", "utility", ~F.col("support").between(least, most).alias("filtered_by_support"))
 
 
 def edge_tokens(train: DataFrame, rows: DataFrame, columns: list[str], bins: int) -> DataFrame:

@@ -42,24 +42,27 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
     return packet_rows(packets(spark, sf))
 
 
-#: Documents with labels; the split is by id, so that SQL can make it too.
-DOCS = """docs AS (SELECT d.doc_id AS flow_id, CASE WHEN d.doc_id % 5 < 3 THEN 'train' WHEN d.doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split,
- CASE WHEN l.quality = 1 THEN 'BENIGN' ELSE 'ATTACK' END AS label, d.source AS service, d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-tok AS (SELECT flow_id, split, label, service, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM docs))"""
+#: All documents, those without a label as a class of their own; the split is by id, so that SQL can make it too. Tokens are between white space.
+DOCS = r"""docs AS (SELECT d.doc_id AS flow_id, CASE WHEN d.doc_id % 5 < 3 THEN 'train' WHEN d.doc_id % 5 = 3 THEN 'val' ELSE 'test' END AS split,
+ CASE l.quality WHEN 1 THEN 'BENIGN' WHEN 0 THEN 'ATTACK' ELSE 'UNLABELLED' END AS label, d.source AS service, d.text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+tok AS (SELECT flow_id, split, label, service, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT *, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM docs))"""
 
 
-def flow_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(flow_id, split, label) of the documents with labels, those without a token included."""
-    d = read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+def _documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    d = read(spark, sf, "documents").select("doc_id", *more).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     part = F.col("doc_id") % 5
-    return d.select(F.col("doc_id").alias("flow_id"), F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), F.when(F.col("quality") == 1, "BENIGN").otherwise("ATTACK").alias("label"))
+    label = F.when(F.col("quality") == 1, "BENIGN").when(F.col("quality") == 0, "ATTACK").otherwise("UNLABELLED")
+    return d.select(F.col("doc_id").alias("flow_id"), F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), label.alias("label"), *more)
+
+
+def flow_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(flow_id, split, label) of all documents, those without a token included."""
+    return _documents(spark, sf)
 
 
 def token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    part = F.col("doc_id") % 5
-    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
-    return d.select(F.col("doc_id").alias("flow_id"), F.when(part < 3, "train").when(part == 3, "val").otherwise("test").alias("split"), F.when(F.col("quality") == 1, "BENIGN").otherwise("ATTACK").alias("label"), F.col("source").alias("service"), F.posexplode(words).alias("pos", "token"))
+    words = F.filter(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return _documents(spark, sf, "source", "text").select("flow_id", "split", "label", F.col("source").alias("service"), F.posexplode(words).alias("pos", "token"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -89,10 +89,12 @@ def sca11_stable_id(spark, sf):
     return read(spark, sf, "events").select("event_id", S.stable_id(F.col("event_id"), F.col("event_type"), F.col("user_id")).alias("id"))
 
 
-@query(f"""WITH {PACKETS} SELECT seq, CASE WHEN dst_port::INT < 1024 THEN 'well_known' WHEN dst_port::INT < 49152 THEN 'registered' ELSE 'ephemeral' END AS class,
- CASE dst_port WHEN '443' THEN 'https' WHEN '80' THEN 'http' WHEN '53' THEN 'dns' ELSE 'other' END AS service FROM packets""")
+@query(f"""WITH {PACKETS} SELECT seq, CASE WHEN p > 65535 THEN 'PORT_OTHER' WHEN p = 0 THEN 'PORT_ZERO' WHEN p < 1024 THEN 'PORT_SYSTEM' WHEN p < 49152 THEN 'PORT_REGISTERED' ELSE 'PORT_DYNAMIC' END AS class,
+ CASE WHEN p <= 0 THEN 'none' WHEN p IN (20, 21) THEN 'ftp' WHEN p = 22 THEN 'ssh' WHEN p IN (25, 465, 587) THEN 'smtp' WHEN p = 53 THEN 'dns' WHEN p IN (80, 8080) THEN 'http' WHEN p = 161 THEN 'snmp' WHEN p IN (443, 8443) THEN 'ssl' ELSE 'other' END AS service FROM (SELECT seq, CASE seq % 5 WHEN 0 THEN [0, 465, 587, 161, 8080, 8443, 22, 25, 20, 65536][seq % 10 + 1] ELSE dst_port::INT END AS p FROM packets)""")
 def sca24_port_maps(spark, sf):
-    return packets(spark, sf).select("seq", S.port_class(F.col("dst_port")).alias("class"), S.service_from_port(F.col("dst_port")).alias("service"))
+    some = F.element_at(F.array(*[F.lit(p) for p in (0, 465, 587, 161, 8080, 8443, 22, 25, 20, 65536)]), (F.col("seq") % 10 + 1).cast("int")).cast("string")
+    p = packets(spark, sf).withColumn("dst_port", F.when(F.col("seq") % 5 == 0, some).otherwise(F.col("dst_port")))
+    return p.select("seq", S.port_class(F.col("dst_port")).alias("class"), S.service_from_port(F.col("dst_port")).alias("service"))
 
 
 @query("""WITH c AS (SELECT o_orderkey, o_custkey % 4 AS p, o_custkey % 3 AS q FROM orders) SELECT uid, count(*) AS n, sum(len)::BIGINT AS bytes, sum(o)::BIGINT AS orig FROM (

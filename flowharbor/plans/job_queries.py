@@ -87,11 +87,11 @@ ALLQ = KNOWN.replace("qq AS (SELECT flow_id AS id, token, w FROM w WHERE split =
 
 
 @query(f"""WITH {ALLQ}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dot DESC, mid) AS i FROM dots), b AS (SELECT id, sum(1 - dot) AS d, count(*) AS met FROM r WHERE i <= 3 GROUP BY id),
- s AS (SELECT id, round((coalesce(b.d, 0) + 3 - coalesce(met, 0)) / 3, 9) AS score, CAST(label = 'ATTACK' AS INT) AS y, split FROM (SELECT DISTINCT flow_id AS id, label, split FROM w WHERE split <> 'train') x LEFT JOIN b USING (id)),
+ s AS (SELECT id, round((coalesce(b.d, 0) + 3 - coalesce(met, 0)) / 3, 9) AS score, CAST(label = 'ATTACK' AS INT) AS y, split FROM (SELECT flow_id AS id, label, split FROM docs WHERE split <> 'train' AND label <> 'UNLABELLED') x LEFT JOIN b USING (id)),
  t AS (SELECT quantile_cont(score, 0.99) AS threshold FROM s WHERE split = 'val' AND y = 0), c AS (SELECT 99.0::DOUBLE AS percentile, threshold, {COUNTS.format(t="threshold")} FROM s, t WHERE split = 'test' GROUP BY threshold)
  SELECT percentile, round(threshold, 6) AS threshold, tp, fp, tn, fn, {RATES} FROM c""")
 def cal15_leave_one_job(spark, sf):
-    return rounded(J.leave_one_job(token_rows(spark, sf), 3, flows=flow_rows(spark, sf)))
+    return rounded(J.leave_one_job(token_rows(spark, sf), 3, flows=flow_rows(spark, sf).where("label <> 'UNLABELLED'")))
 
 
 @query()

@@ -12,7 +12,7 @@ from .registry import query
 
 DAY = 86400.0
 FLOWS = "flows AS (SELECT o_orderkey AS flow_id, o_orderkey AS key, epoch(o_orderdate) AS ts, 'c' || (o_custkey % 50) AS src, 'd' || (o_orderkey % 40) AS dst FROM orders)"
-LABELS = "lab AS (SELECT l_orderkey * 10 + l_linenumber AS label_id, l_orderkey AS key, CASE WHEN l_linenumber = 7 THEN NULL ELSE epoch(l_shipdate) END AS start_ts, CASE WHEN l_linenumber = 7 THEN NULL ELSE epoch(l_shipdate) + 2592000.0 END AS end_ts, l_returnflag AS label FROM lineitem)"
+LABELS = "lab AS (SELECT l_orderkey * 10 + l_linenumber AS label_id, l_orderkey AS key, CASE WHEN l_linenumber = 7 THEN NULL ELSE epoch(l_shipdate) END AS start_ts, CASE WHEN l_linenumber = 7 THEN NULL ELSE epoch(l_shipdate) + 2592000.0 END AS end_ts, l_returnflag AS label, l_linenumber = 7 AND l_orderkey % 2 = 0 AS invalid FROM lineitem)"
 WINDOWS = "win(window_id, family, d0, d1, a, v) AS (VALUES (1, 'DoS', 300, 700, 0, 0), (2, 'Probe', 600, 1200, 1, 1), (3, 'Botnet', 1000, 2000, 0, 2), (4, 'DoS', 1100, 1300, 0, 0))"
 
 
@@ -24,7 +24,8 @@ def flows(spark, sf):
 def label_rows(spark, sf):
     li = read(spark, sf, "lineitem")
     start = F.when(F.col("l_linenumber") != 7, epoch("l_shipdate"))
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label_id"), F.col("l_orderkey").alias("key"), start.alias("start_ts"), (start + 30 * DAY).alias("end_ts"), F.col("l_returnflag").alias("label"))
+    status = F.when(F.col("l_linenumber") != 7, "parsed").when(F.col("l_orderkey") % 2 == 0, "invalid").otherwise("missing")
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label_id"), F.col("l_orderkey").alias("key"), start.alias("start_ts"), (start + 30 * DAY).alias("end_ts"), F.col("l_returnflag").alias("label"), status.alias("timestamp_parse_status"))
 
 
 def windows(spark, sf):
@@ -35,7 +36,7 @@ def windows(spark, sf):
 
 
 NEAR = f"""{FLOWS}, {LABELS}, near AS (SELECT f.flow_id, label_id, label, start_ts, end_ts, CASE WHEN start_ts IS NULL THEN 0.0 ELSE greatest(start_ts - ts, ts - end_ts, 0.0) END AS delta
- FROM flows f JOIN lab l ON f.key = l.key WHERE start_ts IS NULL OR (ts >= start_ts - 17280000.0 AND ts <= end_ts + 17280000.0)),
+ FROM flows f JOIN lab l ON f.key = l.key WHERE (start_ts IS NULL AND NOT invalid) OR (ts >= start_ts - 17280000.0 AND ts <= end_ts + 17280000.0)),
  best AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY delta, start_ts NULLS FIRST, end_ts NULLS FIRST, label_id, label) AS r, count(*) OVER (PARTITION BY flow_id) AS n FROM near)"""
 
 

@@ -73,12 +73,12 @@ def win02_context_tokens(spark, sf):
     return P.context_tokens(W.service_context(events(spark, sf), 36000.0, 6))
 
 
-@query(f"""WITH {DOCS}, f AS (SELECT flow_id, flow_id // 5 AS "window", string_agg(token, ' ' ORDER BY pos) || ' [SEP]' AS t FROM tok WHERE pos < 20 GROUP BY flow_id), w AS (SELECT "window", string_split(string_agg(t, ' ' ORDER BY flow_id), ' ') AS p FROM f GROUP BY "window")
- SELECT "window", array_to_string(CASE WHEN len(p) > 40 THEN list_append(p[1:39], '[SEP]') ELSE p END, ' ') AS text FROM w""")
+@query(f"""WITH {DOCS}, f AS (SELECT flow_id, flow_id // 5 AS "window", string_agg(token, ' ' ORDER BY pos) || ' [SEP]' AS t FROM tok GROUP BY flow_id), w AS (SELECT "window", string_split(string_agg(t, ' ' ORDER BY flow_id), ' ') AS p FROM f GROUP BY "window")
+ SELECT "window", array_to_string(CASE WHEN len(p) > 512 THEN list_append(p[1:511], '[SEP]') ELSE p END, ' ') AS text FROM w""")
 def win07_paragraph_tokens(spark, sf):
-    t = token_rows(spark, sf).where("pos < 20")
+    t = token_rows(spark, sf)
     w = t.select("flow_id").distinct().select("flow_id", F.floor(F.col("flow_id") / 5).alias("window"), F.col("flow_id").alias("i"))
-    return P.paragraph_tokens(w, t, 40).select("window", F.array_join("tokens", " ").alias("text"))
+    return P.paragraph_tokens(w, t, 512).select("window", F.array_join("tokens", " ").alias("text"))
 
 
 @query("""WITH b AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS i, unnest(embedding::DOUBLE[]) AS x, label FROM embeddings), c AS (SELECT i, avg(x) AS c FROM b WHERE label < 5 GROUP BY i)
@@ -117,10 +117,19 @@ def agg39_domain_gap(spark, sf):
     return rounded(M.domain_gap(read(spark, sf, "embeddings").select("label", F.col("embedding").alias("v")), "label"))
 
 
-@query("""SELECT o_orderkey AS mid, o_totalprice AS score, CASE WHEN o_orderkey % 2 = 0 THEN 'memory' ELSE 'candidate' END AS origin FROM orders WHERE o_orderkey % 2 = 0 OR o_totalprice < 200000""")
+@query("""WITH m AS (SELECT o_orderkey AS mid, o_totalprice AS score FROM orders WHERE o_orderkey % 2 = 0), c AS (SELECT o_orderkey AS mid, o_totalprice AS score FROM orders WHERE o_orderkey % 2 = 1), q AS (SELECT quantile_cont(score, [0.5, 0.95]) AS q, count(*) AS n FROM c),
+ t AS (SELECT mid, score, row_number() OVER (ORDER BY mid) AS r FROM c, q WHERE score >= q[2]), h AS (SELECT mid, score, row_number() OVER (ORDER BY sha1('42|update|' || mid), mid) AS r FROM c),
+ a AS (SELECT 'core75' AS policy, mid, score FROM m WHERE false UNION ALL SELECT 'random', mid, score FROM h, q WHERE r <= greatest(1, n // 2) UNION ALL SELECT 'low_score', mid, score FROM c, q WHERE score <= q[1] UNION ALL SELECT 'quarantine', mid, score FROM c, q WHERE score <= q[2]
+ UNION ALL SELECT 'tail_aware', mid, score FROM c, q WHERE score <= q[1] UNION ALL SELECT 'tail_aware', mid, score FROM t, q WHERE r <= greatest(1, n // 20) AND score > q[1])
+ SELECT policy, count(mid) + (SELECT count(*) FROM m) AS rows, count(mid) AS admitted, round(coalesce(sum(score), 0), 3) AS admitted_score FROM (VALUES ('core75'), ('random'), ('low_score'), ('tail_aware'), ('quarantine')) p(policy) LEFT JOIN a USING (policy) GROUP BY policy""")
 def cal08_govern_memory(spark, sf):
     o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("mid"), F.col("o_totalprice").alias("score"))
-    return M.govern_memory(o.where("mid % 2 = 0"), o.where("mid % 2 = 1"), "low_score", 200000.0)
+    out = None
+    for policy in ("core75", "random", "low_score", "tail_aware", "quarantine"):
+        new = F.col("origin") == "candidate"
+        one = M.govern_memory(o.where("mid % 2 = 0"), o.where("mid % 2 = 1"), policy).agg(F.lit(policy).alias("policy"), F.count("*").alias("rows"), F.count_if(new).alias("admitted"), F.round(F.coalesce(F.sum(F.when(new, F.col("score"))), F.lit(0.0)), 3).alias("admitted_score"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""WITH {KNOWN}, nb AS (SELECT id, mid FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dot DESC, mid) AS r FROM dots) WHERE r <= 3), kk AS (SELECT id, count(*) AS k FROM nb GROUP BY id), m AS (SELECT nb.id, token, sum(w) / any_value(k) AS m FROM nb JOIN mm USING (mid) JOIN kk ON nb.id = kk.id GROUP BY nb.id, token),

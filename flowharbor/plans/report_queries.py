@@ -84,20 +84,20 @@ def top10_select_packets(spark, sf):
     return R.select_packets(rows(spark, sf).withColumn("tagged", (F.col("len") > 1000).cast("int")), 4).select("flow", "seq", "kind")
 
 
-TRIG = f"{DOCS}, tr AS (SELECT flow_id, substr(token, 1, 1) AS family FROM tok WHERE length(token) > 9), fl AS (SELECT DISTINCT flow_id, label FROM tok)"
+TRIG = f"{DOCS}, tr AS (SELECT flow_id, substr(token, 1, 1) AS family FROM tok), fl AS (SELECT DISTINCT flow_id, label FROM tok)"
 
 
 @query(f"""WITH {TRIG}, b AS (SELECT t.flow_id, family, label, count(*) AS n FROM tr t JOIN fl USING (flow_id) GROUP BY ALL), n AS (SELECT label, count(*) AS flows FROM fl GROUP BY label UNION ALL SELECT NULL, count(*) FROM fl),
  s AS (SELECT family, label, count(*) AS fired, avg(n) AS mean_count FROM b GROUP BY GROUPING SETS ((family, label), (family))) SELECT family, s.label, fired, round(mean_count, 6) AS mean_count, round(fired / flows, 6) AS rate FROM s JOIN n ON s.label IS NOT DISTINCT FROM n.label""")
 def agg21_primitive_scale(spark, sf):
     t = token_rows(spark, sf)
-    return rounded(R.primitive_scale(t.where("length(token) > 9").select("flow_id", F.substring("token", 1, 1).alias("family")), t.select("flow_id", "label").distinct()))
+    return rounded(R.primitive_scale(t.select("flow_id", F.substring("token", 1, 1).alias("family")), t.select("flow_id", "label").distinct()))
 
 
 @query(f"WITH {TRIG}, a AS (SELECT flow_id FROM fl WHERE label = 'ATTACK') SELECT family, count(DISTINCT flow_id) AS explained, (SELECT count(*) FROM a) AS alerts, round(count(DISTINCT flow_id) / (SELECT count(*) FROM a), 6) AS coverage FROM tr WHERE flow_id IN (SELECT flow_id FROM a) GROUP BY family")
 def agg22_explanation_coverage(spark, sf):
     t = token_rows(spark, sf)
-    return rounded(R.explanation_coverage(t.where("label = 'ATTACK'").select("flow_id").distinct(), t.where("length(token) > 9").select("flow_id", F.substring("token", 1, 1).alias("family"))))
+    return rounded(R.explanation_coverage(t.where("label = 'ATTACK'").select("flow_id").distinct(), t.select("flow_id", F.substring("token", 1, 1).alias("family"))))
 
 
 @query("""WITH f AS (SELECT event_id, event_type AS port, user_id % 10 AS src, user_id % 37 AS dst, (row_number() OVER (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id) - 1) // 16 AS block FROM events), b AS (SELECT port, src, block, dst, count(*) AS c FROM f GROUP BY ALL)

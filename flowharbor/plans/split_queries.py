@@ -97,12 +97,31 @@ def aug02_length_align(spark, sf):
     return X.perturb(rows(spark, sf), "length_align", 0.5).select("flow", "seq", "len")
 
 
-@query(f"WITH {PACKETS} SELECT flow, seq FROM (SELECT *, row_number() OVER (PARTITION BY flow ORDER BY ts, seq) - 1 AS i FROM rows) WHERE i % 2 = 0")
+GAPS = f"{PACKETS}, g AS (SELECT *, greatest(ts - lag(ts) OVER w, 1e-6) AS gap, min(ts) OVER (PARTITION BY flow) AS f, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY flow) AS n FROM rows WINDOW w AS (PARTITION BY flow ORDER BY ts, seq))"
+
+
+@query(f"""WITH {GAPS}, m AS (SELECT flow, any_value(n) AS n, any_value(f) AS f, greatest(coalesce(quantile_cont(gap, 0.5), 1.0), 1e-3) * 11.0 AS pace, greatest(2.0, round_even(any_value(n) * 0.5, 0)) AS want FROM g GROUP BY flow),
+ k AS (SELECT flow, unnest(range(0, CAST(want AS BIGINT))) AS j, n, f, pace, want FROM m WHERE want < n AND length(flow) % 2 = 0) SELECT g.flow, seq, round(k.f + j * pace, 3) AS ts FROM k JOIN g ON g.flow = k.flow AND g.i = floor(j * (k.n - 1) / (want - 1))
+ UNION ALL SELECT g.flow, seq, round(ts, 3) FROM g JOIN m ON g.flow = m.flow WHERE want >= m.n OR length(g.flow) % 2 = 1""")
 def aug04_low_rate(spark, sf):
-    return X.perturb(rows(spark, sf), "low_rate_c2", 0.5).select("flow", "seq")
+    r = rows(spark, sf).withColumn("attack", F.length("flow") % 2 == 0)
+    return X.perturb(r, "low_rate_c2", 0.5).select("flow", "seq", F.round("ts", 3).alias("ts"))
+
+
+@query(f"""WITH {GAPS}, c AS (SELECT flow, quantile_cont(gap, 0.25) AS lo, quantile_cont(gap, 0.75) AS hi FROM g GROUP BY flow), t AS (SELECT g.flow, g.seq, g.ts, g.f, CASE WHEN gap <= lo THEN gap * 4.0 ELSE gap END AS s, CASE WHEN gap >= hi THEN greatest(gap * 0.7, 1e-6) ELSE gap END AS m FROM g JOIN c ON g.flow = c.flow)
+ SELECT 'burst_split' AS mode, flow, seq, round(f + sum(coalesce(s, 0.0)) OVER w, 3) AS ts FROM t WINDOW w AS (PARTITION BY flow ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) UNION ALL SELECT 'burst_merge', flow, seq, round(f + sum(coalesce(m, 0.0)) OVER w, 3) FROM t WINDOW w AS (PARTITION BY flow ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)""")
+def aug03_bursts(spark, sf):
+    one = lambda mode: X.perturb(rows(spark, sf), mode, 0.3).select(F.lit(mode).alias("mode"), "flow", "seq", F.round("ts", 3).alias("ts"))
+    return one("burst_split").unionByName(one("burst_merge"))
+
+
+@query()
+def aug05_short_flow_delete(spark, sf):
+    r = X.perturb(rows(spark, sf), "short_flow_delete", 0.4)
+    return r.groupBy("flow").agg(F.count("*").alias("n"))
 
 
 @query()
 def aug06_perturb_panel(spark, sf):
-    p = X.perturb_panel(rows(spark, sf), ["packet_delete", "packet_insert", "direction_flip", "length_padding", "delay_stretch"], [0.1, 0.3])
+    p = X.perturb_panel(rows(spark, sf), ["packet_delete", "packet_insert", "direction_flip", "length_padding", "delay_stretch", "iat_jitter"], [0.1, 0.3])
     return p.groupBy("mode", "strength").agg(F.count("*").alias("packets"), F.count_distinct("flow").alias("flows"), F.sum("len").alias("bytes"), F.sum("dir").alias("up"))

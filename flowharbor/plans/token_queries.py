@@ -65,7 +65,7 @@ def agg17_ngram_motifs(spark, sf):
 
 
 @query(f"""WITH {DOCS}, f AS (SELECT count(DISTINCT flow_id) FILTER (label = 'ATTACK') AS a_, count(DISTINCT flow_id) FILTER (label = 'BENIGN') AS b_ FROM tok), d AS (SELECT DISTINCT flow_id, label, token FROM tok)
- SELECT token, count(*) FILTER (label = 'ATTACK') AS in_attack, count(*) FILTER (label = 'BENIGN') AS in_benign, round((count(*) FILTER (label = 'ATTACK') / any_value(a_) + 1e-6) / (count(*) FILTER (label = 'BENIGN') / any_value(b_) + 1e-6), 6) AS lift FROM d, f GROUP BY token HAVING count(*) >= 10""")
+ SELECT token, count(*) FILTER (label = 'ATTACK') AS in_attack, count(*) FILTER (label = 'BENIGN') AS in_benign, round((count(*) FILTER (label = 'ATTACK') / any_value(a_) + 1e-6) / (count(*) FILTER (label = 'BENIGN') / any_value(b_) + 1e-6), 6) AS lift FROM d, f GROUP BY token HAVING count(*) FILTER (label IN ('ATTACK', 'BENIGN')) >= 10""")
 def agg20_token_lift(spark, sf):
     return rounded(T.token_lift(token_rows(spark, sf), 10))
 
@@ -73,8 +73,8 @@ def agg20_token_lift(spark, sf):
 @query()
 def agg16_select_motifs(spark, sf):
     t = token_rows(spark, sf)
-    s = T.motif_support(t).withColumn("utility", F.round(F.col("support") + F.col("coverage"), 9))
-    return T.select_motifs(s, t, 40, 0.05, 0.9, 0.5, 200)
+    s = T.motif_support(t).where(F.col("support") >= 0.01).join(T.motif_stability(t), "token")
+    return T.select_motifs(T.motif_utility(s.withColumn("sensitivity", F.lit(0.0))), t, 40, 0.05, 0.9, 0.5, 200)
 
 
 @query(f"""WITH {DOCS}, a AS (SELECT 0 AS source, flow_id, pos, token FROM tok WHERE split = 'test' UNION ALL SELECT 1, flow_id, pos, token FROM tok WHERE split = 'train'), f AS (SELECT token, min((source, flow_id, pos)) AS at_, count(*) AS n FROM a GROUP BY token)

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
 
-#: Timestamp formats of the label feeds.
-LABEL_FORMATS = ["d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "d/M/yyyy h:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss"]
+#: Timestamp formats of the label feeds, in the order tried. Years first, month first and day first as the first feed has them; day first in the second.
+_CLOCKS, _TWELVE = (" H:m:s.SSSSSS", " H:m:s.SSS", " H:m:s"), (" h:m:s.SSSSSS a", " h:m:s a")
+LABEL_FORMATS = [
+    *["yyyy-M-d" + c for c in _CLOCKS], *["yyyy/M/d" + c for c in _CLOCKS], *["M/d/yyyy" + c for c in (*_CLOCKS, *_TWELVE)], *["d/M/yyyy" + c for c in (*_CLOCKS, *_TWELVE)], "yyyy-M-d H:m", "yyyy/M/d H:m", "M/d/yyyy H:m", "d/M/yyyy H:m",
+]
+DAY_FIRST_FORMATS = [*["d/M/yyyy" + c for c in (*_CLOCKS, *_TWELVE)], *["yyyy-M-d" + c for c in _CLOCKS]]
 
 
 def _usable(df: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def packets_of(raw: DataFrame) -> DataFrame:
     flag = pick("is_orig")
     return raw.select(
         pick("timestamp", "ts", "time").try_cast("double").alias("timestamp"), pick("srcip", "id.orig_h", "id_orig_h", "src_ip").alias("src_ip"), pick("srcport", "id.orig_p", "id_orig_p", "src_port").alias("src_port"),
-        pick("dstip", "id.resp_h", "id_resp_h", "dst_ip").alias("dst_ip"), pick("dstport", "id.resp_p", "id_resp_p", "dst_port").alias("dst_port"), S.norm_protocol(pick("proto", "protocol")).alias("protocol"),
+        pick("dstip", "id.resp_h", "id_resp_h", "dst_ip").alias("dst_ip"), pick("dstport", "id.resp_p", "id_resp_p", "dst_port").alias("dst_port"), S.norm_protocol(pick("proto", "protocol"), "log").alias("protocol"),
         S.to_int(pick("applayerlength", "length", "len")).cast("int").alias("length"), F.when(flag != "", S.parse_is_orig(flag)).alias("is_orig"), pick("appinfo", "service").alias("appinfo"), pick("uid").alias("uid"),
     )
 
