@@ -152,10 +152,10 @@ def _deal(counts: dict[int, int], pivots: np.ndarray, rows: int, gather: bool) -
     """{pivot: (group, salts)} and the groups' centers: a pivot of more than `rows` vectors has several salts; with `gather`,
     pivots near each other share a group of about `rows`."""
     groups: list[list[int]] = []
-    full = rows
+    full = 0
     for p in _chained(pivots):
         n = counts.get(p, 0)
-        if not gather or full + n > rows:
+        if not groups or not gather or full + n > rows:
             groups.append([])
             full = 0
         groups[-1].append(p)
