@@ -7,6 +7,7 @@ from the containers on its host's winning path, or, where it has none, on its ow
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterator
@@ -51,7 +52,6 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?", re.S)
 _MARKED = re.compile(r">(article|main)(\.[^>]*)?$")
 _SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
-_SPACE = re.compile(r"\s+")
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -100,6 +100,19 @@ def _suspect(tag: str, attributes: dict[str, str]) -> str:
     return "maybe" if any(not SKIP_WORDS.isdisjoint(x) for x in names) else ""
 
 
+@functools.lru_cache(4096)
+def _tag_facts(tag: str, raw: str) -> tuple[str, bool, str]:
+    """Of a start tag: its step of a generalised path, whether it is skipped, and what its class words say."""
+    attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
+    names = ".".join([tag, *sorted({re.sub(r"\d+", "", x) for x in attributes.get("class", "").lower().split()} - {""})])
+    return names, _skipped(tag, attributes), _suspect(tag, attributes)
+
+
+@functools.lru_cache(64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I)
+
+
 def _boilerplate(suspects: list[tuple[str, bool]], marked: list[tuple[int, ...]], sizes: dict[tuple[int, ...], int], links: dict[tuple[int, ...], int]) -> set[int]:
     """The suspects that are boilerplate. One that holds the page's only article or main is a wrapper, and so is a "maybe" one
     beside which hardly any text would be kept. A "maybe" one inside an article or main is judged by what it holds: it stays
@@ -163,7 +176,7 @@ def parse(source: str | None) -> Page:
                 close(depth)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(source, pos)
+            end = _end_of(tag).search(source, pos)
             pos = end.end() if end else (size if tag in ("script", "style", "title", "textarea") else pos)
             continue
         if tag == "br" or tag == "hr":
@@ -185,12 +198,11 @@ def parse(source: str | None) -> Page:
                     break
         if tag in BLOCKS:
             flush()
-        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found[4] or "")}
+        names, skipped, why = _tag_facts(tag, found[4] or "")
         above = stack[-1] if stack else ("", False, "", (), False, ())
-        names = ".".join([tag, *sorted({re.sub(r"\d+", "", x) for x in attributes.get("class", "").lower().split()} - {""})])
         path = f"{above[2]}>{names}" if tag in BLOCKS else above[2]
-        skip, inside = above[1] or _skipped(tag, attributes), above[3]
-        within, why = above[5], _suspect(tag, attributes)
+        skip, inside = above[1] or skipped, above[3]
+        within = above[5]
         if why and not skip:
             suspects.append((why, any(_MARKED.search(page.containers[i].path) for i in inside)))
             within = (*within, len(suspects) - 1)
@@ -221,7 +233,7 @@ def _settled(page: Page, blocks: list, suspects: list[tuple[str, bool]], around:
         box.above = tuple(place[i] for i in box.above if i in place)
     for pieces, inside in blocks:
         pieces = [x for x in pieces if gone.isdisjoint(x[2])]
-        block = _SPACE.sub(" ", "".join(x[0] for x in pieces)).strip()
+        block = " ".join("".join(x[0] for x in pieces).split())
         if block:
             inside, linked = tuple(place[i] for i in inside if i in place), sum(x[1] for x in pieces)
             out.blocks.append((block, inside))
