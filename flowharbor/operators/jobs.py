@@ -10,6 +10,7 @@ from flowharbor.functions.scalars import hash_rank_key
 from . import memory as K
 from . import metrics as M
 from . import tokens as T
+from .profiles import flow_tokens
 
 
 def view_filter(token: Column, view: str) -> Column:
@@ -173,6 +174,30 @@ def pollution(memory: DataFrame, attacks: DataFrame, fraction: float, seed: int
     return memory.select("mid", F.lit(0).alias("polluted")).unionByName(bad.select("mid", F.lit(1).alias("polluted")))
 
 
+def memory_pollution(scored: DataFrame, threshold: float, fraction: float, seed: int = 43, **memory) -> DataFrame:
+    """STR09: the service memories of STR08 over scored flows (flow_id, service, ts, value, score, y), a share of whose attacks, drawn
+    by hash, slips into memory: one row of rates, poisoned and clean updates."""
+    from flowharbor.streaming.flows import dynamic_memory
+
+    want = round(scored.where("y = 1").count() * fraction)
+    drawn = scored.where("y = 1").orderBy(hash_rank_key(F.col("flow_id"), seed, "poison"), "flow_id").limit(want).select("flow_id", F.lit(True).alias("poison"))
+    rows = scored.join(drawn, "flow_id", "left")
+    out = dynamic_memory(rows, threshold, poison="poison", **memory).join(rows.select("flow_id", "y", F.coalesce("poison", F.lit(False)).alias("poison")), "flow_id")
+    hit, bad = F.col("memory_score") >= threshold, F.col("y") == 1
+    facts = out.agg(F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & ~bad).alias("tn"), F.count_if(hit & bad).alias("tp"), F.count_if(~hit & bad).alias("fn"), F.count_if(F.col("poison")).alias("poisoned_updates"), F.count_if((F.col("admitted") == 1) & ~F.col("poison")).alias("clean_updates"))
+    return facts.withColumns({"fpr": M.ratio(F.col("fp"), F.col("fp") + F.col("tn")), "recall": M.ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
+
+
+def primitive_sensitivity(rows: DataFrame, splits: DataFrame, grid: list[dict], k: int = 3, **tokens) -> DataFrame:
+    """CAL16: the leave-one metrics of packet rows' behaviour tokens under each setting of the profile primitives (`short`, `chunk`), one row a setting."""
+    out = None
+    for setting in grid:
+        corpus = flow_tokens(rows, **tokens, **setting).join(splits, "flow").select(F.col("flow").alias("flow_id"), "split", "label", F.posexplode("tokens").alias("pos", "token")).persist()  # read several times below
+        one = leave_one_job(corpus, k).withColumn("setting", F.lit(", ".join(f"{a}={b}" for a, b in sorted(setting.items()))))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def insert_benign(attacks: DataFrame, benign: DataFrame, share: float, shift: float, seed: int = 42) -> DataFrame:
     """AUG05: attack flows with hash-drawn benign ones put in, moved by `shift` seconds."""
     from .splits import uniform

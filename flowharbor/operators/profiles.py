@@ -120,7 +120,13 @@ def _len_bins(lens: str, most: int) -> Column:
     return F.transform(F.slice(lens, 1, most), lambda x: F.concat(F.lit("PKT_LEN_"), S.log_bin(x)))
 
 
-def profile_tokens(rows: DataFrame, chunk: int = 128, short: int = 6) -> DataFrame:
+def profile_items(rows: DataFrame, chunk: int = 128) -> dict[str, DataFrame]:
+    """The items of all kinds. They are kept (persisted, and made again if lost), as tokens, tags and rhythm all read them."""
+    made = {"packet": packet_items(rows, chunk), "local": local_items(rows, chunk), "repeat": repeat_items(rows), "dup": duplicate_items(rows)}
+    return {kind: df.persist() for kind, df in made.items()}
+
+
+def profile_tokens(rows: DataFrame, items: dict[str, DataFrame], short: int = 6) -> DataFrame:
     """(flow, sect, idx, tokens): the tokens of each profile item of a flow, in the order of the kinds."""
     token, count = (lambda k: F.lit(PROFILE_TOKENS[k])), F.concat(F.lit("FLOW_COUNT_"), S.log_bin(F.col("count")))
     length = F.concat(F.lit("PKT_LEN_"), S.log_bin(F.col("length")))
@@ -128,10 +134,10 @@ def profile_tokens(rows: DataFrame, chunk: int = 128, short: int = 6) -> DataFra
     parts = [
         by.where(F.col("count") < short).select("flow", F.lit(0).alias("idx"), F.array(token("SHORT"), count).alias("tokens")),
         by.where("length = top").select("flow", F.lit(0).alias("idx"), F.array(token("SAME"), length, count).alias("tokens")),
-        packet_items(rows, chunk).where("idx < 8").select("flow", "idx", F.array(token("PKT"), F.concat(F.lit("PKT_DIR_"), "dir"), length, count).alias("tokens")),
-        local_items(rows, chunk).where("idx < 4").select("flow", "idx", F.concat(F.array(token("LOCAL"), F.concat(F.lit("PKT_DIR_"), "dir"), F.concat(F.lit("MATCH_"), "match")), _len_bins("lens", 4)).alias("tokens")),
-        repeat_items(rows).where("idx < 4").select("flow", "idx", F.array(token("REPEAT"), length, count).alias("tokens")),
-        duplicate_items(rows).where("idx < 4").select("flow", "idx", F.concat(F.array(token("DUP"), count), _len_bins("left", 2), _len_bins("right", 2)).alias("tokens")),
+        items["packet"].where("idx < 8").select("flow", "idx", F.array(token("PKT"), F.concat(F.lit("PKT_DIR_"), "dir"), length, count).alias("tokens")),
+        items["local"].where("idx < 4").select("flow", "idx", F.concat(F.array(token("LOCAL"), F.concat(F.lit("PKT_DIR_"), "dir"), F.concat(F.lit("MATCH_"), "match")), _len_bins("lens", 4)).alias("tokens")),
+        items["repeat"].where("idx < 4").select("flow", "idx", F.array(token("REPEAT"), length, count).alias("tokens")),
+        items["dup"].where("idx < 4").select("flow", "idx", F.concat(F.array(token("DUP"), count), _len_bins("left", 2), _len_bins("right", 2)).alias("tokens")),
     ]
     out = None
     for sect, part in enumerate(parts):
@@ -140,14 +146,14 @@ def profile_tokens(rows: DataFrame, chunk: int = 128, short: int = 6) -> DataFra
     return out
 
 
-def position_tags(rows: DataFrame, chunk: int = 128, short: int = 6) -> DataFrame:
+def position_tags(rows: DataFrame, items: dict[str, DataFrame], short: int = 6) -> DataFrame:
     """Packet rows with `i` (from 0), `n` and the profile kind that each packet carries: SHORT for all of a short flow; else
     REPEAT by length, SAME, PKT by length; LOCAL at the first and DUP at the last packet that has none, if the flow has such an item."""
     flows = rows.groupBy("flow").agg(F.count("*").alias("n"), (F.min("len") == F.max("len")).alias("same"))
-    repeat = repeat_items(rows).select("flow", F.col("length").alias("len"), F.lit(True).alias("repeat"))
-    packet = packet_items(rows, chunk).select("flow", F.col("length").alias("len"), F.lit(True).alias("packet")).distinct()
-    local = local_items(rows, chunk).select("flow", F.lit(True).alias("local")).distinct()
-    twice = duplicate_items(rows).select("flow", F.lit(True).alias("twice")).distinct()
+    repeat = items["repeat"].select("flow", F.col("length").alias("len"), F.lit(True).alias("repeat"))
+    packet = items["packet"].select("flow", F.col("length").alias("len"), F.lit(True).alias("packet")).distinct()
+    local = items["local"].select("flow", F.lit(True).alias("local")).distinct()
+    twice = items["dup"].select("flow", F.lit(True).alias("twice")).distinct()
     at = rows.withColumn("i", F.row_number().over(_order()) - 1).join(flows, "flow").join(repeat, ["flow", "len"], "left").join(packet, ["flow", "len"], "left").join(local, "flow", "left").join(twice, "flow", "left")
     base = F.when(F.col("n") < short, "SHORT").when(F.col("repeat"), "REPEAT").when(F.col("same"), "SAME").when(F.col("packet"), "PKT").otherwise("NONE")
     none = Window.partitionBy("flow", "base")
@@ -167,7 +173,8 @@ def flow_tokens(rows: DataFrame, profile: str = "full", max_packets: int = 96, m
     """
     if profile not in MODES:
         raise ValueError(f"unknown profile mode {profile}")
-    tagged = position_tags(rows, chunk, short) if profile in ("packet", "full") else rows.withColumns({"i": F.row_number().over(_order()) - 1, "n": F.count("*").over(Window.partitionBy("flow")), "tag": F.lit("NONE")})
+    items = profile_items(rows, chunk) if profile != "none" else {}
+    tagged = position_tags(rows, items, short) if profile in ("packet", "full") else rows.withColumns({"i": F.row_number().over(_order()) - 1, "n": F.count("*").over(Window.partitionBy("flow")), "tag": F.lit("NONE")})
     head, tail = max_packets // 2, max_packets // 4
     core = (F.col("n") <= max_packets) | (F.col("i") < head) | (F.col("i") >= F.greatest(F.lit(head), F.col("n") - tail))
     extra = ~core & (F.col("tag") != "NONE")
@@ -181,12 +188,12 @@ def flow_tokens(rows: DataFrame, profile: str = "full", max_packets: int = 96, m
     packets = gaps.alias("b").join(picked.alias("p"), ["flow", "seq"]).select("flow", "i", F.array(*each).alias("t"))
     flat = lambda *order: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x[order[-1]]))
     body = packets.groupBy("flow").agg(flat("i", "t").alias("packets"))
-    summary = profile_tokens(rows, chunk, short).groupBy("flow").agg(flat("sect", "idx", "tokens").alias("summary")) if profile in ("summary", "full") else None
+    summary = profile_tokens(rows, items, short).groupBy("flow").agg(flat("sect", "idx", "tokens").alias("summary")) if profile in ("summary", "full") else None
     facts = rows.groupBy("flow").agg(F.count("*").alias("n"), (F.max("ts") - F.min("ts")).alias("took"), F.sum("dir").alias("c2s")).join(bursts(rows, gap).groupBy("flow").agg(F.count("*").alias("bursts")), "flow")
     if profile == "none":
         facts = facts.withColumns({"is_short": F.lit(False), "periodic": F.lit(False)})
     else:
-        again = repeat_items(rows).select("flow").unionByName(duplicate_items(rows).select("flow")).distinct().withColumn("periodic", F.lit(True))
+        again = items["repeat"].select("flow").unionByName(items["dup"].select("flow")).distinct().withColumn("periodic", F.lit(True))
         facts = facts.join(again, "flow", "left").withColumns({"is_short": F.col("n") < short, "periodic": F.coalesce("periodic", F.lit(False))})
     start = F.array(
         F.lit("[CLS]"), numbered("FLOW_PKTN", S.log_bin(F.col("n"))), numbered("FLOW_DUR", S.log_bin(F.col("took") * 1000.0)), numbered("FLOW_BURSTN", S.log_bin(F.col("bursts"))),
@@ -249,7 +256,7 @@ def attach_profile(flows: DataFrame, profile: DataFrame) -> DataFrame:
 def behaviour_corpus(tokens: DataFrame, splits: DataFrame, max_len: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """TOK05: of flow_tokens() and splits (flow, split, label): the long corpus (flow_id, split, label, pos, token), the vocabulary of
     its train rows, and by split the flows, lengths, share of unknown tokens and of flows cut short. Flows without a split go."""
-    rows = tokens.join(splits, "flow")
+    rows = tokens.join(splits, "flow").persist()  # corpus, vocabulary and statistics all read it
     corpus = rows.select(F.col("flow").alias("flow_id"), "split", "label", F.posexplode("tokens").alias("pos", "token"))
     vocab = fit_vocab(corpus, ("[PAD]", "[CLS]", "[SEP]", "[MASK]", "[UNK]"))
     cut = rows.groupBy("split").agg(F.avg(F.col("truncated").cast("double")).alias("cut"), F.max("raw_tokens").alias("longest"))

@@ -19,5 +19,5 @@ def query(sql: str | None = None):
     return take
 
 
-for _module in ("flow_queries", "label_queries", "metric_queries", "token_queries", "memory_queries", "window_queries", "split_queries", "stream_queries", "report_queries", "primitive_queries", "profile_queries", "job_queries"):
+for _module in ("flow_queries", "label_queries", "metric_queries", "token_queries", "memory_queries", "window_queries", "split_queries", "stream_queries", "report_queries", "primitive_queries", "profile_queries", "schema_queries", "job_queries"):
     import_module(f"flowharbor.plans.{_module}")

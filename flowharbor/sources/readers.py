@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
+from flowharbor.operators.flows import expand_conn
+from flowharbor.operators.labels import enrich_by_uid
 
 #: Timestamp formats of the label feeds, in the order tried. Years first, month first and day first as the first feed has them; day first in the second.
 _CLOCKS, _TWELVE = (" H:m:s.SSSSSS", " H:m:s.SSS", " H:m:s"), (" h:m:s.SSSSSS a", " h:m:s a")
@@ -58,7 +60,7 @@ def lines_to_columns(lines: DataFrame) -> DataFrame:
     return parsed.select(*[F.col("m")[k].alias(k) for k in sorted(keys)])
 
 
-def read_sensor_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_sensor_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC03: TSV logs whose #fields, #empty_field and #unset_field differ by file; empty and unset become ''."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     head = raw.where("startswith(value, '#')").select("file", F.split("value", "\t").alias("p"))
@@ -70,6 +72,44 @@ def read_sensor_tsv(spark: SparkSession, path: str) -> DataFrame:
     return body.select("file", cells.alias("m")).select("file", *[F.coalesce(F.col("m")[n], F.lit("")).alias(n) for n in names])
 
 
+def log_formats(spark: SparkSession, path: str) -> dict[str, str]:
+    """SRC04: {file: json or tsv}: by extension, else json where the first line that is not blank begins with a brace. A row a file reaches the driver."""
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("v"), F.monotonically_increasing_id().alias("i"))
+    first = lines.groupBy("file").agg(F.min_by("v", "i").alias("v")).select("file", (F.lower("file").rlike(r"\.(json|jsonl|ndjson)$") | F.startswith("v", F.lit("{"))).alias("json"))
+    return {r.file: "json" if r.json else "tsv" for r in first.collect()}
+
+
+def read_sensor_rows(spark: SparkSession, path: str) -> DataFrame:
+    """SRC04: rows of sensor logs of both formats under all their columns; a column that a format lacks is null."""
+    formats, parts = log_formats(spark, path), []
+    if files := [f for f, kind in formats.items() if kind == "json"]:
+        parts.append(lines_to_columns(spark.read.text(files).where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")))
+    if files := [f for f, kind in formats.items() if kind == "tsv"]:
+        parts.append(read_sensor_tsv(spark, files).drop("file"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_sensor_packets(spark: SparkSession, path: str) -> DataFrame:
+    """SRC05: packets of sensor logs: packet rows, their empty protocol and service filled from the connection row of the same uid; if
+    there is no packet row at all, packets made up from the connection rows."""
+    raw = read_sensor_rows(spark, path)
+    pick = lambda *n: S.first_of(raw, *n)
+    conns = raw.where(S.is_conn_row(raw))
+    if raw.where(S.is_packet_row(raw)).isEmpty():
+        ends = packets_of(conns).select("uid", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "appinfo")
+        counts = conns.select(pick("uid").alias("uid"), pick("ts", "timestamp", "time").try_cast("double").alias("ts"), S.to_double(pick("duration")).alias("duration"), *[S.to_int(pick(c)).cast("int").alias(c) for c in ("orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes")], pick("service", "appinfo").alias("service"))
+        return _usable(expand_conn(counts).drop("service").join(ends.dropDuplicates(["uid"]), "uid"))
+    packets = packets_of(raw.where(~S.is_conn_row(raw)))
+    known = conns.select(pick("uid").alias("uid"), S.norm_protocol(pick("proto", "protocol"), "log").alias("proto"), pick("service", "appinfo").alias("service"), F.monotonically_increasing_id().alias("seq")).where("uid <> ''")
+    filled = enrich_by_uid(packets.withColumnRenamed("appinfo", "service"), known).withColumnRenamed("service", "appinfo")
+    return _usable(filled.withColumn("seq", F.monotonically_increasing_id()))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SRC06: flow or score rows of JSON lines under a given schema; a line that does not fit gives nulls."""
+    return spark.read.schema(schema).json(path)
+
+
 def read_labels(spark: SparkSession, path: str, policy: str = "keep", formats: list[str] | None = None) -> DataFrame:
     """SRC07/08: flow-meter label CSVs: key, times, status, label under the attempted policy, raw label, source file."""
     raw = spark.read.option("header", True).csv(path).withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
@@ -92,8 +132,13 @@ def read_csv_union(spark: SparkSession, paths: list[str], most: int | None = Non
 
 
 def read_attack_windows(spark: SparkSession, path: str) -> DataFrame:
-    """SRC11: schedule CSV to windows; ends before their starts are on the next day; repeats go; sorted by start."""
-    raw = spark.read.option("header", True).csv(path)
+    """SRC11: schedule CSV, or JSON (a list, or under `windows`), to windows; ends before their starts are on the next day; repeats go; sorted by start."""
+    if path.endswith(".json"):
+        raw = spark.read.option("multiLine", True).json(path)
+        raw = raw.select(F.explode("windows").alias("w")).select("w.*") if "windows" in raw.columns else raw
+        raw = raw.withColumns({c: F.array_join(c, ",") for c in ("attacker_ips", "victim_ips") if dict(raw.dtypes)[c].startswith("array")})
+    else:
+        raw = spark.read.option("header", True).csv(path)
     at = lambda c: F.try_to_timestamp(F.concat_ws(" ", "iso_date", c), F.lit("yyyy-MM-dd H:mm")).cast("double")
     ends = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})"))
     rows = raw.withColumns({"start_ts": at("start_time"), "stop": at("finish_time"), "attackers": F.array_distinct(ends("attacker_ips")), "victims": F.array_distinct(ends("victim_ips"))})
@@ -113,14 +158,32 @@ def profile_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.groupBy("file").agg((F.count("*") - 1).alias("rows"), F.max(F.size(F.split("value", ","))).alias("columns"), F.approx_count_distinct(F.split("value", ",")[0]).alias("distinct_first"))
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """SRC06, SRC16: result files, with a header in CSV."""
+def profile_values(spark: SparkSession, path: str, columns: list[str], time: str | None = None) -> DataFrame:
+    """SRC17: (file, column, value, n) histograms of some columns of CSV files with headers, by any of their spellings' case, and under the
+    column `time`, if named, its first and last value."""
+    raw = spark.read.option("header", True).csv(path).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
+    counted = raw.select("file", F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.trim(F.col(f"`{c.lower()}`").cast("string")) for c in columns]))).alias("column", "value"))
+    out = counted.groupBy("file", "column", "value").agg(F.count("*").alias("n"))
+    if time:
+        ends = raw.groupBy("file").agg(F.min(f"`{time.lower()}`").alias("a"), F.max(f"`{time.lower()}`").alias("b"), F.count("*").alias("n"))
+        out = out.unionByName(ends.select("file", F.lit(time).alias("column"), F.explode(F.array("a", "b")).alias("value"), "n"))
+    return out
+
+
+def write_result(df: DataFrame | list[DataFrame], path: str, fmt: str = "json") -> None:
+    """SRC06, SRC16: result files, with a header in CSV; several tables go in one under the union of their columns."""
+    if isinstance(df, list):
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), df)
     df.write.mode("overwrite").format(fmt).option("header", True).save(path)
 
 
 def write_feature_matrix(long: DataFrame, path: str) -> None:
-    """SRC15: features in long form (feature_set, flow_id, feature, value), a folder a feature set."""
+    """SRC15: features in long form (feature_set, flow_id, feature, value), a folder a feature set, and beside it in `path`_schema the
+    features of each set with their numbers of flows, as JSON."""
     long.write.mode("overwrite").partitionBy("feature_set").parquet(path)
+    sets = long.groupBy("feature_set").agg(F.array_sort(F.collect_set("feature")).alias("features"), F.count_distinct("flow_id").alias("flows"))
+    sets.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_schema")
 
 
 def capped_by_file(df: DataFrame, most: int) -> DataFrame:

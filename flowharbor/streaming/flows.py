@@ -67,10 +67,10 @@ def sketch_stream(rows: DataFrame, most: int = 12, timeout_ms: int = 60_000) ->
     return rows.withWatermark("event_time", "1 minute").groupBy("flow").applyInPandasWithState(step, _SKETCH, "n long, size long, first array<int>, last array<int>", "append", "EventTimeTimeout")
 
 
-def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least: float = 0.7, alpha: float = 0.95, top: int = 5) -> DataFrame:
+def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least: float = 0.7, alpha: float = 0.95, top: int = 5, poison: str | None = None) -> DataFrame:
     """STR08: per service an ordered fold: a flow's score is the mean distance of its value to the `top` nearest remembered ones (the
     model's score while the memory is short); flows under the threshold are remembered if the service's reputation, decayed by alpha at every
-    alert and recovering otherwise, is at least `least`. Sequential inside a service by nature; a service streams through
+    alert and recovering otherwise, is at least `least`. Rows whose column `poison` is true are remembered whatever they score. Sequential inside a service by nature; a service streams through
     one task in time order without being gathered."""
     schema = "flow_id long, service string, memory_score double, admitted int, reputation double"
 
@@ -78,17 +78,17 @@ def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least:
         service, memory, trust = object(), [], 1.0
         for pdf in batches:
             out = []
-            for flow, s, value, score in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"]):
+            for flow, s, value, score, forced in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"], pdf["forced"]):
                 if s != service:
                     service, memory, trust = s, [], 1.0
                 near = sorted(abs(value - m) for m in memory)[:top]
                 got = sum(near) / len(near) if len(near) == top else score
                 bad = got >= threshold
                 trust = alpha * trust if bad else min(1.0, alpha * trust + (1 - alpha))
-                admit = not bad and trust >= least
+                admit = bool(forced) or not bad and trust >= least
                 if admit:
                     memory = [*memory, value][-size:]
                 out.append((flow, s, float(got), int(admit), trust))
             yield pd.DataFrame(out, columns=["flow_id", "service", "memory_score", "admitted", "reputation"])
 
-    return scored.repartition("service").sortWithinPartitions("service", "ts", "flow_id").select("flow_id", "service", "value", "score").mapInPandas(run, schema)
+    return scored.repartition("service").sortWithinPartitions("service", "ts", "flow_id").select("flow_id", "service", "value", "score", (F.coalesce(F.col(poison), F.lit(False)) if poison else F.lit(False)).alias("forced")).mapInPandas(run, schema)

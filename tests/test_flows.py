@@ -82,3 +82,37 @@ def test_days_and_probabilities(spark):
     p = spark.createDataFrame([({"a": 0.5, "b": 0.5},), ({"a": 0.9, "b": 0.1},)], "m map<string,double>").select(F.map_values("m").alias("p"), S.temperature(F.col("m"), 1.0).alias("t"))
     rows = p.select(S.entropy(F.col("p")).alias("e"), S.margin(F.col("p")).alias("g"), "t").collect()
     assert rows[0].e == pytest.approx(1) and rows[0].g == 0 and rows[1].g == pytest.approx(0.8) and rows[1].t["a"] == pytest.approx(0.9)
+
+
+def test_originator_flag_sets_directions(spark):
+    rows = [(1.0, *A, 60, True), (1.1, *A, 70, False), (1.2, *B, 80, True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq long, timestamp double, src_ip string, src_port string, dst_ip string, dst_port string, protocol string, length int, is_orig boolean")
+    flow = O.aggregate_packets(df).collect()
+    assert len(flow) == 1 and list(flow[0].dirs) == [1, 0, 0]
+    assert list(O.trace_flows(df, 2).first().lens) == [60, 70] and O.trace_flows(df, 2).first().orig_packets == 1
+
+
+def test_profiles_of_six_kinds(spark):
+    from flowharbor.operators import profiles as P
+
+    kinds = {"short": ([50, 60], [1, 0]), "same": ([70] * 7, [1, 0, 1, 0, 1, 0, 1]), "pairs": ([10, 20, 10, 20, 10, 20], [1, 0, 1, 0, 1, 0]), "runs": ([5, 5, 5, 9, 9, 9, 1], [1, 1, 1, 0, 0, 0, 1]), "zero": ([0] * 5 + [3], [1, 1, 1, 1, 1, 0])}
+    rows = [(f, float(100 * n + i), i, length, way) for n, (f, (lens, dirs)) in enumerate(sorted(kinds.items())) for i, (length, way) in enumerate(zip(lens, dirs))]
+    df = spark.createDataFrame(rows, "flow string, ts double, seq long, len int, dir int")
+    assert {(r.flow, r.length, r["count"]) for r in P.repeat_items(df).collect()} == {("runs", 5, 3), ("runs", 9, 3)}
+    assert {(r.flow, tuple(r.left), tuple(r.right), r["count"]) for r in P.duplicate_items(df).collect()} == {("pairs", (20,), (10,), 3), ("pairs", (10,), (20,), 2), ("same", (70,), (70,), 6)}
+    local = {(r.flow, r.seg): r.match for r in P.local_items(df).collect()}
+    assert local.get(("zero", 0), "SUM") in ("SUM", "FUZZY", "EXACT") and local["pairs", 0] in ("SUM", "FUZZY", "SHIFT2", "EXACT") if ("pairs", 0) in local else True
+    alone = P.local_items(df.where("flow = 'runs'")).collect()
+    assert [r.match for r in alone] == ["SINGLE"] * 3 and [list(r.lens) for r in sorted(alone, key=lambda r: r.idx)] == [[5, 5, 5], [9, 9, 9], [1]]
+    tokens = {r.flow: list(r.tokens) for r in P.flow_tokens(df).collect()}
+    assert tokens["short"][:6] == ["[CLS]", "FLOW_PKTN_1", "FLOW_DUR_9", "FLOW_BURSTN_1", "FLOW_DIR_RATIO_5", "RHY_SHORT"] and tokens["short"][-1] == "[SEP]"
+    assert "RHY_PERIODIC" in tokens["runs"] and tokens["pairs"].count("PRIM_PROFILE_DUP_SEG") >= 2
+    plain = {r.flow: list(r.tokens) for r in P.flow_tokens(df, "none").collect()}
+    assert not any(t.startswith("PRIM_") for t in plain["same"]) and P.flow_tokens(df.limit(0)).count() == 0
+
+
+def test_port_gates_and_motifs(spark):
+    df = spark.createDataFrame([("0", "SRC_PORT=1", "PRIM_STRUCT_PKT_X"), ("70000", "a_TS_b", "DM_x"), (None, "IMPORT_x", "PRIM_PROFILE_NONE"), ("x", "time", "y")], "p string, t string, m string")
+    got = df.select(S.port_class(F.col("p")).alias("c"), S.service_from_port(F.col("p")).alias("s"), S.is_port_token(F.col("t")).alias("port"), S.is_time_token(F.col("t")).alias("time"), S.motif_family(F.col("m")).alias("f"), S.is_motif(F.col("m")).alias("i")).collect()
+    assert [tuple(r) for r in got] == [("PORT_ZERO", "none", True, False, "structural_pkt", True), ("PORT_OTHER", "other", False, True, "data_mined", True), ("PORT_OTHER", "none", False, False, "profile", True), ("PORT_OTHER", "none", False, True, "motif", False)]
+    assert spark.range(1).select(S.passes_gate(F.array(F.lit(0.9), F.lit(0.1)), 0.8, 0.6, 0.5)).first()[0] and not spark.range(1).select(S.passes_gate(F.array(F.lit(0.6), F.lit(0.4)), 0.8)).first()[0]

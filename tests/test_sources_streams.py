@@ -81,3 +81,43 @@ def test_dynamic_memory_matches_plain_python(spark):
             ok = d < 0.5 and trust >= 0.6
             memory = [*memory, v][-8:] if ok else memory
             assert got[i] == (round(d, 9), int(ok))
+
+
+def test_mixed_sensor_logs(spark, tmp_path):
+    (tmp_path / "a.log").write_text('\n{"ts": "1.5", "uid": "u1", "id.orig_h": "10.0.0.1", "id.orig_p": "5", "id.resp_h": "10.0.0.2", "id.resp_p": "80", "length": "60", "is_orig": "T"}\n# note\n')
+    (tmp_path / "b.log").write_text("#separator \\x09\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tduration\torig_bytes\tresp_bytes\torig_pkts\tresp_pkts\tservice\n1.0\tu1\t10.0.0.1\t5\t10.0.0.2\t80\tudp\t1.0\t100\t300\t2\t3\thttp\n")
+    kinds = R.log_formats(spark, str(tmp_path))
+    assert sorted(kinds.values()) == ["json", "tsv"]
+    got = R.read_sensor_packets(spark, str(tmp_path)).collect()
+    assert [(r.length, r.protocol, r.appinfo, r.is_orig) for r in got] == [(60, "TCP", "http", True)]
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "c.log").write_text((tmp_path / "b.log").read_text())
+    made = R.read_sensor_packets(spark, str(tmp_path / "only")).orderBy("seq").collect()
+    assert [r.length for r in made] == [50, 50, 100, 100, 100] and {r.protocol for r in made} == {"UDP"}
+
+
+def test_result_sinks_and_profiles(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "id int, a string"), spark.createDataFrame([(2, 0.5)], "id int, b double")
+    R.write_result([a, b], str(tmp_path / "r"), "json")
+    assert R.read_jsonl(spark, str(tmp_path / "r"), "id int, a string, b double").orderBy("id").collect() == [(1, "x", None), (2, None, 0.5)]
+    long = spark.createDataFrame([("s", 1, "f", 1.0), ("s", 2, "g", 2.0)], "feature_set string, flow_id int, feature string, value double")
+    R.write_feature_matrix(long, str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m_schema")).first().features == ["f", "g"]
+    (tmp_path / "p.csv").write_text("Label , Time\nA,3\nB,1\nA,2\n")
+    got = {(r.column, r.value): r.n for r in R.profile_values(spark, str(tmp_path / "p.csv"), ["label"], "time").collect()}
+    assert got == {("label", "A"): 2, ("label", "B"): 1, ("time", "1"): 3, ("time", "3"): 3}
+    (tmp_path / "w.json").write_text('{"windows": [{"window_id": "w", "attack_family": "DoS", "iso_date": "2018-02-20", "start_time": "23:00", "finish_time": "1:00", "attacker_ips": ["1.2.3.4"], "victim_ips": ["5.6.7.8", "9.9.9.9"]}]}')
+    w = R.read_attack_windows(spark, str(tmp_path / "w.json")).first()
+    assert w.end_ts - w.start_ts == 7200 and w.victims == ["5.6.7.8", "9.9.9.9"]
+
+
+def test_replay_stream_scores_like_the_batch(spark, tmp_path):
+    from flowharbor.operators import replay
+
+    memory = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(6)], "mid long, v array<double>")
+    flows = spark.createDataFrame([(100 + i, [float(i % 2), 1.0], i % 2, float(i)) for i in range(8)], "id long, v array<double>, y int, ts double")
+    flows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(flows.schema).parquet(str(tmp_path / "in"))
+    replay.knn_replay_stream(stream, memory, 0.2, 3, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.id: r.hit for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.id: r.hit for r in replay.replayed(flows, memory, 0.2, 3).collect()} and set(got.values()) == {0, 1}
