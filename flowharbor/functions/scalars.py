@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 BENIGN = "BENIGN"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_of(df: DataFrame, *names: str, default: str = "") -> Column:
     """SCA01: the first of these columns that df has and that is not empty."""
     have = {c.lower(): c for c in df.columns}
@@ -146,16 +152,17 @@ FAMILIES = (
 
 def merged_label(c: Column) -> Column:
     """SCA14: the merged taxonomy: the first rule with a part in the label (with or without its white space), else a whole label, else the label."""
-    label = norm_label(c)
-    key = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(label), "_", " "), r"\s*-\s*", "-"), r"\s+", " ")
-    compact = F.regexp_replace(key, " ", "")
-    some = lambda parts: reduce(lambda a, b: a | b, [key.contains(p) | compact.contains(p) for p in parts], F.lit(False))
-    out = F.when(F.lower(label).startswith("web attack") | F.lower(label).startswith("webattack"), "WebAttack").when(compact.isin("benign", "normal"), BENIGN)
-    for family, parts, beside in MERGED_RULES:
-        out = out.when(some(parts) & (some(beside) if beside else F.lit(True)), family)
-    for whole, family in MERGED_WHOLE.items():
-        out = out.when(compact == whole, family)
-    return out.otherwise(label)
+    def ruled(label: Column, key: Column, compact: Column) -> Column:
+        some = lambda parts: reduce(lambda a, b: a | b, [key.contains(p) | compact.contains(p) for p in parts], F.lit(False))
+        out = F.when(F.lower(label).startswith("web attack") | F.lower(label).startswith("webattack"), "WebAttack").when(compact.isin("benign", "normal"), BENIGN)
+        for family, parts, beside in MERGED_RULES:
+            out = out.when(some(parts) & (some(beside) if beside else F.lit(True)), family)
+        for whole, family in MERGED_WHOLE.items():
+            out = out.when(compact == whole, family)
+        return out.otherwise(label)
+
+    key = lambda label: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(label), "_", " "), r"\s*-\s*", "-"), r"\s+", " ")
+    return let(norm_label(c), lambda label: let(key(label), lambda k: let(F.regexp_replace(k, " ", ""), lambda compact: ruled(label, k, compact))))
 
 
 #: Ordered rules of the families by source: family, parts anywhere, how it begins; letters only, without - _ and spaces.
@@ -172,23 +179,27 @@ CATEGORY_FAMILIES = {
 def source_family(c: Column, source: str) -> Column:
     """SCA16: a label's family under the rules of its source: flowmeter, schedule, rebuild or categories."""
     if source == "schedule":
-        merged = merged_label(c)
-        return F.when(merged == "Bot", "Botnet").when(merged == "PortScan", "Probe").otherwise(merged)
+        return let(merged_label(c), lambda merged: F.when(merged == "Bot", "Botnet").when(merged == "PortScan", "Probe").otherwise(merged))
     if source == "categories":
         return F.coalesce(F.create_map(*[F.lit(x) for kv in CATEGORY_FAMILIES.items() for x in kv])[F.lower(norm_label(c))], F.lit("OtherAttack"))
     raw = F.trim(F.coalesce(c, F.lit("")))
-    key = F.regexp_replace(F.lower(raw), "[-_ ]", "")
-    out = F.when(key.isin("benign", "normal"), BENIGN)
-    for family, parts, start in SOURCE_RULES[source]:
-        out = out.when(key.startswith(start) if start else reduce(lambda a, b: a | b, [key.contains(p) for p in parts]), family)
-    return out.otherwise(F.coalesce(F.nullif(raw, F.lit("")), F.lit("UNKNOWN")))
+
+    def ruled(key: Column) -> Column:
+        out = F.when(key.isin("benign", "normal"), BENIGN)
+        for family, parts, start in SOURCE_RULES[source]:
+            out = out.when(key.startswith(start) if start else reduce(lambda a, b: a | b, [key.contains(p) for p in parts]), family)
+        return out
+
+    return F.coalesce(let(F.regexp_replace(F.lower(raw), "[-_ ]", ""), ruled), F.nullif(raw, F.lit("")), F.lit("UNKNOWN"))
 
 
 def attack_family(c: Column) -> Column:
     """SCA15: one of FAMILIES."""
-    label, merged = norm_label(c), merged_label(c)
-    named = F.when(label.isin(*FAMILIES), label).when(merged == "PortScan", "Probe").when(merged == "Bot", "Botnet")
-    return named.when(merged.isin(*FAMILIES), merged).when(is_benign(merged), BENIGN).otherwise("OtherAttack")
+    def named(label: Column, merged: Column) -> Column:
+        out = F.when(label.isin(*FAMILIES), label).when(merged == "PortScan", "Probe").when(merged == "Bot", "Botnet")
+        return out.when(merged.isin(*FAMILIES), merged).when(is_benign(merged), BENIGN).otherwise("OtherAttack")
+
+    return let(norm_label(c), lambda label: let(merged_label(label), lambda merged: named(label, merged)))
 
 
 def infer_day(day: Column, file: Column) -> Column:
