@@ -28,6 +28,8 @@ RATE = 0.03
 RIDGE = 1e-5
 #: A document is rejected from this probability of a grade above 0 on.
 REJECT = 0.5
+#: The lowest cut is this at least: a text without a feature is toxic with a probability of 0.38 at most, and so is never rejected.
+LEAST_CUT = 0.5
 #: Lengths of the word beginnings that are terms too.
 PREFIXES = (4, 5)
 #: Terms are features if their smoothed log odds between the labels are over ODDS and lie so many standard deviations
@@ -71,7 +73,7 @@ class Ordinal:
 def fit(rows: list[tuple[list[int], int]], size: int, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts from (feature positions, grade) by gradient descent on the cumulative-link likelihood."""
     y = np.array([g for _, g in rows], int)
-    if not len(y) or y.max() == 0:
+    if not size or not len(y) or y.max() == 0:
         return np.zeros(size), np.full(grades - 1, 4.0)
     which = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
     at = np.concatenate([np.array(x, int) for x, _ in rows])
@@ -92,7 +94,7 @@ def fit(rows: list[tuple[list[int], int]], size: int, grades: int = GRADES) -> t
         moment_w = 0.95 * moment_w + 0.05 * gw**2
         moment_c = 0.95 * moment_c + 0.05 * gc**2
         w = np.maximum(0, w + RATE * gw / np.sqrt(moment_w + 1e-12))
-        cuts = np.maximum.accumulate(cuts + RATE * gc / np.sqrt(moment_c + 1e-12) + np.arange(grades - 1) * 1e-9)
+        cuts = np.maximum.accumulate(np.maximum(cuts + RATE * gc / np.sqrt(moment_c + 1e-12), LEAST_CUT) + np.arange(grades - 1) * 1e-9)
     return w, cuts
 
 

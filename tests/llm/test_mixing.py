@@ -55,3 +55,18 @@ def test_repeated_keeps_columns(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.repeated(df).count() == 0
+
+
+def test_copies_are_those_of_sequential_systematic_sampling(spark):
+    df = docs(spark, 800).withColumn("size", mixing.sizes()).drop("mix_copies")
+    rows = mixing._mixed(df.withColumn("__mix_words", mixing.sizes()), "__mix_words").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for source, some in by.items():
+        target, size = some[0]["__mix_target"], some[0]["__mix_source_size"]
+        each, at, offset, copies = (target / size if size else 0.0), 0.0, spark.range(1).select(F.pmod(F.xxhash64(F.lit(mixing.SEED), F.lit("" if source is None else f"s{source}")), F.lit(1 << 30)) / float(1 << 30)).first()[0], 0
+        steps = []
+        for n in range(1, len(some) + 1):
+            steps.append(int(n * each + offset) - int((n - 1) * each + offset))
+        assert sorted(steps) == sorted(r["__mix_copies"] for r in some)

@@ -94,6 +94,13 @@ def test_toxicity_without_labels(spark):
     assert toxicity.accepted(docs, model).count() == 2
 
 
+def test_few_toxic_labels_reject_no_text_without_a_mark(spark):
+    rows, labels = toxic_corpus()
+    docs = spark.createDataFrame(rows[:24] + [(1001, "")], "doc_id long, text string")
+    kept = toxicity.accepted(docs, toxicity.toxicity_model(docs, spark.createDataFrame(labels[:24], "doc_id long, quality int, toxic int")))
+    assert {i for i, _, t in labels[:24] if not t} | {1001} <= {r.doc_id for r in kept.collect()}
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, SF, "documents")
     kept = corpus_pipeline.language_id(spark, docs, SF)

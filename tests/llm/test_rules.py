@@ -54,3 +54,25 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty(spark):
     assert rules.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_expectation_maximisation_matches_plain_python(spark):
+    import math
+
+    rng = random.Random(5)
+    names = ["a", "b", "c"]
+    votes = [tuple(rng.choice((-1, 0, 1, 1)) if i % 3 else rng.choice((-1, -1, 0)) for _ in names) for i in range(300)]
+    df = spark.createDataFrame(votes, "a int, b int, c int")
+    prior, rate = rules.fit(df.groupBy(*names).count().withColumnRenamed("count", "n"), names, 5)
+    p = rules.PRIOR
+    r = {(x, v): ((rules.AGREE, 1 - rules.AGREE) if v > 0 else (1 - rules.AGREE, rules.AGREE) if v < 0 else (0.5, 0.5)) for x in names for v in (-1, 0, 1)}
+
+    def good(vote):
+        odds = math.log(p / (1 - p)) + sum(math.log(r[x, v][0] / r[x, v][1]) for x, v in zip(names, vote))
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(5):
+        g = [good(v) for v in votes]
+        new = {(x, v): ((sum(q for q, y in zip(g, votes) if y[i] == v) + 1) / (sum(g) + 3), (sum(1 - q for q, y in zip(g, votes) if y[i] == v) + 1) / (len(g) - sum(g) + 3)) for i, x in enumerate(names) for v in (-1, 0, 1)}
+        p, r = sum(g) / len(g), new
+    assert abs(prior - p) < 1e-9 and all(abs(rate[k][i] - r[k][i]) < 1e-9 for k in r for i in (0, 1))
