@@ -37,6 +37,11 @@ def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, i
     return rows.select("id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("neighbours", F.least(F.lit(k), F.col("n"))).alias("neighbours"))
 
 
+def dot(a, b):
+    """Inner product of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
 #: Rows of a block of queries and of a block of memory in knn_dense.
 QUERY_BLOCK, MEMORY_BLOCK = 2048, 8192
 
