@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,6 +31,10 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 PAIR = 1 << 16
 #: Pairs in most documents: at most so many are broadcast, the other pairs' links are joined by a shuffle.
 FREQUENT = 100_000
+#: Before a space that stands between a visible Latin character and a Latin letter both tokenizers cut always: byte-level BPE
+#: begins a word there, and no piece holds a space behind another character. So what lies between cuts is encoded once
+#: however often it occurs.
+CUT = re.compile(r"(?<=[!-~\u00c0-\u024f])(?= [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 #: Distinct pairs that a task counts before it hands them on.
 PARTIAL = 500_000
 
@@ -63,9 +68,26 @@ def piece_tokenizer(path: str = PIECE_BPE):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
+    if any(" " in p.decode(errors="replace").lstrip(" ") for p in pieces):
+        raise ValueError("a piece reaches over a space, so texts cannot be cut before words")
     return model, pa.array(pieces, pa.binary())
 
 
+def _encoded(texts: list[str], a_model, b_model) -> list[pa.ListArray]:
+    """Both tokenizers' ids of texts, each encoding the distinct stretches between cuts; B adds the space that A's begin with."""
+    stretches = [CUT.split(" " + t) for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in stretches])]).astype(np.int64)
+    coded = pa.array([x for s in stretches for x in s], pa.string()).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    own = [e.ids for e in a_model.encode_batch_fast(distinct, add_special_tokens=False)], b_model.encode([d[1:] for d in distinct], num_threads=1)
+    out = []
+    for ids in own:
+        lists = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
+        upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])[first]
+        out.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pc.list_flatten(lists)))
+    return out
+
+
 def _ends(ids: pa.ListArray, entries: pa.Array, side: str) -> pa.Table:
     """Flattened tokens of lists: doc (their list), end (bytes of the list up to and with the token) and the id as `side`."""
     flat, doc = pc.list_flatten(ids), pc.list_parent_indices(ids)
@@ -94,8 +116,7 @@ def linked(texts: pa.Array, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) ->
     at = pc.indices_nonzero(pc.greater(pc.binary_length(filled), 0))
     some = filled.take(at)
     spaced = pc.binary_join_element_wise("", some, " ")
-    ids_a = pa.array([e.ids for e in a_model.encode_batch_fast(spaced.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
-    ids_b = pa.array(b_model.encode(some.to_pylist(), num_threads=1), pa.list_(pa.int32()))
+    ids_a, ids_b = _encoded(some.to_pylist(), a_model, b_model)
     whole = pc.and_(_covers(ids_a, a_entries, spaced), _covers(ids_b, b_entries, spaced))
     at, ids_a, ids_b = at.filter(whole), ids_a.filter(whole), ids_b.filter(whole)
     met = _ends(ids_a, a_entries, "a").join(_ends(ids_b, b_entries, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
