@@ -7,36 +7,118 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
+
+#: Tokens that at least this share of the memory has are frequent: they meet in block products, never in a join.
+FREQUENT = 0.005
+#: Rows of a block of queries and of a block of memory in sparse products, and tokens of one dense stretch.
+SPARSE_QUERIES, SPARSE_MEMORY, STRETCH = 512, 4096, 4096
+
+
+def nearest_sparse(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """JOI13: the k largest inner products (id, mid, dot), above 0 and exact, of sparse rows (id, token, w) with a memory (mid, token, w).
+
+    Rare tokens are joined; their lists hold at most FREQUENT of the memory each. Frequent tokens, of which there are at most 1 / FREQUENT
+    times the mean length of a memory row, span the columns of dense blocks: each pair of a query block and a memory block is one
+    matrix product, to which the block's rare sums are added before its k best leave the task. So no token that most rows
+    have makes pairs in a shuffle, and a task's memory is bounded by its blocks. Rows without a common token give nothing.
+    """
+    ids, mids = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
+    query, memory = staged(query.select("id", "token", "w"), "queries"), staged(memory.select("mid", "token", "w"), "memory")
+    n = memory.select("mid").distinct().count()
+    qs, ms = max(1, -(-query.select("id").distinct().count() // SPARSE_QUERIES)), max(1, -(-n // SPARSE_MEMORY))
+    frequent = [r.token for r in memory.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") >= max(2, n * FREQUENT)).orderBy("token").select("token").collect()]
+    place = F.broadcast(query.sparkSession.createDataFrame(list(zip(frequent, range(len(frequent)), strict=True)), f"token {dict(memory.dtypes)['token']}, place int"))
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    q, m = (df.join(place, "token", "left") for df in (query, memory))
+    gathered = [F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("place").isNotNull(), F.col("w"))).alias("ws")]
+    rows = q.groupBy("id").agg(*gathered).select(block("id", qs).alias("qb"), each(ms).alias("mb"), F.lit(0).alias("kind"), "id", F.lit(None).cast(mids).alias("mid"), "places", "ws", F.lit(0.0).alias("dot"))
+    rows = rows.unionByName(m.groupBy("mid").agg(*gathered).select(each(qs).alias("qb"), block("mid", ms).alias("mb"), F.lit(1).alias("kind"), F.lit(None).cast(ids).alias("id"), "mid", "places", "ws", F.lit(0.0).alias("dot")))
+    rare = q.where("place IS NULL").select("id", "token", "w").join(m.where("place IS NULL").select("mid", "token", F.col("w").alias("m")), "token").groupBy("id", "mid").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
+    none = F.array().cast("array<int>"), F.array().cast("array<double>")
+    rows = rows.unionByName(rare.select(block("id", qs).alias("qb"), block("mid", ms).alias("mb"), F.lit(2).alias("kind"), "id", "mid", none[0].alias("places"), none[1].alias("ws"), "dot"))
+    width = len(frequent)
+
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, extra = (group[group["kind"] == kind] for kind in range(3))
+        dots = _block_product(a, b, width)
+        at = pd.Index(a["id"]).get_indexer(extra["id"]), pd.Index(b["mid"]).get_indexer(extra["mid"])
+        np.add.at(dots, at, extra["dot"].to_numpy())
+        some = min(k, dots.shape[1])
+        if not len(a) or not some:
+            return pd.DataFrame({"id": a["id"][:0], "mid": b["mid"][:0], "dot": np.zeros(0)})
+        j = np.argpartition(-dots, some - 1, axis=1)[:, :some]
+        i = np.repeat(np.arange(len(a)), some)
+        out = pd.DataFrame({"id": a["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j.ravel()], "dot": dots[i, j.ravel()]})
+        return out[out["dot"] > 0]
+
+    found = rows.groupBy("qb", "mb").applyInPandas(best, f"id {ids}, mid {mids}, dot double")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k).drop("r")
+
+
+def _block_product(a: pd.DataFrame, b: pd.DataFrame, width: int) -> np.ndarray:
+    """Inner products of two blocks of rows (places, ws), a stretch of places at a time."""
+    def parts(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = [len(p) for p in rows["places"]]
+        flat = [np.concatenate(rows[c].to_list()) if sum(sizes) else np.zeros(0) for c in ("places", "ws")]
+        return np.repeat(np.arange(len(rows)), sizes), flat[0].astype(np.int64), flat[1].astype(float)
+
+    sides, out = (parts(a), parts(b)), np.zeros((len(a), len(b)))
+    for low in range(0, width, STRETCH):
+        dense = []
+        for (i, place, w), rows in zip(sides, (a, b), strict=True):
+            here = (place >= low) & (place < low + STRETCH)
+            x = np.zeros((len(rows), min(STRETCH, width - low)))
+            np.add.at(x, (i[here], place[here] - low), w[here])
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
 
 def knn_sparse(query: DataFrame, memory: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame:
     """JOI13: mean of the k smallest cosine distances of sparse unit rows (id, token, w) to a memory (mid, token, w).
 
-    Only pairs that share a token are made (join on token, partial sums); all others are at distance exactly 1, which pads a query
-    that meets fewer than k. With fewer than k memory rows the mean is over those. `ids` (id) names all queries: one without a
-    known token has no row in `query` and is at distance 1 of everything. Returns (id, score).
+    Pairs that share no token are at distance exactly 1, which pads a query that meets fewer than k. With fewer than k memory
+    rows the mean is over those. `ids` (id) names all queries: one without a known token has no row in `query` and is at
+    distance 1 of everything. Returns (id, score).
     """
-    dots = query.join(memory.withColumnRenamed("w", "m"), "token").groupBy("id", "mid").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
-    near = dots.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k)
-    by = near.groupBy("id").agg(F.sum(1 - F.col("dot")).alias("d"), F.count("*").alias("met"))
+    by = nearest_sparse(query, memory, k).groupBy("id").agg(F.sum(1 - F.col("dot")).alias("d"), F.count("*").alias("met"))
     n = memory.agg(F.least(F.lit(k), F.count_distinct("mid")).alias("k_"))
     rows = (query if ids is None else ids).select("id").distinct().join(by, "id", "left").crossJoin(F.broadcast(n))
     met = F.least(F.coalesce("met", F.lit(0)), F.col("k_"))
     return rows.select("id", ((F.coalesce("d", F.lit(0.0)) + (F.col("k_") - met)) / F.col("k_")).alias("score"))
 
 
-def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, ids: DataFrame | None = None) -> DataFrame:
-    """JOI14: candidates by summed idf of shared tokens (ties to the smaller id), then exact distances among them only. A query
-    without candidates, `ids` (id) naming those without a row, is scored against all of the memory: every distance is 1."""
+def _candidates(query: DataFrame, memory: DataFrame, candidates: int) -> DataFrame:
+    """(id, mid, dot): the memory rows with the largest summed idf of tokens shared with a query, to 9 places, ties to the smaller id."""
     n = memory.agg(F.count_distinct("mid").alias("n"))
     idf = memory.groupBy("token").agg(F.count_distinct("mid").alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    pairs = query.join(memory.withColumnRenamed("w", "m").join(idf, "token"), "token").groupBy("id", "mid").agg(F.sum("idf").alias("shared"), F.sum(F.col("w") * F.col("m")).alias("dot"))
-    kept = pairs.withColumn("c", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "mid"))).where(F.col("c") <= candidates)
-    near = kept.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k)
+    pairs = query.join(memory.withColumnRenamed("w", "m").join(idf, "token"), "token").groupBy("id", "mid").agg(F.round(F.sum("idf"), 9).alias("shared"), F.round(F.sum(F.col("w") * F.col("m")), 9).alias("dot"))
+    return pairs.withColumn("c", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), "mid"))).where(F.col("c") <= candidates)
+
+
+def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, ids: DataFrame | None = None) -> DataFrame:
+    """JOI14: candidates by summed idf of shared tokens, then exact distances among them only: the more candidates, the higher
+    the recall (`inverted_recall`); `knn_sparse` is the exact way. A query without candidates, `ids` (id) naming those without
+    a row, is scored against all of the memory: every distance is 1."""
+    near = _candidates(query, memory, candidates).withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where(F.col("r") <= k)
     met = near.groupBy("id").agg(F.avg(1 - F.col("dot")).alias("score"), F.count("*").alias("neighbours"))
+    n = memory.agg(F.count_distinct("mid").alias("n"))
     rows = (query if ids is None else ids).select("id").distinct().join(met, "id", "left").crossJoin(F.broadcast(n)).where("n > 0")
     return rows.select("id", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("neighbours", F.least(F.lit(k), F.col("n"))).alias("neighbours"))
 
 
+def inverted_recall(query: DataFrame, memory: DataFrame, candidates: int, k: int) -> DataFrame:
+    """SET03 for JOI14: mean share of each query's k exact nearest that its candidates reach, ties with the k-th counting as
+    reached; queries that share no token with the memory are left out. One row (queries, recall)."""
+    exact = nearest_sparse(query, memory, k).groupBy("id").agg(F.count("*").alias("wanted"), F.round(F.min("dot"), 9).alias("kth"))
+    found = _candidates(query, memory, candidates).join(exact, "id").where("dot >= kth").groupBy("id").agg(F.count("*").alias("hits"))
+    share = F.least(F.coalesce("hits", F.lit(0)), F.col("wanted")) / F.col("wanted")
+    return exact.join(found, "id", "left").agg(F.count("*").alias("queries"), F.avg(share).alias("recall"))
+
+
 def dot(a, b):
     """Inner product of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

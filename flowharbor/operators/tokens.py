@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import running, staged
+
 
 def token_counts(tokens: DataFrame) -> DataFrame:
     """Occurrences by flow and token."""
@@ -13,8 +15,8 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 def token_weights(tokens: DataFrame, transform: str = "tfidf", norm: str = "l2") -> DataFrame:
     """AGG08: binary, count or tf-idf weights of tokens that the train split has, idf ln((1 + N) / (1 + df)) + 1 from
-    train flows only, normed by flow: l2, l1 or none. Long and sparse throughout."""
-    counts = token_counts(tokens)
+    train flows only, normed by flow: l2, l1 or none. Long and sparse throughout; the counts, which three steps read, are staged."""
+    counts = staged(token_counts(tokens), "token-counts")
     train = counts.where("split = 'train'")
     total = train.agg(F.count_distinct("flow_id").alias("N"))
     df = train.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
@@ -29,7 +31,7 @@ def token_weights(tokens: DataFrame, transform: str = "tfidf", norm: str = "l2")
 def fit_vocab(tokens: DataFrame, specials: tuple = ("[PAD]", "[UNK]", "[CLS]", "[SEP]"), split: str = "train") -> DataFrame:
     """AGG09: (token, id) by first place in the train rows, in order of (flow_id, pos), after the specials."""
     first = tokens.where((F.col("split") == split) & ~F.col("token").isin(*specials)).groupBy("token").agg(F.min(F.struct("flow_id", "pos")).alias("at"))
-    ids = first.select("token", (F.row_number().over(Window.orderBy("at")) + len(specials) - 1).cast("bigint").alias("id"))
+    ids = running(first, [], ["at"], {"i": F.lit(1).cast("bigint")}).select("token", (F.col("i") + len(specials) - 1).alias("id"))
     return tokens.sparkSession.createDataFrame([(t, i) for i, t in enumerate(specials)], "token string, id long").unionByName(ids)
 
 
