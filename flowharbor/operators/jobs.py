@@ -2,23 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowharbor.functions.scalars import hash_rank_key
+from flowharbor.functions.scalars import hash_rank_key, token_class
 
 from . import memory as K
 from . import metrics as M
 from . import tokens as T
 from .profiles import flow_tokens
+from .staging import first_rows, hash_number, running
+
+
+#: SCA28: the token classes that each named view keeps. Fixed values.
+VIEWS = {
+    "packet": "packet", "packet_burst": "packet burst", "packet_burst_profile": "packet burst profile", "profile_only": "profile", "rhythm_only": "rhythm", "structural_only": "structural", "profile_plus_structural": "profile structural",
+    "packet_burst_only": "packet burst flow", "packet_burst_plus_profile": "packet burst flow profile", "packet_burst_plus_structural": "packet burst flow structural", "packet_burst_plus_profile_structural": "packet burst flow profile structural",
+    "statistics_only": "flow", "token_histogram_only": "packet burst flow", "primitive_only": "profile structural", "token_plus_primitive": "packet burst flow profile structural", "without_tokens": "profile structural",
+}
+#: The classes, or parts of tokens, that a view leaves out. Fixed values.
+VIEWS_WITHOUT = {"all_with_special": "", "all_no_special": "special", "no_profile_no_unk": "special profile none", "no_burst_no_profile_no_unk": "special profile none burst", "without_primitives": "special profile structural"}
+PARTS_WITHOUT = {"without_timing": ("IAT", "DUR", "PERIODIC"), "without_length": ("LEN", "BYTES")}
+BEGIN_WITHOUT = {"without_direction": ("PKT_DIR_", "BURST_DIR_", "PRIM_STRUCT_DIR_")}
 
 
 def view_filter(token: Column, view: str) -> Column:
-    """SCA28: whether a token belongs to a named view of the features."""
-    packet, burst = token.rlike("^(PKT|LENBIN|IATBIN|FIRSTK)_"), token.rlike("^(BURST|BT)_")
-    context, structural = token.rlike("^(SVC|CTX)_"), token.rlike("^(STRUCT|SP|DIR_TRANS|LT)_")
-    views = {"all": F.lit(True), "packet": packet, "burst": burst, "context": context, "structural": structural, "packet_burst": packet | burst, "no_context": ~context, "no_packet": ~packet, "no_structural": ~structural, "motif": structural | burst}
-    return views[view]
+    """SCA28: whether a token belongs to a named view of the features: views of a sweep, of primitive categories and of feature
+    matrices. Special tokens belong to `all_with_special` only. An unknown view is an error."""
+    kind = token_class(token)
+    if view in VIEWS:
+        return kind.isin(*VIEWS[view].split())
+    if view == "no_unk":
+        return kind != "special"
+    if view in VIEWS_WITHOUT:
+        return ~kind.isin(*VIEWS_WITHOUT[view].split()) if VIEWS_WITHOUT[view] else token.isNotNull()
+    if view in PARTS_WITHOUT:
+        return (kind != "special") & ~reduce(lambda a, b: a | b, [token.contains(p) for p in PARTS_WITHOUT[view]])
+    if view in BEGIN_WITHOUT:
+        return (kind != "special") & ~reduce(lambda a, b: a | b, [token.startswith(p) for p in BEGIN_WITHOUT[view]])
+    raise ValueError(f"unknown view {view}")
+
+
+#: All names that `view_filter` knows.
+VIEW_NAMES = sorted({*VIEWS, *VIEWS_WITHOUT, *PARTS_WITHOUT, *BEGIN_WITHOUT, "no_unk"})
+
+
+def ablation_filter(token: Column, flow_summary: bool = True, packet: bool = True, burst: bool = True, rhythm: bool = True) -> Column:
+    """SCA28: whether a token stays when kinds of tokens are switched off; profile tokens go with the packets, special and other ones stay."""
+    off = [k for k, on in (("flow", flow_summary), ("packet profile none", packet), ("burst", burst), ("rhythm", rhythm)) if not on]
+    gone = " ".join(off).split()
+    return ~token_class(token).isin(*gone) if gone else token.isNotNull()
 
 
 def glob_filter(df: DataFrame, column: str, include: list[str], exclude: list[str]) -> DataFrame:
@@ -132,10 +167,10 @@ def leave_one_job(tokens: DataFrame, k: int, percentile: float = 99.0, flows: Da
 def memory_scaling(query: DataFrame, memory: DataFrame, sizes: list[int], k: int, query_ids: DataFrame | None = None) -> DataFrame:
     """CAL10: mean score against hash-drawn memories of several sizes; `query_ids` (id) names queries without known tokens too."""
     ids = memory.select("mid").distinct()
-    ranked = ids.withColumn("r", F.row_number().over(Window.orderBy(hash_rank_key(F.col("mid"), 42, "memory"), "mid")))
+    key = hash_rank_key(F.col("mid"), 42, "memory")
     out = None
     for n in sizes:
-        part = memory.join(ranked.where(F.col("r") <= n).select("mid"), "mid", "left_semi")
+        part = memory.join(first_rows(ids, hash_number(key), [key, "mid"], n), "mid", "left_semi")
         one = K.knn_sparse(query, part, k, query_ids).agg(F.avg("score").alias("mean_score"), F.count("*").alias("queries")).select(F.lit(n).alias("size"), "mean_score", "queries")
         out = one if out is None else out.unionByName(one)
     return out
@@ -163,14 +198,15 @@ def replay_summary(replay: DataFrame) -> DataFrame:
 
 def calibrate(scored: DataFrame, warmup: int) -> tuple[DataFrame, DataFrame]:
     """STR12: the best macro-F1 point on the first `warmup` rows in time, and the rows after them."""
-    rows = scored.withColumn("pos", F.row_number().over(Window.orderBy("ts", "flow_id")))
+    rows = running(scored, [], ["ts", "flow_id"], {"pos": F.lit(1)})
     return M.best_macro_f1(M.curve(rows.where(F.col("pos") <= warmup))), rows.where(F.col("pos") > warmup).drop("pos")
 
 
 def pollution(memory: DataFrame, attacks: DataFrame, fraction: float, seed: int = 43) -> DataFrame:
-    """STR09: a memory in which a share of rows, drawn by hash, is taken from attacks; row numbers match them up."""
-    n = memory.agg(F.ceil(F.count("*") * fraction).alias("want"))
-    bad = attacks.withColumn("r", F.row_number().over(Window.orderBy(hash_rank_key(F.col("mid"), seed, "pollution"), "mid"))).crossJoin(F.broadcast(n)).where("r <= want")
+    """STR09: a memory in which a share of rows, drawn by hash, is taken from attacks."""
+    want = memory.agg(F.ceil(F.count("*") * fraction).cast("long")).first()[0]
+    key = hash_rank_key(F.col("mid"), seed, "pollution")
+    bad = first_rows(attacks.select("mid"), hash_number(key), [key, "mid"], want)
     return memory.select("mid", F.lit(0).alias("polluted")).unionByName(bad.select("mid", F.lit(1).alias("polluted")))
 
 
@@ -180,7 +216,8 @@ def memory_pollution(scored: DataFrame, threshold: float, fraction: float, seed:
     from flowharbor.streaming.flows import dynamic_memory
 
     want = round(scored.where("y = 1").count() * fraction)
-    drawn = scored.where("y = 1").orderBy(hash_rank_key(F.col("flow_id"), seed, "poison"), "flow_id").limit(want).select("flow_id", F.lit(True).alias("poison"))
+    key = hash_rank_key(F.col("flow_id"), seed, "poison")
+    drawn = first_rows(scored.where("y = 1"), hash_number(key), [key, "flow_id"], want).select("flow_id", F.lit(True).alias("poison"))
     rows = scored.join(drawn, "flow_id", "left")
     out = dynamic_memory(rows, threshold, poison="poison", **memory).join(rows.select("flow_id", "y", F.coalesce("poison", F.lit(False)).alias("poison")), "flow_id")
     hit, bad = F.col("memory_score") >= threshold, F.col("y") == 1

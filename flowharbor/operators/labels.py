@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import running
+
 #: Rows of a schedule or an indicator list up to which it is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -40,7 +42,8 @@ def alignment_report(labelled: DataFrame) -> DataFrame:
     """AGG06: flows, matched, ambiguous, rates, mean distance and its nearest-rank 95th percentile."""
     hit = F.col("label").isNotNull()
     made = labelled.agg(F.count("*").alias("flows"), F.count_if(hit).alias("matched"), F.count_if(F.col("n_candidates") > 1).alias("ambiguous"), F.avg("delta").alias("mean_delta"))
-    p95 = labelled.where(hit).groupBy("delta").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("delta").rowsBetween(Window.unboundedPreceding, 0)))
+    p95 = labelled.where(hit).groupBy("delta").agg(F.count("*").alias("c"))
+    p95 = running(p95, [], ["delta"], {"upto": F.col("c")})
     rank = F.bround(0.95 * (F.col("matched") - 1)) + 1
     p95 = p95.crossJoin(made.select("matched")).where(F.col("upto") >= rank).agg(F.min("delta").alias("p95_delta"))
     return made.crossJoin(p95).withColumn("match_rate", F.when(F.col("flows") > 0, F.col("matched") / F.col("flows")))

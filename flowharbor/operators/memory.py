@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import first_rows, hash_number, staged
 
 
 #: Tokens that at least this share of the memory has are frequent: they meet in block products, never in a join.
@@ -181,8 +181,9 @@ def coreset(memory: DataFrame, ratio: float, strategy: str, seed: int = 42) -> D
     the smaller id), the rest by hash order."""
     key = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("mid").cast("string")))
     want = memory.agg(F.ceil(F.count("*") * ratio).cast("bigint")).first()[0]
-    far = memory.orderBy(F.desc("distance"), "mid").limit(want // 2 if strategy == "tail" else 0).select("mid")
-    rest = memory.join(far, "mid", "left_anti").orderBy(key).limit(want - (want // 2 if strategy == "tail" else 0))
+    tail = want // 2 if strategy == "tail" else 0
+    far = first_rows(memory, -F.col("distance"), ["mid"], tail).select("mid")
+    rest = first_rows(memory.join(far, "mid", "left_anti"), hash_number(key), [key], want - tail)
     return far.select("mid", F.lit(1).alias("tail")).unionByName(rest.select("mid", F.lit(0).alias("tail")))
 
 

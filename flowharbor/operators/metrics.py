@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -39,12 +41,11 @@ def class_report(preds: DataFrame) -> DataFrame:
 def curve(scores: DataFrame) -> DataFrame:
     """WIN12: for each distinct score as a threshold the counts of what is at or above it, and the point above all.
 
-    Rows are first added up by score, so the running sums see one row a distinct score.
+    Rows are first added up by score; the running sums go over range partitions of the distinct scores.
     """
     by = scores.groupBy("score").agg(F.sum((F.col("y") == 1).cast("bigint")).alias("p"), F.sum((F.col("y") == 0).cast("bigint")).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     totals = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), F.max("score").alias("top"))
-    run = by.select(F.col("score").alias("threshold"), F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    run = running(by, [], [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")}).select(F.col("score").alias("threshold"), "tp", "fp")
     zero = F.lit(0).cast("bigint")
     points = run.unionByName(totals.select((F.col("top") + 1e-12).alias("threshold"), zero.alias("tp"), zero.alias("fp")))
     full = points.crossJoin(F.broadcast(totals.select("P", "N"))).select("threshold", "tp", "fp", (F.col("N") - F.col("fp")).alias("tn"), (F.col("P") - F.col("tp")).alias("fn"))
@@ -66,8 +67,7 @@ def recall_under_fpr(points: DataFrame, budgets: list[float]) -> DataFrame:
 def rank_metrics(scores: DataFrame) -> DataFrame:
     """AGG25: AUROC (ties count half), average precision, least FPR with recall at 95 % or more; null for one class."""
     by = scores.groupBy("score").agg(F.sum((F.col("y") == 1).cast("double")).alias("p"), F.sum((F.col("y") == 0).cast("double")).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    run = running(by, [], [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
     tot = by.agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     full = run.crossJoin(F.broadcast(tot))
     out = full.agg(
@@ -116,10 +116,10 @@ def evt_threshold(val: DataFrame, u: float = 0.9, p: float = 0.99) -> DataFrame:
 def conformal(val: DataFrame, test: DataFrame, alphas: list[float]) -> DataFrame:
     """CAL05: test rows flagged at (1 + benign validation scores at or above) / (n + 1) <= alpha, by class; running counts, no pairs."""
     v = val.where("y = 0").groupBy("score").agg(F.count("*").alias("c"))
-    down = Window.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
     both = v.select("score", "c", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")).unionByName(
         test.groupBy("score").agg(F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") == 0).cast("bigint")).alias("neg")).withColumn("c", F.lit(0).cast("bigint")))
-    by = both.groupBy("score").agg(F.sum("c").alias("c"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("above", F.sum("c").over(down))
+    by = both.groupBy("score").agg(F.sum("c").alias("c"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    by = running(by, [], [F.desc("score")], {"above": F.col("c")})
     n = v.agg(F.sum("c").alias("n"))
     p = by.crossJoin(F.broadcast(n)).withColumn("p", (1 + F.col("above")) / (F.col("n") + 1)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     hit = F.col("p") <= F.col("alpha")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions.scalars import hash_rank_key
 
+from .staging import first_rows, hash_number
+
 
 def vectors(df: DataFrame, column: str = "v") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
@@ -99,9 +101,10 @@ def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, seed: i
     """
     n, low, gate = candidates.agg(F.count("*"), F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(0.95))).first()
     if policy == "random":
-        more = candidates.orderBy(hash_rank_key(F.col("mid"), seed, "update"), "mid").limit(max(1, n // 2))
+        key = hash_rank_key(F.col("mid"), seed, "update")
+        more = first_rows(candidates, hash_number(key), [key, "mid"], max(1, n // 2))
     elif policy == "tail_aware":
-        tail = candidates.where(F.col("score") >= F.lit(gate)).orderBy("mid").limit(max(1, n // 20))
+        tail = first_rows(candidates.where(F.col("score") >= F.lit(gate)), F.col("mid"), ["mid"], max(1, n // 20))
         more = candidates.where(F.col("score") <= F.lit(low)).unionByName(tail.where(F.col("score") > F.lit(low)))
     else:
         more = candidates.where({"core75": F.lit(False), "all": F.lit(True), "low_score": F.col("score") <= F.lit(low), "quarantine": F.col("score") <= F.lit(gate)}[policy])
@@ -111,7 +114,8 @@ def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, seed: i
 def core_split(memory: DataFrame, share: float = 0.75, least: int = 1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """CAL08: the memory's core of a share of its rows (mid, ...) by hash order, at least `least`, and the candidates that remain."""
     want = max(least, round(memory.count() * share))
-    core = memory.orderBy(hash_rank_key(F.col("mid"), seed, "core"), "mid").limit(want)
+    key = hash_rank_key(F.col("mid"), seed, "core")
+    core = first_rows(memory, hash_number(key), [key, "mid"], want)
     return core, memory.join(core.select("mid"), "mid", "left_anti")
 
 

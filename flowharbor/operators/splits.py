@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions.scalars import hash_rank_key
 
+from .staging import running
+
 
 def lowest_hash(df: DataFrame, k: int, seed: int, salt: str, by: list[str], id_col: str = "flow_id") -> DataFrame:
     """TOP01: the k rows of lowest hash in each class; repeated ids count once."""
@@ -23,12 +25,26 @@ def cut(rank: Column, n: Column, val: float, test: float) -> Column:
     return F.when(rank <= n - v - t, "train").when(rank <= n - t, "val").otherwise("test")
 
 
+def _placed(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """rows with their place r in `order` and the rows n of their class: running counts, so no class is sorted in one task; of
+    the counts there is one row a class."""
+    keys = {f"_o{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    placed = running(rows.withColumns(keys), by, list(keys), {"r": F.lit(1)}).drop(*keys)
+    if not by:
+        return placed.withColumn("n", F.lit(rows.count()))
+    sizes = [F.col(c).alias(f"_c{i}") for i, c in enumerate(by)]
+    counts = rows.groupBy(*sizes).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    return placed.join(counts, same).drop(*[f"_c{i}" for i in range(len(by))])
+
+
 def make_split(flows: DataFrame, kind: str, val: float = 0.1, test: float = 0.2, seed: int = 42) -> DataFrame:
     """TOP03: (flow_id, split) by `random`, `stratified` (by label), `temporal` or `temporal_stratified` order."""
     by = ["label"] if "stratified" in kind else []
     order = ["start_ts", "flow_id"] if "temporal" in kind else [hash_rank_key(F.col("flow_id"), seed), "flow_id"]
-    w = Window.partitionBy(*by)
-    rows = flows.withColumns({"r": F.row_number().over(w.orderBy(*order)), "n": F.count("*").over(w)})
+    rows = _placed(flows, by, order)
     return rows.select("flow_id", "label", cut(F.col("r"), F.col("n"), val, test).alias("split"))
 
 
@@ -69,9 +85,7 @@ def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def sample_fraction(df: DataFrame, fraction: float, by: list[str], seed: int = 42) -> DataFrame:
     """TOP09: ceil(fraction * n) rows of each class in hash order."""
-    w = Window.partitionBy(*by)
-    key = hash_rank_key(F.col("flow_id"), seed, "fraction")
-    rows = df.withColumns({"r": F.row_number().over(w.orderBy(key, "flow_id")), "n": F.count("*").over(w)})
+    rows = _placed(df, by, [hash_rank_key(F.col("flow_id"), seed, "fraction"), "flow_id"])
     return rows.where(F.col("r") <= F.ceil(F.col("n") * fraction)).drop("r", "n")
 
 

@@ -98,3 +98,55 @@ def lookup(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int)
     known, unknown = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
     out = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
     return out.unionByName(unknown, allowMissingColumns=True).select(*rows.columns, *added)
+
+
+#: Bins of one histogram round of `first_rows`, and rows of the boundary bin that are sorted outright.
+BINS, SMALL = 2000, 50_000
+
+
+def first_rows(df: DataFrame, key: Column, order: list[str | Column], n: int) -> DataFrame:
+    """The n rows of df with the smallest (key, order), exactly, however many n is: no top-k heap of n rows, no sort of the table.
+
+    Histograms of the numeric key narrow down the bin in which the n-th row lies until it has at most SMALL rows or one value;
+    the rows below it are taken by a filter, the rest from that bin by `order`. Only BINS counts a round reach the driver. Null
+    keys come last. If one value of the key has many rows, running counts along `order` pick the rest.
+    """
+    rows = df.withColumn("_k", key.cast("double"))
+    low, high, total = rows.agg(F.min("_k"), F.max("_k"), F.count("_k")).first()
+    if n <= 0:
+        return df.limit(0)
+    if n >= total:
+        nulls = df.where(key.isNull())
+        return df.where(key.isNotNull()).unionByName(nulls.orderBy(*order).limit(n - total)) if n > total else df.where(key.isNotNull())
+    below, inside = 0, total
+    while inside > SMALL and low < high:
+        at = F.least(F.floor((F.col("_k") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        bins = rows.where(F.col("_k").between(low, high)).groupBy(at.alias("b")).agg(F.count("*").alias("c"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).orderBy("b").collect()
+        for b in bins:
+            if below + b.c >= n:
+                low, high, inside = b.lo, b.hi, b.c
+                break
+            below += b.c
+    edge = rows.where(F.col("_k").between(low, high))
+    if inside <= SMALL:
+        rest = edge.orderBy("_k", *order).limit(n - below)
+    else:
+        rest = running(edge, [], order, {"_i": F.lit(1)}).where(F.col("_i") <= n - below).drop("_i")
+    return rows.where(F.col("_k") < low).unionByName(rest).drop("_k")
+
+
+def hash_number(hexes: Column) -> Column:
+    """The first 13 digits of a hash in hex as a number that a double holds exactly, in the hash's order."""
+    return F.conv(F.substring(hexes, 1, 13), 16, 10).cast("long")
+
+
+def haloed(df: DataFrame, ts: Column, width: float) -> DataFrame:
+    """df dealt to time buckets of `width` seconds, each row also to the next bucket: with `_us` (whole microseconds), `_bucket` and
+    `_halo` (1 for the copy). A window over (..., _bucket) that looks back `width` seconds then sees all that it asks for, so a hot
+    group, or none, spreads over its buckets; rows with `_halo` = 0 are the result. Null times have a bucket of their own."""
+    span = max(1, round(width * 1e6))
+    rows = df.withColumn("_us", F.round(ts * 1e6).cast("bigint"))
+    at = F.floor(F.col("_us") / span).cast("bigint")
+    place = lambda b, halo: F.struct(b.alias("bucket"), F.lit(halo).alias("halo"))
+    copies = F.when(at.isNull(), F.array(place(at, 0))).otherwise(F.array(place(at, 0), place(at + 1, 1)))
+    return rows.withColumn("_copy", F.explode(copies)).withColumns({"_bucket": F.col("_copy.bucket"), "_halo": F.col("_copy.halo")}).drop("_copy")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowharbor.functions import scalars as S
+
 from .staging import running, staged
 
 
@@ -190,7 +192,8 @@ def merge_corpora(sources: list[DataFrame]) -> DataFrame:
         one = s.select(F.lit(i).alias("source"), "flow_id", "pos", "token")
         union = one if union is None else union.unionByName(one)
     first = union.groupBy("token").agg(F.min(F.struct("source", "flow_id", "pos")).alias("at"), F.count("*").alias("n"))
-    return first.select("token", (F.row_number().over(Window.orderBy("at")) - 1).cast("bigint").alias("id"), F.col("at.source").alias("source"), "n")
+    placed = running(first, [], ["at"], {"i": F.lit(1).cast("bigint")})
+    return placed.select("token", (F.col("i") - 1).alias("id"), F.col("at.source").alias("source"), "n")
 
 
 def leakage_report(tokens: DataFrame) -> DataFrame:
@@ -200,3 +203,46 @@ def leakage_report(tokens: DataFrame) -> DataFrame:
     kinds = {"ip_token": r"([0-9]{1,3}\.){3}[0-9]{1,3}", "port_token": r"^(SRC|DST)?_?PORT_[0-9]+$", "time_token": r"^(TS|TIME)_[0-9]{9,}"}
     seen = t.agg(*[F.count_if(F.col("token").rlike(p)).alias(k) for k, p in kinds.items()])
     return over.unionByName(seen.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*[F.col(k) for k in kinds]))).alias("check", "bad")))
+
+
+class LeakageError(ValueError):
+    """A leakage check that failed."""
+
+
+def leakage_checks(splits: DataFrame, vocab: DataFrame | None = None, meta: DataFrame | None = None, profile_manifest: dict | None = None, token_manifest: dict | None = None, allow_ports: bool = False) -> DataFrame:
+    """AGG40: the leakage checks L1 to L8 as rows (check, ok, bad), bad counting what speaks against it.
+
+    splits (flow_id, split): a flow is listed once only. vocab (token): no token looks like an address, a time or, unless allowed, a port; as
+    either of the first two checks asks for a clean vocabulary, all three kinds fail them. meta (flow_id, has_ip_token,
+    has_abs_time_token, has_port_token): no flag is set. Manifests say train_only (or a provenance of that name), which splits
+    they were fitted on, and which split tuned the threshold (val unless said); a missing one fails. Null flags are unset,
+    null tokens are none, an empty table has nothing against it.
+    """
+    spark = splits.sparkSession
+    given = token_manifest or {}
+
+    def fitted(manifest: dict | None) -> bool:
+        m = manifest or {}
+        return bool((m.get("train_only") or (m.get("provenance") or m.get("vocab_provenance")) == "train_only") and (m.get("splits") or m.get("split_path")))
+
+    flags = [("L2_profile_primitives_train_only", fitted(profile_manifest)), ("L3_vocab_train_only", fitted(token_manifest)), ("L7_val_test_not_used_for_training_stats", bool(given.get("train_only"))), ("L8_test_not_used_for_threshold_tuning", given.get("threshold_tuning_split", "val") == "val")]
+    out = splits.agg((F.count("flow_id") - F.count_distinct("flow_id")).alias("bad")).select(F.lit("L1_flow_id_disjoint").alias("check"), (F.col("bad") == 0).alias("ok"), "bad")
+    out = out.unionByName(spark.createDataFrame([(name, ok, int(not ok)) for name, ok in flags], "check string, ok boolean, bad long"))
+    if vocab is not None:
+        token = F.col("token")
+        n = vocab.agg(F.count_if(S.looks_like_ip(token)).alias("ip"), F.count_if(S.is_time_token(token)).alias("time"), F.count_if(S.is_port_token(token)).alias("port"))
+        ports = F.lit(allow_ports) | (F.col("port") == 0)
+        clean = (F.col("ip") == 0) & (F.col("time") == 0) & ports
+        rows = [("L4_vocab_no_raw_ip", clean, "ip"), ("L5_vocab_no_abs_time", clean, "time"), ("L6_vocab_no_raw_port", ports, "port")]
+        out = out.unionByName(n.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), ok.alias("ok"), F.col(bad).alias("bad")) for c, ok, bad in rows]))))
+    if meta is not None:
+        flagged = F.col("has_ip_token") | F.col("has_abs_time_token") | (F.col("has_port_token") & F.lit(not allow_ports))
+        out = out.unionByName(meta.na.fill(False, ["has_ip_token", "has_abs_time_token", "has_port_token"]).agg(F.count_if(flagged).alias("bad")).select(F.lit("L4_L5_L6_token_meta_flags").alias("check"), (F.col("bad") == 0).alias("ok"), "bad"))
+    return out
+
+
+def assert_no_leakage(report: DataFrame) -> None:
+    """AGG40: raise LeakageError with the names of the failed checks of `leakage_checks`, at most ten rows."""
+    failed = sorted(r.check for r in report.where("NOT ok").select("check").collect())
+    if failed:
+        raise LeakageError(f"leakage: {', '.join(failed)}")

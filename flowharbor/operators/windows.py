@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import haloed, running
+
 
 def since(width: float, *by: str):
     """Window over the rows of `by` from `width` seconds before a row's ts up to it, in whole microseconds."""
@@ -16,23 +18,29 @@ def service_context(flows: DataFrame, window: float = 2.0, short: int = 6) -> Da
     """WIN01: of flows (flow_id, service, ts, packets, bytes) what the service did in the `window` seconds before: flows,
     short ones, packets, bytes, gap to the last. Rows of one time see those of smaller flow_id only.
 
-    A range window gives all rows up to and with this time; what is not before this row among equal times is taken off.
+    A range window gives all rows up to and with this time; what is not before this row among equal times is taken off. Rows are dealt
+    to buckets of `window` seconds that also hold the one before, so a hot service spreads over its buckets.
     """
-    span = since(window, "service")
-    later = Window.partitionBy("service", "ts").orderBy("flow_id").rowsBetween(0, Window.unboundedFollowing)
-    order = Window.partitionBy("service").orderBy("ts", "flow_id")
+    key = ["service", "_bucket"]
+    span = Window.partitionBy(*key).orderBy("_us").rangeBetween(-round(window * 1e6), 0)
+    later = Window.partitionBy(*key, "ts").orderBy("flow_id").rowsBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy(*key).orderBy("ts", "flow_id")
     tiny = (F.col("packets") < short).cast("int")
     less = lambda what: (F.sum(what).over(span) - F.sum(what).over(later)).cast("bigint")
     last = F.col("ts") - F.lag("ts").over(order)
-    out = flows.select("flow_id", "service", "ts", less(F.lit(1)).alias("recent_count"), less(tiny).alias("recent_short"), less(F.col("packets")).alias("recent_packets"), less(F.col("bytes")).alias("recent_bytes"), F.when(last <= window, last).alias("last_gap"))
+    slim = flows.select("flow_id", "service", "ts", "packets", "bytes") if "bytes" in flows.columns else flows
+    out = haloed(slim, F.col("ts"), window).select("flow_id", "service", "ts", "_halo", less(F.lit(1)).alias("recent_count"), less(tiny).alias("recent_short"), less(F.col("packets")).alias("recent_packets"), less(F.col("bytes")).alias("recent_bytes"), F.when(last <= window, last).alias("last_gap"))
+    out = out.where("_halo = 0").drop("_halo")
     return out.withColumn("short_ratio", F.when(F.col("recent_count") > 0, F.col("recent_short") / F.col("recent_count")).otherwise(0.0))
 
 
 def service_state(flows: DataFrame, windows: list[float], short: int = 6) -> DataFrame:
     """WIN03: counts, short ratio and mean packets of the service's earlier flows for several windows, and in all."""
     out = flows.select("flow_id", "service", "ts", "packets", "bytes")
-    prior = Window.partitionBy("service").orderBy("ts", "flow_id").rowsBetween(Window.unboundedPreceding, -1)
-    life = out.select("flow_id", F.count("*").over(prior).alias("lifetime"), F.coalesce(F.avg("packets").over(prior), F.lit(0.0)).alias("lifetime_packets"))
+    life = running(out, ["service"], ["ts", "flow_id"], {"i": F.lit(1), "p": F.col("packets"), "known": F.col("packets").isNotNull().cast("int")})
+    own = F.coalesce("packets", F.lit(0))
+    mean = F.try_divide(F.col("p") - own, F.col("known") - F.col("packets").isNotNull().cast("int"))
+    life = life.select("flow_id", (F.col("i") - 1).alias("lifetime"), F.coalesce(mean, F.lit(0.0)).cast("double").alias("lifetime_packets"))
     for w in windows:
         c = service_context(out, w, short)
         life = life.join(c.select("flow_id", F.col("recent_count").alias(f"count_{w:g}"), F.col("short_ratio").alias(f"short_{w:g}")), "flow_id")
@@ -85,8 +93,8 @@ def max_sliding_fpr(replay: DataFrame, widths: list[float]) -> DataFrame:
     b = replay.where("y = 0").groupBy("ts").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("bigint")).alias("h"))
     out = None
     for w in widths:
-        span = since(w)
-        one = b.select((F.sum("h").over(span) / F.sum("n").over(span)).alias("f")).agg(F.max("f").alias("max_fpr")).select(F.lit(float(w)).alias("window_s"), "max_fpr")
+        span = Window.partitionBy("_bucket").orderBy("_us").rangeBetween(-round(w * 1e6), 0)
+        one = haloed(b, F.col("ts"), w).select("_halo", (F.sum("h").over(span) / F.sum("n").over(span)).alias("f")).where("_halo = 0").agg(F.max("f").alias("max_fpr")).select(F.lit(float(w)).alias("window_s"), "max_fpr")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -122,10 +130,11 @@ def service_monitor(scored: DataFrame, threshold: float, window: float, min_coun
 def hybrid_alerts(scored: DataFrame, threshold: float, window: float, min_count: int, max_packets: int) -> DataFrame:
     """STR06: alert on the model's score, or on a short flow when so many short flows came in the window, over all services.
 
-    Short flows are first counted by time, so the global window has a row a distinct time, not a row a flow.
+    Short flows are first counted by time; the window then runs inside time buckets that also hold the bucket before.
     """
     tiny = scored.where(F.col("packets") <= max_packets).groupBy("ts").agg(F.count("*").alias("n"))
-    recent = tiny.select("ts", F.sum("n").over(since(window)).alias("short_recent"))
+    span = Window.partitionBy("_bucket").orderBy("_us").rangeBetween(-round(window * 1e6), 0)
+    recent = haloed(tiny, F.col("ts"), window).select("ts", "_halo", F.sum("n").over(span).alias("short_recent")).where("_halo = 0").drop("_halo")
     rows = scored.join(recent, "ts", "left")
     burst = (F.col("packets") <= max_packets) & (F.coalesce("short_recent", F.lit(0)) >= min_count)
     return rows.select("flow_id", ((F.col("score") >= threshold) | burst).cast("int").alias("hit"), burst.cast("int").alias("burst_alert"))
@@ -148,8 +157,9 @@ def guard_audit(guarded: DataFrame, top: int = 20) -> DataFrame:
 
 def neighbour_turnover(queries: DataFrame) -> DataFrame:
     """WIN11: of (seq, neighbours), 1 - Jaccard between queries in a row: mean and 95th percentile."""
-    before = F.lag("neighbours").over(Window.orderBy("seq"))
-    t = queries.select(F.col("neighbours").alias("a"), before.alias("b")).where("b IS NOT NULL")
+    rows = running(queries, [], ["seq"], {"i": F.lit(1)})
+    before = rows.select((F.col("i") + 1).alias("i"), F.col("neighbours").alias("b"))
+    t = rows.select("i", F.col("neighbours").alias("a")).join(before, "i").where("b IS NOT NULL")
     turn = 1 - F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b"))
     return t.select(turn.alias("t")).agg(F.avg("t").alias("mean"), F.percentile("t", F.lit(0.95)).alias("p95"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowharbor.operators import jobs as J
 from flowharbor.operators import profiles as P
 from flowharbor.operators import structure as T
 
@@ -102,6 +103,27 @@ def tok04_flow_tokens(spark, sf):
     return user_tokens(spark, sf).withColumn("tokens", F.array_join("tokens", " "))
 
 
+def _view_sql(view: str) -> str:
+    """A view's condition, from its fixed values."""
+    if view in J.VIEWS:
+        return f"kind IN ({', '.join(repr(k) for k in J.VIEWS[view].split())})"
+    if view in J.VIEWS_WITHOUT or view == "no_unk":
+        out = J.VIEWS_WITHOUT.get(view, "special").split()
+        return f"kind NOT IN ({', '.join(repr(k) for k in out)})" if out else "true"
+    parts = [f"contains(token, '{p}')" for p in J.PARTS_WITHOUT.get(view, ())] + [f"starts_with(token, '{p}')" for p in J.BEGIN_WITHOUT.get(view, ())]
+    return f"kind <> 'special' AND NOT ({' OR '.join(parts)})"
+
+
+@query(f"""WITH {TOKENS}, lt AS (SELECT flow, unnest(tokens) AS token FROM tk), k AS (SELECT *, CASE WHEN token IN ('[PAD]', '[CLS]', '[SEP]', '[MASK]', '[UNK]') THEN 'special' WHEN token = 'PRIM_PROFILE_NONE' THEN 'none' WHEN starts_with(token, 'PRIM_PROFILE_') THEN 'profile' WHEN starts_with(token, 'PRIM_STRUCT_') THEN 'structural'
+ WHEN regexp_matches(token, '^PKT_(DIR|LEN|IAT)_') THEN 'packet' WHEN regexp_matches(token, '^FLOW_(PKTN|DUR|BURSTN|DIR_RATIO|COUNT)_') THEN 'flow' WHEN starts_with(token, 'BURST_') THEN 'burst' WHEN starts_with(token, 'RHY_') THEN 'rhythm' ELSE 'other' END AS kind FROM lt)
+ {' UNION ALL '.join(f"SELECT '{v}' AS view, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens, count(DISTINCT flow) AS flows FROM k WHERE {_view_sql(v)} HAVING count(*) > 0" for v in J.VIEW_NAMES)}""")
+def sca28_feature_views(spark, sf):
+    """What each named view keeps of all flows' tokens."""
+    rows = user_tokens(spark, sf).select("flow", F.explode("tokens").alias("token"))
+    kept = F.array_compact(F.array(*[F.when(J.view_filter(F.col("token"), v), v) for v in J.VIEW_NAMES]))
+    return rows.select("flow", "token", F.explode(kept).alias("view")).groupBy("view").agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("distinct_tokens"), F.count_distinct("flow").alias("flows"))
+
+
 @query(f"""WITH {TOKENS}, {SPLITS}, co AS (SELECT tk.flow, split, tokens, raw_tokens FROM tk JOIN sp ON tk.flow = sp.flow), lg AS (SELECT flow, split, unnest(tokens) AS token FROM co), v AS (SELECT DISTINCT token FROM lg WHERE split = 'train' UNION SELECT unnest(['[PAD]', '[CLS]', '[SEP]', '[MASK]', '[UNK]'])),
  b AS (SELECT *, len(tokens) AS n, row_number() OVER (PARTITION BY split ORDER BY len(tokens), flow) AS i, count(*) OVER (PARTITION BY split) AS m FROM co), u AS (SELECT split, count(*) AS tokens, round(avg(CAST(v.token IS NULL AS DOUBLE)), 6) AS unk_rate FROM lg LEFT JOIN v ON lg.token = v.token GROUP BY split)
  SELECT b.split, count(*) AS flows, round(avg(n), 6) AS mean, max(n) FILTER (i = round_even(0.5 * (m - 1), 0) + 1) AS p50, max(n) FILTER (i = round_even(0.95 * (m - 1), 0) + 1) AS p95, any_value(u.tokens) AS tokens, any_value(unk_rate) AS unk_rate, round(avg(CAST(raw_tokens > 200 AS DOUBLE)), 6) AS cut, max(raw_tokens)::INTEGER AS longest FROM b JOIN u ON b.split = u.split GROUP BY b.split""")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowharbor.functions import scalars as S
 from flowharbor.operators import tokens as T
 
-from .binding import DOCS, read, token_rows
+from .binding import DOCS, flow_rows, read, token_rows
 from .metric_queries import rounded
 from .registry import query
 
@@ -90,6 +91,26 @@ def agg40_leakage_report(spark, sf):
     return T.leakage_report(token_rows(spark, sf))
 
 
+def _parts(names: tuple) -> str:
+    return f"len(list_intersect(string_split_regex(upper(token), '[_=]'), [{', '.join(repr(n) for n in names)}])) > 0"
+
+
+_IP = r"(regexp_matches(token, '(^|[^0-9])([0-9]{1,3}\.){3}[0-9]{1,3}($|[^0-9])') OR regexp_matches(token, '(?i)\b([0-9a-f]{1,4}:){3,7}[0-9a-f]{1,4}\b'))"
+
+
+@query(f"""WITH {DOCS}, v AS (SELECT DISTINCT token FROM tok WHERE split = 'train'), n AS (SELECT count(*) FILTER ({_IP}) AS ip, count(*) FILTER ({_parts(S.TIME_PARTS)}) AS time, count(*) FILTER ({_parts(S.PORT_PARTS)}) AS port FROM v),
+ m AS (SELECT count(*) AS bad FROM (SELECT flow_id FROM tok GROUP BY flow_id HAVING bool_or({_IP} OR {_parts(S.TIME_PARTS)} OR {_parts(S.PORT_PARTS)}))), s AS (SELECT count(*) - count(DISTINCT flow_id) AS bad FROM docs)
+ SELECT 'L1_flow_id_disjoint' AS "check", bad = 0 AS ok, bad FROM s UNION ALL SELECT 'L4_vocab_no_raw_ip', ip + time + port = 0, ip FROM n UNION ALL SELECT 'L5_vocab_no_abs_time', ip + time + port = 0, time FROM n UNION ALL SELECT 'L6_vocab_no_raw_port', port = 0, port FROM n
+ UNION ALL SELECT 'L4_L5_L6_token_meta_flags', bad = 0, bad FROM m UNION ALL SELECT unnest(['L2_profile_primitives_train_only', 'L3_vocab_train_only', 'L7_val_test_not_used_for_training_stats', 'L8_test_not_used_for_threshold_tuning']), unnest([false, true, true, true]), unnest([1, 0, 0, 0])""")
+def agg40_leakage_checks(spark, sf):
+    """All eight checks over every document's tokens; the profile manifest lacks its splits, so that L2 fails."""
+    tokens = token_rows(spark, sf)
+    t = F.col("token")
+    meta = tokens.groupBy("flow_id").agg(F.max(S.looks_like_ip(t)).alias("has_ip_token"), F.max(S.is_time_token(t)).alias("has_abs_time_token"), F.max(S.is_port_token(t)).alias("has_port_token"))
+    manifest = {"train_only": True, "splits": "documents", "threshold_tuning_split": "val"}
+    return T.leakage_checks(flow_rows(spark, sf).select("flow_id", "split"), tokens.where("split = 'train'").select("token").distinct(), meta, {"train_only": True}, manifest)
+
+
 @query("""WITH t AS (SELECT quantile_cont(ln(1 + l_quantity), [0.25, 0.5, 0.75]) AS q, quantile_cont(ln(1 + l_extendedprice), [0.25, 0.5, 0.75]) AS p FROM lineitem WHERE l_orderkey % 5 < 3)
  SELECT l_orderkey * 10 + l_linenumber AS flow_id, unnest(['L_QUANTITY_' || len(list_filter(q, lambda e: e <= ln(1 + l_quantity))), 'L_EXTENDEDPRICE_' || len(list_filter(p, lambda e: e <= ln(1 + l_extendedprice)))]) AS token FROM lineitem, t""")
 def tok06_edge_tokens(spark, sf):
