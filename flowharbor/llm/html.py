@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is never read.
 RAW = frozenset("script style noscript template svg textarea title iframe object select".split())
 #: Boilerplate by tag, by ARIA role and by words of class or id.
-SKIP_TAGS = frozenset("nav header footer aside form button dialog menu head".split())
+SKIP_TAGS = frozenset("nav header footer aside button dialog menu head".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side "
@@ -39,6 +40,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li "
     "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+#: A form is boilerplate, unless it wraps the page: at least so many characters, and hardly any text beside it.
+FORM_TEXT = 200
+#: From this depth on elements no longer are containers of their own: browsers, too, flatten what is nested hundreds deep.
+DEPTH = 200
 #: Elements that can hold a page's main text.
 CONTAINERS = frozenset("article main section div td body".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -91,9 +96,11 @@ def _skipped(tag: str, attributes: dict[str, str]) -> bool:
 
 def _suspect(tag: str, attributes: dict[str, str]) -> str:
     """"sure" if a whole class or id consists of boilerplate words, beside neutral ones; "maybe" if one has some
-    (has-comments, share-price); else nothing."""
+    (has-comments, share-price); "form" for a form; else nothing."""
     if tag in ("body", "html", "main", "article"):
         return ""
+    if tag == "form":
+        return "form"
     names = [_words(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
     if any(x - NEUTRAL_WORDS and x - NEUTRAL_WORDS <= SKIP_WORDS for x in names):
         return "sure"
@@ -116,19 +123,29 @@ def _end_of(tag: str) -> re.Pattern:
 def _boilerplate(suspects: list[tuple[str, bool]], marked: list[tuple[int, ...]], sizes: dict[tuple[int, ...], int], links: dict[tuple[int, ...], int]) -> set[int]:
     """The suspects that are boilerplate. One that holds the page's only article or main is a wrapper, and so is a "maybe" one
     beside which hardly any text would be kept. A "maybe" one inside an article or main is judged by what it holds: it stays
-    unless half its text is links. `marked`, `sizes` and `links` are by the suspects around an article, a text and its links."""
-    active = set()
-    for i, (why, within) in enumerate(suspects):
-        held, linked = (sum(n for around, n in x.items() if i in around) for x in (sizes, links))
-        if why == "sure" or not within or 2 * linked >= held:
-            active.add(i)
-    suspects = [why for why, _ in suspects]
-    for i in sorted(active, key=lambda i: (suspects[i] == "sure", i)):
-        elsewhere = any(i not in around and active.isdisjoint(around) for around in marked)
-        inner = sum(n for around, n in sizes.items() if i in around)
-        outer = sum(n for around, n in sizes.items() if i not in around and active.isdisjoint(around))
-        if not elsewhere and (any(i in around for around in marked) or (suspects[i] == "maybe" and 10 * outer < inner)):
+    unless half its text is links; a form that holds nearly all of the page's text is a wrapper too. `marked`, `sizes` and
+    `links` are by the suspects around an article, a text and its links; each is added up once, whatever the suspects."""
+    inner, linked, articles = [0] * len(suspects), [0] * len(suspects), [0] * len(suspects)
+    held_by: list[list[tuple[int, ...]]] = [[] for _ in suspects]
+    for within, n in sizes.items():
+        for i in within:
+            inner[i] += n
+            linked[i] += links[within]
+            held_by[i].append(within)
+    for within in marked:
+        for i in within:
+            articles[i] += 1
+    active = {i for i, (why, inside) in enumerate(suspects) if why != "maybe" or not inside or 2 * linked[i] >= inner[i]}
+    outer = sum(n for within, n in sizes.items() if active.isdisjoint(within))
+    elsewhere = any(active.isdisjoint(within) for within in marked)
+    for i in sorted(active, key=lambda i: (suspects[i][0] == "sure", i)):
+        if elsewhere:
+            break
+        why = suspects[i][0]
+        if articles[i] or (10 * outer < inner[i] and (why == "maybe" or (why == "form" and inner[i] >= FORM_TEXT))):
             active.discard(i)
+            outer += sum(sizes[within] for within in held_by[i] if active.isdisjoint(within))
+            elsewhere = bool(articles[i]) and any(active.isdisjoint(within) for within in marked)
     return active
 
 
@@ -139,6 +156,7 @@ def parse(source: str | None) -> Page:
     text, source = [], source or ""  # text: words, linked characters, suspects around
     blocks, suspects, around = [], [], []  # around: each container's suspects
     pos, size = 0, len(source)
+    opened, endless, marks = Counter(), set(), []  # open elements by tag; raw tags of which no end follows; containers that are marked
 
     def flush() -> None:
         nonlocal text
@@ -149,6 +167,7 @@ def parse(source: str | None) -> Page:
     def close(upto: int) -> None:
         if any(x[0] in BLOCKS for x in stack[upto:]):
             flush()
+        opened.subtract(x[0] for x in stack[upto:])
         del stack[upto:]
 
     def words(raw: str) -> None:
@@ -171,12 +190,13 @@ def parse(source: str | None) -> Page:
             continue
         tag = found[3].lower()
         if found[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW:
-            end = _end_of(tag).search(source, pos)
+            end = None if tag in endless else _end_of(tag).search(source, pos)
+            if not end:
+                endless.add(tag)
             pos = end.end() if end else (size if tag in ("script", "style", "title", "textarea") else pos)
             continue
         if tag == "br" or tag == "hr":
@@ -184,11 +204,11 @@ def parse(source: str | None) -> Page:
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] in CONTAINERS), None)
             if depth is not None and stack[depth][0] == "p":
                 close(depth)
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(opened[x] for x in IMPLIED[tag][0]):
             ends, bound = IMPLIED[tag]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in bound:
@@ -200,18 +220,21 @@ def parse(source: str | None) -> Page:
             flush()
         names, skipped, why = _tag_facts(tag, found[4] or "")
         above = stack[-1] if stack else ("", False, "", (), False, ())
-        path = f"{above[2]}>{names}" if tag in BLOCKS else above[2]
+        flat = len(above[3]) >= DEPTH or len(above[5]) >= DEPTH or len(above[2]) >= 64 * DEPTH
+        path = f"{above[2]}>{names}" if tag in BLOCKS and not flat else above[2]
         skip, inside = above[1] or skipped, above[3]
         within = above[5]
-        if why and not skip:
-            suspects.append((why, any(_MARKED.search(page.containers[i].path) for i in inside)))
+        if why and not skip and not flat:
+            suspects.append((why, any(marks[i] for i in inside)))
             within = (*within, len(suspects) - 1)
-        if tag in CONTAINERS and not skip:
+        if tag in CONTAINERS and not skip and not flat:
+            marks.append(bool(_MARKED.search(path)))
             page.containers.append(Container(path, len(inside), above=inside))
             around.append(within)
             inside = (*inside, len(page.containers) - 1)
         if not found[0].rstrip().endswith("/>") or tag in BLOCKS:
             stack.append((tag, skip, path, inside, above[4] or tag == "a", within))
+            opened[tag] += 1
     flush()
     return _settled(page, blocks, suspects, around)
 

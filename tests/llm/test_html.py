@@ -1,4 +1,5 @@
 import random
+import time
 from html import escape
 
 from flowharbor.llm import html
@@ -95,3 +96,22 @@ def test_generated_pages_give_back_their_articles(spark):
     want[1000] = "\n".join(["very long"] * 60_000)
     got = {r.page_id: r.main_text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_broken_and_deep_nesting_costs_in_proportion():
+    started = time.process_time()
+    assert html.extract("<div>" * 100_000 + "text", None) == "text"
+    assert html.extract("<div><span>" * 30_000 + "text" + "</b></i>" * 30_000, None) == "text"
+    words = "word " * 100
+    assert html.extract("<div class=comment>says</div>" * 20_000 + f"<article><p>{words}</article>", None) == words.strip()
+    html.extract("<svg>x" * 20_000 + f"<p>{words}", None)
+    html.extract("<b>" * 10_000 + "</i>" * 10_000 + "<h1>x" * 5_000, None)
+    assert time.process_time() - started < 20
+
+
+def test_a_form_around_the_page_is_no_boilerplate():
+    article = "The article has many words. " * 20
+    assert html.extract(f"<body><form id=aspnetForm><div class=content>{article}</div></form></body>", None) == article.strip()
+    assert html.extract(f"<body><form><nav>Menu</nav><div class=sidebar>{'Side words. ' * 9}</div><div>{article}</div></form></body>", None) == article.strip()
+    assert html.extract(f"<body><article>{article}<form>Leave a reply {'label ' * 60}</form></article></body>", None) == article.strip()
+    assert html.extract("<body><form><label>Search</label></form></body>", None) == ""
