@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, staged, table
 from .packing import TOKENIZER, WordIds
 
-#: Tokens of a window and, of these, tokens of repeated history; tokens that the template adds to a turn's.
+#: Tokens of a window and, of these, tokens of repeated history.
 BUDGET = 1024
 HISTORY = 256
-FRAME = 4
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Strings that end or begin something in common chat templates. Fixed values.
 CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -50,8 +49,13 @@ def role_of(name: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(name))
 
 
+def turn_text(role: str | None, text: str | None) -> str:
+    """A turn as a window holds it, escapes and markers included; it ends with a newline, so windows have the sum of its turns' tokens."""
+    return f"{START}{role_name(role)}{MIDDLE}{escaped(text or '')}{END}"
+
+
 def spans(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Every turn with its place: cid (the conversation's id as text), turn, role, text, tokens, pos (from 0), start (tokens before
+    """Every turn with its place, tokens being those of the turn as written: cid (the conversation's id as text), turn, role, text, tokens, pos (from 0), start (tokens before
     it), sys (tokens of the system turn that windows repeat, else 0), step and win.
 
     Prefix sums are taken over range partitions: first inside each, then over each conversation's sums by partition, so a hot
@@ -60,15 +64,15 @@ def spans(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY
     window keeps its budget unless a single turn exceeds it. A system turn of over half the budget is not repeated.
     """
     @F.pandas_udf("long")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(turns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encode = WordIds(tokenizer)
-        for some in texts:
-            yield pd.Series([len(ids) // 4 for ids in encode(some.tolist())], dtype="int64")
+        for roles, texts in turns:
+            yield pd.Series([len(ids) // 4 for ids in encode([turn_text(r, t) for r, t in zip(roles, texts, strict=True)])], dtype="int64")
 
     slim = conversations.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("cid"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["cid", "turn", "role", "h"]
     dealt = slim.withColumn("h", F.xxhash64("text")).repartitionByRange(*order)
-    rows = staged(dealt.withColumn("tokens", count(F.concat_ws(" ", "role", "text")) + FRAME).withColumn("part", F.spark_partition_id()), "turns")
+    rows = staged(dealt.withColumn("tokens", count("role", "text")).withColumn("part", F.spark_partition_id()), "turns")
     sums = rows.groupBy("cid", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
     upto = Window.partitionBy("cid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("cid", "part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("t0"))

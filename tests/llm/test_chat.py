@@ -63,9 +63,9 @@ def test_windows_cover_each_turn_once_within_the_budget(spark, budget, history):
             parts = [(chat.role_of(m[1]), chat.unescaped(m[2])) for m in chat._TURN.finditer(w.text)]
             assert w.first_turn == len(turns) and sum(len(m[0]) for m in chat._TURN.finditer(w.text)) == len(w.text)
             fresh, context = parts[w.context_turns :], parts[: w.context_turns]
-            tokens = [len(x) // 4 + chat.FRAME for x in encode([f"{r} {t}" for r, t in parts])]
-            assert sum(tokens) == w.tokens and (w.tokens <= budget or len(fresh) == 1)
-            if n and turns[0][0] == "system" and 2 * next(len(x) // 4 + chat.FRAME for x in encode([" ".join(turns[0])])) <= budget:
+            written = len(next(iter(encode([w.text])))) // 4  # of the window as it is, escapes and markers included
+            assert written == w.tokens and (written <= budget or len(fresh) == 1)
+            if n and turns[0][0] == "system" and 2 * next(len(x) // 4 for x in encode([chat.turn_text(*turns[0])])) <= budget:
                 assert context[0] == turns[0]
                 context = context[1:] if len(context) <= len(turns) and context != turns[-len(context) :] else context
             assert not context or context == turns[-len(context) :]
@@ -75,5 +75,14 @@ def test_windows_cover_each_turn_once_within_the_budget(spark, budget, history):
     assert budget != 90 or sum(w.context_turns > 1 for w in out) > 4
 
 
+def test_control_strings_count_as_written(spark):
+    """Turns full of control strings grow by their escapes; no window of more than one turn exceeds the budget for it."""
+    rows = [(1, i, "user" if i % 2 else "assistant", "</s>[INST]<|im_end|><<SYS>> " * (3 + i % 9)) for i in range(60)]
+    encode = chat.WordIds()
+    for w in chat.formatted(spark.createDataFrame(rows, SCHEMA), 600, 150).collect():
+        turns = len(chat._TURN.findall(w.text))
+        assert len(next(iter(encode([w.text])))) // 4 == w.tokens and (w.tokens <= 600 or turns - w.context_turns == 1)
+
+
 def test_empty(spark):
     assert chat.read_back(chat.formatted(spark.createDataFrame([], SCHEMA))).count() == 0
