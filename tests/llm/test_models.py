@@ -31,6 +31,24 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.held_out == is_held_out(r.doc_id) for r in got.values())
 
 
+def test_letters_and_what_only_looks_like_them():
+    books = (("aa", b"anna banana canna manna " * 40), ("bb", b"bobo dodo toto momo lolo " * 40))
+    assert language.classify("½ ² Ⅷ", books) == ("und", 0.0) and language.normalised("a½b Ⅷ c_1") == "a b c"
+
+
+def test_dictionaries_count_copies_once_and_read_long_texts(spark, monkeypatch):
+    """3,000 copies of one text neither crowd out a language's other texts nor empty its dictionary; texts longer than a
+    dictionary teach a stretch; no text is both in a dictionary and among those that margins are measured on."""
+    monkeypatch.setattr(language, "DICTIONARY_BYTES", 4000)
+    rows = [(i, "copied words " * 200, "xx") for i in range(3000)] + [(5000 + i, f"other{i} text{i} " * 10, "xx") for i in range(200)] + [(9000 + i, f"lang{i} " * 5000, "yy") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    books = language.dictionaries(df, size=4000)
+    assert set(books) == {"xx", "yy"} and all(2000 < len(b) <= 4000 for b in books.values()) and books["xx"].count(b"other") > 20
+    sides = [{r.h for r in language._learnt(df, "text", "lang", None, side).select("h").collect()} for side in (False, True)]
+    assert sides[0] and sides[1] and not sides[0] & sides[1] and len(sides[0] | sides[1]) == 231
+    assert language.least_margin(df, books) >= language.TIE
+
+
 def test_language_defined_cases(spark):
     books = {"aa": b"anna banana canna manna " * 40, "bb": b"bobo dodo toto momo lolo " * 40}
     rows = [(1, "banana manna"), (2, "dodo toto bobo"), (3, None), (4, ""), (5, "12 !? 34"), (6, "x"), (1, "banana manna"), (7, "anna canna " * 20000)]
