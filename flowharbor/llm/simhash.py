@@ -31,8 +31,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
-#: Shingles aimed at in a block of a large bucket's sets.
-BLOCK_SHINGLES = 200_000
+#: Shingles and sets aimed at in a block of a large bucket's sets: a pair of blocks holds a matrix of its sets by its sets.
+BLOCK_SHINGLES = 100_000
+BLOCK_SETS = 1000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -221,7 +222,7 @@ def _block_links(similarity: float, pdf: pd.DataFrame) -> pd.DataFrame:
     """Spanning edges between the similar sets of two blocks of a bucket (or of one with itself), from shared shingles
     counted for all their pairs by matrix products over stretches of the shingles that occur twice."""
     sets = [np.asarray(x, np.int64) for x in pdf["x"]]
-    n, owner = np.array([len(x) for x in sets], float), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    n, owner = np.array([len(x) for x in sets], np.float32), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     twice = times > 1
     place, kept = np.cumsum(twice) - 1, twice[code]
@@ -242,7 +243,7 @@ def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR
 
     In each bucket every set first meets one hub. Where that leaves several components, the pairs between them follow:
     one by one in a bucket of up to `bucket` sets, and in a larger one between blocks of about BLOCK_SHINGLES
-    shingles, each pair of blocks in a task of its own that gives only spanning edges. No bucket is capped, and no
+    shingles and BLOCK_SETS sets at most, each pair of blocks in a task of its own that gives only spanning edges. No bucket is capped, and no
     task holds more than two blocks; the work in a bucket that stays in several components grows with its square.
     """
     keyed = sets.select("sid", "n", F.posexplode("keys").alias("band", "k"))
@@ -264,7 +265,7 @@ def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     large = left.where(F.col("c") > bucket)
     if large.isEmpty():
         return found
-    blocks = F.ceil(F.col("held") / BLOCK_SHINGLES)
+    blocks = F.greatest(F.ceil(F.col("held") / BLOCK_SHINGLES), F.ceil(F.col("c") / BLOCK_SETS))
     mine = large.withColumn("g", F.pmod(F.xxhash64("sid"), blocks)).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     met = mine.select("band", "k", F.least("g", "t").alias("lo"), F.greatest("g", "t").alias("hi"), "sid")
     shingles = _shingled(large.select("sid"), sets, texts, width)
