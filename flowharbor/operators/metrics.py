@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import running
+from .staging import discard, running, staged
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -113,6 +115,50 @@ def evt_threshold(val: DataFrame, u: float = 0.9, p: float = 0.99) -> DataFrame:
     return both.select("u", "plain", F.when((F.col("k") >= 10) & (F.col("v") > 0), evt).otherwise(F.col("plain")).alias("threshold"), "k")
 
 
+def _profile(theta: float, mean_log: float, mean: float) -> float:
+    """Log-likelihood a row of a generalised Pareto tail at shape / scale = theta, the shape being the mean of log(1 + theta * excess)."""
+    if theta == 0:
+        return -math.log(mean) - 1
+    return -math.log(mean_log / theta) - mean_log - 1 if mean_log >= -1 else -math.inf
+
+
+def evt_threshold_likelihood(val: DataFrame, u: float = 0.9, p: float = 0.99, grid: int = 64, rounds: int = 9) -> DataFrame:
+    """CAL04: as evt_threshold, the tail fitted by maximum likelihood with a shape of at least -1 (below that it has no maximum).
+
+    The shape follows from theta = shape / scale, so the likelihood is searched along theta alone: each round is one aggregation of the
+    tail's distinct excesses, a sum for each of `grid` values, and the next round looks between the best one's neighbours. The first grid runs from the
+    least value that the largest excess allows to the bound 2 * (mean - least) / least^2 above which no maximum lies. With under 10 rows or no
+    spread it falls back to evt_threshold.
+    """
+    moments = evt_threshold(val, u, p)
+    start = moments.first()
+    benign = val.where("y = 0")
+    cut = F.lit(start["u"])
+    tail = staged(benign.where(F.col("score") > cut).groupBy((F.col("score") - cut).alias("e")).agg(F.count("*").alias("c")), "tail")
+    k, mean, least, most = tail.agg(F.sum("c"), F.sum(F.col("e") * F.col("c")) / F.sum("c"), F.min("e"), F.max("e")).first()
+    if (k or 0) < 10 or least == most:
+        return moments.withColumns({"shape": F.lit(None).cast("double"), "scale": F.lit(None).cast("double")})
+    low, high = -1 / most, max(2 * (mean - least) / least**2, 1 / mean)
+    ratio_ = (high * mean / 1e-6) ** (1 / (grid // 2 - 1))
+    points = [low * (1 - 2.0 ** -(i / 2)) for i in range(grid // 2, 0, -1)] + [0.0] + [1e-6 / mean * ratio_**i for i in range(grid // 2)]
+    best = (-math.inf, 0.0, mean)
+    for _ in range(rounds):
+        sums = tail.agg(*[(F.sum(F.log1p(F.col("e") * t) * F.col("c")) / k).alias(f"s{i}") for i, t in enumerate(points)]).first()
+        scored = [(_profile(t, m, mean), t, m) for t, m in zip(points, sums, strict=True)]
+        at = max(range(len(scored)), key=lambda i: scored[i][0])
+        best = max(best, scored[at])
+        a, b = points[max(0, at - 1)], points[min(len(points) - 1, at + 1)]
+        points = [a + (b - a) * i / (grid - 1) for i in range(grid)]
+    discard(tail)
+    _, theta, shape = best
+    # so near to 0 the quotient of two rounded numbers says nothing: the tail is exponential
+    flat = abs(theta) * mean < 1e-9
+    shape, scale = (0.0, mean) if flat else (shape, shape / theta)
+    left = (1 - p) * benign.count() / k
+    got = start["u"] + (-scale * math.log(left) if flat else scale / shape * (left**-shape - 1))
+    return moments.select("u", "plain", F.lit(float(got)).alias("threshold"), "k", F.lit(float(shape)).alias("shape"), F.lit(float(scale)).alias("scale"))
+
+
 def conformal(val: DataFrame, test: DataFrame, alphas: list[float]) -> DataFrame:
     """CAL05: test rows flagged at (1 + benign validation scores at or above) / (n + 1) <= alpha, by class; running counts, no pairs."""
     v = val.where("y = 0").groupBy("score").agg(F.count("*").alias("c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import haloed, running
+from .staging import discard, haloed, running, staged
 
 
 def since(width: float, *by: str):
@@ -64,14 +64,36 @@ def tumbling_rows(preds: DataFrame, group: list[str], n: int) -> DataFrame:
 
 
 def anchored_windows(preds: DataFrame, group: list[str], width: float) -> DataFrame:
-    """WIN05: windows that start at a row and restart at the first row over `width` seconds after; an ordered fold of a
-    group's times gives the starts."""
-    times = preds.groupBy(*group).agg(F.sort_array(F.collect_set("ts")).alias("t"))
-    fold = F.aggregate("t", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) > width), F.concat(a, F.array(x))).otherwise(a))
-    starts = times.select(*group, F.posexplode(fold).alias("window", "start"))
-    nxt = Window.partitionBy(*group).orderBy("window")
-    spans = starts.withColumn("stop", F.lead("start").over(nxt))
-    joined = preds.join(spans, group).where((F.col("ts") >= F.col("start")) & (F.col("stop").isNull() | (F.col("ts") < F.col("stop"))))
+    """WIN05: windows that start at a row and restart at the first row over `width` seconds after. Rows without a time or a
+    group belong to none; `width` is positive.
+
+    Every time points to the first one over `width` later; that is found inside time buckets of `width` seconds, or is the first time of the
+    next bucket that has any. Doubled pointers then mark what the group's first time reaches, in as many rounds as the logarithm of a
+    group's windows. A bucket holds one start at most, so rows meet at most two starts each, in their bucket.
+    """
+    place = lambda t: F.floor(t / width)
+    times = preds.select(*group, "ts").where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*group, "ts"])).distinct().withColumn("_b", place(F.col("ts")))
+    firsts = times.groupBy(*group, "_b").agg(F.min("ts").alias("_first"))
+    # a time and the end of its reach meet in the bucket of the latter; reaches sort before the times that lie beyond them
+    reach = times.select(*group, place(F.col("ts") + width).alias("_b"), (F.col("ts") + width).alias("_at"), F.col("ts").alias("_from"), F.lit(None).cast("double").alias("_time"))
+    both = reach.unionByName(times.select(*group, "_b", F.col("ts").alias("_at"), F.lit(None).cast("double").alias("_from"), F.col("ts").alias("_time")))
+    later = Window.partitionBy(*group, "_b").orderBy(F.desc("_at"), F.col("_time").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("_next", F.last("_time", ignorenulls=True).over(later)).where("_from IS NOT NULL")
+    upcoming = Window.partitionBy(*group).orderBy("_b")
+    after = inside.select(*group, "_b").distinct().join(firsts, [*group, "_b"], "full").withColumn("_then", F.first("_first", ignorenulls=True).over(upcoming.rowsBetween(1, Window.unboundedFollowing)))
+    links = inside.join(after.select(*group, "_b", "_then"), [*group, "_b"]).select(*group, F.col("_from").alias("_f"), F.coalesce("_next", "_then").alias("_t")).where("_t IS NOT NULL")
+    links = staged(links, "pointers")
+    starts = staged(firsts.groupBy(*group).agg(F.min("_first").alias("start")), "starts")
+    while not links.isEmpty():
+        hop = starts.withColumnRenamed("start", "_f").join(links, [*group, "_f"]).select(*group, F.col("_t").alias("start"))
+        grown = staged(starts.unionByName(hop).distinct(), "starts")
+        doubled = staged(links.join(links.select(*group, F.col("_f").alias("_t"), F.col("_t").alias("_u")), [*group, "_t"]).select(*group, "_f", F.col("_u").alias("_t")), "pointers")
+        discard(links)
+        discard(starts)
+        starts, links = grown, doubled
+    numbered = running(starts, group, ["start"], {"window": F.lit(1)}).withColumn("window", (F.col("window") - 1).cast("int"))
+    dealt = numbered.withColumn("_b", F.explode(F.sequence(place(F.col("start")), place(F.col("start") + width))))
+    joined = preds.withColumn("_b", place(F.col("ts"))).join(dealt, [*group, "_b"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("start") + width))
     return joined.groupBy(*group, "window", "start").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
 
 

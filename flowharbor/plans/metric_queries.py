@@ -71,6 +71,11 @@ def cal04_evt_threshold(spark, sf):
     return rounded(M.evt_threshold(scores(spark, sf).where("split = 'val'")))
 
 
+@query()
+def cal04_evt_likelihood(spark, sf):
+    return rounded(M.evt_threshold_likelihood(scores(spark, sf).where("split = 'val'")))
+
+
 @query(f"""WITH {SCORES}, v AS (SELECT score FROM scores WHERE split = 'val' AND y = 0), p AS (SELECT y, (1 + (SELECT count(*) FROM v WHERE v.score >= d.score)) / ((SELECT count(*) FROM v) + 1) AS p, n FROM (SELECT y, score, count(*) AS n FROM scores WHERE split = 'test' GROUP BY ALL) d)
  SELECT a::DOUBLE AS alpha, coalesce(sum(n) FILTER (y = 1 AND p <= a), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (y = 0 AND p <= a), 0)::BIGINT AS fp FROM p, (VALUES (0.05), (0.2), (0.01)) x(a) GROUP BY a""")
 def cal05_conformal(spark, sf):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowharbor.streaming import flows as T
+from flowharbor.streaming import labelled as LB
 
-from .binding import PACKETS, packets, read
+from .binding import PACKETS, epoch, packets, read
 from .registry import query
 from .window_queries import EV, events
 
@@ -35,3 +36,11 @@ def str03_label_stream(spark, sf):
     e = read(spark, sf, "events").select(F.col("event_id").alias("flow_id"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("src"), F.concat(F.lit("s"), F.col("user_id") % 9).alias("dst"))
     ips = read(spark, sf, "region").select(F.explode(F.array(*[F.lit(x) for x in ("u3", "u7", "u11", "s4")])).alias("ip"))
     return T.label_stream(e, ips).select("flow_id", "label")
+
+
+@query("""WITH l AS (SELECT event_id AS flow_id, CASE WHEN 'u' || (user_id % 50) IN ('u3', 'u7', 'u11') OR 's' || (user_id % 9) = 's4' THEN 'Botnet' ELSE 'BENIGN' END AS label, epoch(ts) AS start_ts FROM events)
+ SELECT flow_id, label FROM l QUALIFY row_number() OVER (PARTITION BY label ORDER BY start_ts, flow_id) <= 700""")
+def str04_capped_labels(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_id").alias("flow_id"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("src"), F.concat(F.lit("s"), F.col("user_id") % 9).alias("dst"), epoch("ts").alias("start_ts"))
+    ips = read(spark, sf, "region").select(F.explode(F.array(*[F.lit(x) for x in ("u3", "u7", "u11", "s4")])).alias("ip"))
+    return LB.capped(LB.indicator_labels(ips)(e), 700, ["start_ts", "flow_id"]).select("flow_id", "label")

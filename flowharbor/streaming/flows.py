@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
 
+from .states import MemoryRule
+
 
 def stream_flows(packets: DataFrame, gap: str = "60 seconds", watermark: str = "10 minutes") -> DataFrame:
     """STR01: packets (event_time, addresses, length) to closed flows: a flow ends after `gap` without packets. Late
@@ -28,7 +30,7 @@ def alert_counts(alerts: DataFrame, size: str, slide: str, watermark: str = "10
 
 
 def label_stream(flows: DataFrame, ips: DataFrame, attack: str = "ATTACK") -> DataFrame:
-    """STR03/04: closed flows (src, dst) joined with a static indicator list."""
+    """STR04: closed flows (src, dst) joined with a static indicator list; schedules and caps are in `labelled`."""
     from flowharbor.operators.labels import small
 
     known = small(ips.select("ip").distinct())
@@ -73,6 +75,7 @@ def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least:
     alert and recovering otherwise, is at least `least`. Rows whose column `poison` is true are remembered whatever they score. Sequential inside a service by nature; a service streams through
     one task in time order without being gathered."""
     schema = "flow_id long, service string, memory_score double, admitted int, reputation double"
+    rule = MemoryRule(threshold, size, least, alpha, top)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service, memory, trust = object(), [], 1.0
@@ -81,13 +84,7 @@ def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least:
             for flow, s, value, score, forced in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"], pdf["forced"]):
                 if s != service:
                     service, memory, trust = s, [], 1.0
-                near = sorted(abs(value - m) for m in memory)[:top]
-                got = sum(near) / len(near) if len(near) == top else score
-                bad = got >= threshold
-                trust = alpha * trust if bad else min(1.0, alpha * trust + (1 - alpha))
-                admit = bool(forced) or not bad and trust >= least
-                if admit:
-                    memory = [*memory, value][-size:]
+                got, admit, memory, trust = rule.step(memory, trust, value, score, forced)
                 out.append((flow, s, float(got), int(admit), trust))
             yield pd.DataFrame(out, columns=["flow_id", "service", "memory_score", "admitted", "reputation"])
 

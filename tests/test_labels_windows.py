@@ -1,5 +1,6 @@
 """Label joins, schedules, offsets, context, replay, metrics on literal rows."""
 
+import math
 import random
 
 import pytest
@@ -105,3 +106,43 @@ def test_perturbations(spark):
     assert X.perturb(rows, "length_align", 0.1).agg(F.max("len")).first()[0] == 128
     assert X.perturb(rows, "packet_insert", 0.5).count() > rows.count()
     assert X.perturb(rows, "delay_stretch", 0.5).agg(F.max("ts")).first()[0] > 19
+
+
+def test_anchored_windows_against_a_plain_fold(spark):
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], rng.choice([0.1, 0.3]) * rng.randrange(400), rng.random()) for i in range(300)]
+    rows += [(900, "b", 5000.0, 1.0), (901, None, 3.0, 1.0), (902, "a", None, 1.0), (903, "c", 7.0, 0.5)]
+    df = spark.createDataFrame(rows, "flow_id long, g string, ts double, score double")
+    got = {(r.g, r.window): (r.start, r.n, round(r["mean"], 9)) for r in W.anchored_windows(df, ["g"], 1.7).collect()}
+    want = {}
+    for g in "abc":
+        start, window, held = None, -1, []
+        for _, _, t, score in sorted((r for r in rows if r[1] == g and r[2] is not None), key=lambda r: r[2]):
+            if start is None or t > start + 1.7:
+                start, window, held = t, window + 1, []
+            held.append(score)
+            want[g, window] = (start, len(held), round(sum(held) / len(held), 9))
+    assert got == want
+    assert W.anchored_windows(df.limit(0), ["g"], 1.7).count() == 0
+
+
+@pytest.mark.parametrize("shape", [0.4, 0.0, -0.3])
+def test_tail_by_likelihood_beats_every_plain_guess(spark, shape):
+    rng = random.Random(3)
+    draw = lambda q: -math.log(q) if shape == 0 else (q**-shape - 1) / shape
+    rows = [(0, draw(1 - rng.random())) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "y int, score double")
+    got = M.evt_threshold_likelihood(df).first()
+    tail = [s - got.u for _, s in rows if s > got.u]
+
+    def loss(x, s):
+        return math.inf if s <= 0 or min(1 + x * e / s for e in tail) <= 0 else sum(math.log(s) + (e / s if abs(x) < 1e-12 else (1 + 1 / x) * math.log1p(x * e / s)) for e in tail)
+
+    best, x, s, step = loss(0.1, 1.0), 0.1, 1.0, 0.2
+    while step > 1e-9:  # a plain pattern search over (shape, scale)
+        near = min(((loss(x + a, s + b), x + a, s + b) for a in (-step, 0, step) for b in (-step, 0, step)), key=lambda r: r[0])
+        best, x, s, step = (*near, step) if near[0] < best else (best, x, s, step / 2)
+    assert got.k == len(tail) and abs(loss(got["shape"], got.scale) - best) < 1e-6 and loss(got["shape"], got.scale) <= best + 1e-9
+    assert got["shape"] == pytest.approx(x, abs=1e-4) and got.scale == pytest.approx(s, abs=1e-4)
+    few = M.evt_threshold_likelihood(df.limit(20)).first()
+    assert few["shape"] is None and few.threshold == few.plain
