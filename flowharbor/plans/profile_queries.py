@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowharbor.operators import jobs as J
 from flowharbor.operators import profiles as P
 from flowharbor.operators import structure as T
+from flowharbor.operators.staging import staged
 
 from .binding import epoch, read
 from .metric_queries import rounded
@@ -153,15 +154,21 @@ def tok04_optional_blocks(spark, sf):
     return P.shape_block(r, GAP).alias("a").join(P.signature_block(r).alias("b"), "flow").select("flow", F.concat_ws(" ", F.array_join("a.tokens", " "), F.array_join("b.tokens", " ")).alias("tokens"))
 
 
-EVENTS = f"""{UROWS}, pe AS (SELECT flow, i, 4 * i AS pos, CASE dir WHEN 1 THEN 'C2S' ELSE 'S2C' END AS dir, {lb('l')} AS l, {lb('gap * 1000.0')} AS q FROM s1),
+MADE_EVENTS = f"""{UROWS}, pe AS (SELECT flow, i, 4 * i AS pos, CASE dir WHEN 1 THEN 'C2S' ELSE 'S2C' END AS dir, {lb('l')} AS l, {lb('gap * 1000.0')} AS q FROM s1),
 b0 AS (SELECT flow, b, max(dir) AS d, count(*) AS n, avg(l) AS mean, sum(l) AS bytes, min(ts) AS st, max(ts) AS en FROM s1 GROUP BY flow, b),
-be AS (SELECT flow, b, 9 * b AS pos, CASE d WHEN 1 THEN 'C2S' ELSE 'S2C' END AS dir, {lb('n')} AS pktn, {lb('mean')} AS lm, {lb('greatest(coalesce(lead(st) OVER (PARTITION BY flow ORDER BY b) - en, 0.0), 0.0) * 1000.0')} AS gn, CASE d WHEN 1 THEN {lb('bytes')} ELSE 0 END AS c, CASE d WHEN 1 THEN 0 ELSE {lb('bytes')} END AS s FROM b0),
-p1 AS (SELECT *, lag(dir) OVER w AS dp, lag(l) OVER w AS lp, lead(dir) OVER w AS d1, lead(dir, 2) OVER w AS d2, lead(l) OVER w AS l1, lead(l, 2) OVER w AS l2, lead(q) OVER w AS q1, lead(q, 2) OVER w AS q2, lead(q, 3) OVER w AS q3 FROM pe WINDOW w AS (PARTITION BY flow ORDER BY i)),
+be AS (SELECT flow, b, 9 * b AS pos, CASE d WHEN 1 THEN 'C2S' ELSE 'S2C' END AS dir, {lb('n')} AS pktn, {lb('mean')} AS lm, {lb('greatest(coalesce(lead(st) OVER (PARTITION BY flow ORDER BY b) - en, 0.0), 0.0) * 1000.0')} AS gn, CASE d WHEN 1 THEN {lb('bytes')} ELSE 0 END AS c, CASE d WHEN 1 THEN 0 ELSE {lb('bytes')} END AS s FROM b0)"""
+#: Tokens with the burst blocks before the packets, and the events that a reader of the tokens finds in them.
+READ_EVENTS = f"""{TOKENS}, {BLOCKS.removeprefix(UROWS + ', ')}, bt AS (SELECT hd.flow, string_split(concat_ws(' ', hd.t, shp.t, ps.t, pa.t, '[SEP]'), ' ')[1:256] AS tokens FROM hd JOIN pa ON hd.flow = pa.flow JOIN shp ON hd.flow = shp.flow LEFT JOIN ps ON hd.flow = ps.flow),
+tp AS (SELECT flow, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM bt), tn AS (SELECT *, lead(token) OVER w AS t1, lead(token, 2) OVER w AS t2, lag(token) OVER w AS t0 FROM tp WINDOW w AS (PARTITION BY flow ORDER BY pos)),
+pe AS (SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY pos) - 1 AS i, pos, token[9:] AS dir, CAST(t1[9:] AS INT) AS l, CAST(t2[9:] AS INT) AS q FROM tn WHERE token IN ('PKT_DIR_C2S', 'PKT_DIR_S2C') AND starts_with(t1, 'PKT_LEN_') AND starts_with(t2, 'PKT_IAT_')),
+be AS (SELECT a.flow, a.pos AS b, a.pos, max(f.token[11:]) FILTER (starts_with(f.token, 'BURST_DIR_')) AS dir, CAST(any_value(a.token[12:]) AS INT) AS pktn, max(TRY_CAST(f.token[16:] AS INT)) FILTER (starts_with(f.token, 'BURST_LEN_MEAN_')) AS lm, max(TRY_CAST(f.token[16:] AS INT)) FILTER (starts_with(f.token, 'BURST_GAP_NEXT_')) AS gn,
+ max(TRY_CAST(f.token[17:] AS INT)) FILTER (starts_with(f.token, 'BURST_BYTES_C2S_')) AS c, max(TRY_CAST(f.token[17:] AS INT)) FILTER (starts_with(f.token, 'BURST_BYTES_S2C_')) AS s FROM tn a JOIN tn f ON a.flow = f.flow AND f.pos BETWEEN a.pos AND a.pos + 8 WHERE starts_with(a.token, 'BURST_PKTN_') GROUP BY a.flow, a.pos)"""
+FACTS = """p1 AS (SELECT *, lag(dir) OVER w AS dp, lag(l) OVER w AS lp, lead(dir) OVER w AS d1, lead(dir, 2) OVER w AS d2, lead(l) OVER w AS l1, lead(l, 2) OVER w AS l2, lead(q) OVER w AS q1, lead(q, 2) OVER w AS q2, lead(q, 3) OVER w AS q3 FROM pe WINDOW w AS (PARTITION BY flow ORDER BY i)),
 p2 AS (SELECT *, sum(CAST(dp IS NULL OR dp <> dir OR l > 6 AS INT)) OVER w AS r1, sum(CAST(dp IS NULL OR dp <> dir OR lp <> l AS INT)) OVER w AS r2 FROM p1 WINDOW w AS (PARTITION BY flow ORDER BY i ROWS UNBOUNDED PRECEDING)),
 ru AS (SELECT *, max(CAST(l > 6 AS INT)) OVER (PARTITION BY flow ORDER BY r1 ROWS UNBOUNDED PRECEDING) AS blocked FROM (SELECT flow, r1, min(pos) AS pos, arg_min(l, i) AS l, any_value(dir) AS dir, count(*) AS n FROM p2 GROUP BY flow, r1)),
 sm AS (SELECT * FROM ru WHERE l <= 6 AND n >= 2), se AS (SELECT flow, r2, min(pos) AS pos, any_value(dir) AS dir, any_value(l) AS l, count(*) AS n FROM p2 GROUP BY flow, r2 HAVING count(*) >= 2),
 md AS (SELECT flow, q, c FROM (SELECT flow, q, count(*) AS c, row_number() OVER (PARTITION BY flow ORDER BY count(*) DESC, min(i)) AS r FROM pe GROUP BY flow, q) WHERE r = 1),
-pf AS (SELECT flow, count(*) AS n, count(*) FILTER (dir = 'C2S') AS up, count(*) FILTER (dp <> dir) AS turns, arg_min(dir, i) AS fd, min(q) AS qlo, max(q) AS qhi, count(*) FILTER (q >= 10) AS high, avg(q) AS qm, stddev_pop(q) AS qs, max(pos) AS pm FROM p1 GROUP BY flow),
+pf AS (SELECT flow, count(*) AS n, count(*) FILTER (dir = 'C2S') AS up, count(*) FILTER (dp <> dir) AS turns, arg_min(dir, i) AS fd, min(i) FILTER (dp <> dir) AS ft, min(q) AS qlo, max(q) AS qhi, count(*) FILTER (q >= 10) AS high, avg(q) AS qm, stddev_pop(q) AS qs, max(pos) AS pm FROM p1 GROUP BY flow),
 b1 AS (SELECT *, lag(dir) OVER w AS dp, lag(pktn) OVER w AS kp, lag(lm) OVER w AS mp FROM be WINDOW w AS (PARTITION BY flow ORDER BY b)),
 bf AS (SELECT flow, count(*) AS bs, count(*) FILTER (dir = 'C2S') AS bc, count(*) FILTER (dp = 'C2S' AND dir = 'S2C') AS prs, count(*) FILTER (dp <> dir) AS bt, count(*) FILTER (gn <= 2) AS lg, count(*) FILTER (dp = dir AND kp = pktn AND mp = lm) AS du, sum(c)::BIGINT AS sc, sum(s)::BIGINT AS ss, count(*) FILTER (pktn <= 1) AS sb, max(pos) AS bm FROM b1 GROUP BY flow),
 gm AS (SELECT flow, max(c) AS g FROM (SELECT flow, gn, count(*) AS c FROM be GROUP BY flow, gn) GROUP BY flow),
@@ -190,14 +197,15 @@ WHOLE = (
     (f"'PARAM_BURST_ASYM_RATIO_' || {ge('(greatest(sc, ss) // greatest(least(sc, ss), 1))', 3, 7)}", "parameterized", "greatest(sc, ss) >= greatest(least(sc, ss), 1) + 4"), (f"'PARAM_REQ_RESP_REPEAT_' || {ge('prs', 2, 3)}", "parameterized", "prs >= 2"), (f"'PARAM_BURST_COUNT_' || {ge('bs', 3, 8)}", "parameterized", "bs > 0"),
     ("'PARAM_IAT_CV_' || CASE WHEN qm <= 0 OR qs / qm < 0.25 THEN 'LOW' WHEN qs / qm < 1.0 THEN 'MID' ELSE 'HIGH' END", "parameterized", "n >= 4"), (f"'PARAM_LONG_IDLE_BIN_' || {ge('qhi', 10, 13)}", "parameterized", "n >= 4 AND qhi >= 10"),
 )
-FIRED = f"""{EVENTS}, fi AS (SELECT flow, 'PKT_DIR_LEN_NGRAM_' || dir || '_L' || l || '_' || d1 || '_L' || l1 AS name, 'packet_shape' AS family, pos FROM p1 WHERE d1 IS NOT NULL UNION ALL SELECT flow, 'PKT_DIR_LEN_NGRAM_' || dir || '_L' || l || '_' || d1 || '_L' || l1 || '_' || d2 || '_L' || l2, 'packet_shape', pos FROM p1 WHERE d2 IS NOT NULL
+FIRING = f"""{FACTS}, fi AS (SELECT flow, 'PKT_DIR_LEN_NGRAM_' || dir || '_L' || l || '_' || d1 || '_L' || l1 AS name, 'packet_shape' AS family, pos FROM p1 WHERE d1 IS NOT NULL UNION ALL SELECT flow, 'PKT_DIR_LEN_NGRAM_' || dir || '_L' || l || '_' || d1 || '_L' || l1 || '_' || d2 || '_L' || l2, 'packet_shape', pos FROM p1 WHERE d2 IS NOT NULL
  UNION ALL SELECT flow, 'PKT_' || dir || '_SMALL_RUN_' || {bucket('n')}, 'packet_shape', pos FROM sm WHERE blocked = 0 UNION ALL SELECT flow, 'PARAM_' || dir || '_SMALL_RUN_LEN_' || {ge('n', 3, 5)}, 'parameterized', NULL FROM (SELECT flow, dir, max(n) AS n FROM sm GROUP BY flow, dir)
  UNION ALL SELECT flow, 'PKT_SAME_LEN_RUN_' || dir || '_' || {bucket('n')} || '_L' || l, 'packet_shape', pos FROM se UNION ALL SELECT flow, 'PKT_LEN_SPIKE', 'packet_shape', pos FROM p1 WHERE abs(l - lp) >= 4 UNION ALL SELECT flow, 'PKT_LEN_RAMP_UP', 'packet_shape', pos FROM p1 WHERE l < l1 AND l1 < l2
  UNION ALL SELECT flow, 'PKT_LEN_RAMP_DOWN', 'packet_shape', pos FROM p1 WHERE l > l1 AND l1 > l2 UNION ALL SELECT flow, 'IAT_BURSTY_THEN_IDLE', 'timing_rhythm', pos FROM p1 WHERE greatest(q, q1, q2) <= 2 AND q2 IS NOT NULL AND q3 >= 10
- {' '.join(f"UNION ALL SELECT flow, {name}, '{family}', NULL FROM x WHERE {when}" for name, family, when in WHOLE)}),
+ {' '.join(f"UNION ALL SELECT flow, {name}, '{family}', {'ft' if 'TWO_PHASE' in name else 'NULL'} FROM x WHERE {when}" for name, family, when in WHOLE)}),
 co AS (SELECT flow, family, 'PRIM_STRUCT_' || name AS name, count(*) AS c, min(pos)::BIGINT AS first_pos FROM fi GROUP BY ALL),
-aw AS (SELECT flow, 'position_aware' AS family, 'PRIM_STRUCT_POS_' || CASE WHEN first_pos / most < 1 / 3 THEN 'PREFIX' WHEN first_pos / most < 2 / 3 THEN 'MIDDLE' ELSE 'TAIL' END || '_' || CASE {' '.join(f"WHEN starts_with(name, 'PRIM_STRUCT_{a}') THEN '{b}'" for a, b in T.POSITION_NAMES)} END AS name, count(*) AS c, min(first_pos)::BIGINT AS first_pos FROM co JOIN x USING (flow) WHERE first_pos IS NOT NULL GROUP BY ALL),
+aw AS (SELECT flow, 'position_aware' AS family, 'PRIM_STRUCT_POS_' || CASE WHEN first_pos / most < 1 / 3 THEN 'PREFIX' WHEN first_pos / most < 2 / 3 THEN 'MIDDLE' ELSE 'TAIL' END || '_' || CASE {' '.join(f"WHEN starts_with(name, 'PRIM_STRUCT_{a}') THEN '{b}'" for a, b in T.POSITION_NAMES)} END AS name, count(*) AS c, min(first_pos)::BIGINT AS first_pos FROM co JOIN x USING (flow) WHERE first_pos IS NOT NULL AND family <> 'direction_transition' GROUP BY ALL),
 tr AS (SELECT flow, family, name, c AS "count", first_pos FROM (SELECT *, row_number() OVER (PARTITION BY flow, family ORDER BY c DESC, name) AS r FROM (SELECT * FROM co UNION ALL SELECT * FROM aw)) WHERE r <= 24)"""
+FIRED = f"{MADE_EVENTS}, {FIRING}"
 
 
 @query(f'WITH {FIRED} SELECT flow, family, name, "count", first_pos FROM tr')
@@ -205,6 +213,14 @@ def win17_structural_primitives(spark, sf):
     return T.triggers(*T.events(user_rows(spark, sf), GAP))
 
 
+@query(f'WITH {READ_EVENTS}, {FIRING} SELECT flow, family, name, "count", first_pos FROM tr')
+def win17_token_primitives(spark, sf):
+    """The primitives that a reader of whole token sequences finds, burst blocks, profile tokens and truncation included."""
+    r = user_rows(spark, sf)
+    made = P.flow_tokens(r, "full", 48, 256, GAP, CHUNK, blocks=(P.shape_block(r, GAP),))
+    return T.triggers(*[staged(e, "events") for e in T.token_events(made.select("flow", F.posexplode("tokens").alias("pos", "token")))])  # a dozen rules read each
+
+
 @query(f"WITH {FIRED}, {SPLITS} SELECT name, count(DISTINCT tr.flow) AS flows FROM tr JOIN sp ON tr.flow = sp.flow WHERE split = 'train' GROUP BY name HAVING count(DISTINCT tr.flow) >= 5")
 def agg19_structural_vocab(spark, sf):
     from flowharbor.operators.primitives import struct_vocab
