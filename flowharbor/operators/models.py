@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler, StringIndexer, VectorAssembler
@@ -134,35 +132,6 @@ def window_centroid_scores(windows: DataFrame, centroids: list[list[float]]) ->
     return windows.select("id", F.array_min(F.array(*[gap(c) for c in centroids])).alias("score"))
 
 
-def entropy_rule(windows: DataFrame, clusters: int, least_rows: int = 2, popular: float = 2.0, suspects: int = 2, seed: int = 42) -> DataFrame:
-    """CAL13: (id, port, cluster, score, prediction) of windows (id, port, v): each port's windows are clustered, and the cluster
-    of lowest mean in the last component (how widely a window's destinations spread) is suspected if it has `suspects` rows.
-    The score is the gap to the port's highest cluster. Ports of fewer than `clusters` windows, or of more than a share of
-    1 / popular of all, are left at 0. Spark groups by port; the popularity bound keeps any port's group a share of the table.
-    """
-    n = windows.count()
-    sized = windows.withColumn("rows", F.count("*").over(Window.partitionBy("port")))
-    usable = (F.col("rows") >= clusters) & (F.col("rows") <= max(1.0, n / max(popular, 1e-6)))
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["v"].tolist(), float)
-        centers = x[np.random.default_rng(seed).permutation(len(x))[:clusters]]
-        for _ in range(20):
-            own = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-            centers = np.array([x[own == c].mean(0) if (own == c).any() else centers[c] for c in range(len(centers))])
-        spread = {c: x[own == c, -1].mean() for c in set(own.tolist())}
-        lowest, top = min(spread, key=lambda c: (spread[c], c)), max(spread.values())
-        size = np.bincount(own, minlength=len(centers))
-        hit = (own == lowest) & (size[own] >= max(least_rows, suspects))
-        return pd.DataFrame({"id": pdf["id"], "port": pdf["port"], "cluster": own, "score": [top - spread[c] for c in own], "prediction": hit.astype(int)})
-
-    kinds = dict(windows.dtypes)
-    schema = f"id {kinds['id']}, port {kinds['port']}, cluster int, score double, prediction int"
-    judged = sized.where(usable).groupBy("port").applyInPandas(lambda pdf: judge(pdf.sort_values("id")), schema)
-    rest = sized.where(~usable).select("id", "port", F.lit(None).cast("int").alias("cluster"), F.lit(0.0).alias("score"), F.lit(0).alias("prediction"))
-    return judged.unionByName(rest)
-
-
 def diagnosis(alerts: DataFrame, memory: DataFrame, neighbours: DataFrame) -> DataFrame:
     """AGG43: of alerts' token weights (id, token, w), memory's (mid, token, w) and neighbour pairs (id, mid): by token
     family, the sum of |w - mean neighbour w|, and whether it is the alert's dominant one."""

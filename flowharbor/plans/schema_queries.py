@@ -10,6 +10,7 @@ from flowharbor.operators import models as M
 from flowharbor.operators import profiles as P
 from flowharbor.operators import replay as R
 from flowharbor.operators import schema as X
+from flowharbor.operators.port_clusters import entropy_rule
 
 from .binding import SCORES, read, scores
 from .metric_queries import rounded
@@ -224,7 +225,7 @@ def cal13_window_centroids(spark, sf):
 @query()
 def cal13_entropy_rule(spark, sf):
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 6).alias("port"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
-    return M.entropy_rule(e, 3).groupBy("port").agg(F.count("*").alias("rows"), F.sum("prediction").alias("suspected"))
+    return entropy_rule(e, 3).groupBy("port").agg(F.count("*").alias("rows"), F.sum("prediction").alias("suspected"))
 
 
 @query()
