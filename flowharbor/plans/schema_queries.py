@@ -210,6 +210,12 @@ def str10_replay_summary(spark, sf):
     return rounded(replay(spark, sf)[1].select("threshold", "flows", "alerts", "false_alerts", "true_alerts", "fpr", "recall", "first_alert", "max_fpr_1800", "max_fpr_7200"))
 
 
+@query(f"""WITH {REPLAY}, n AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i FROM f) SELECT min(i) FILTER (y = 1) AS attack_at, min(i) FILTER (y = 1 AND hit = 1) AS alert_at, min(i) FILTER (y = 1 AND hit = 1) - min(i) FILTER (y = 1) AS delay_flows,
+ min(ts) FILTER (y = 1 AND hit = 1) - min(ts) FILTER (y = 1) AS delay_s FROM n""")
+def str10_alert_delay(spark, sf):
+    return R.alert_delay(replay(spark, sf)[0])
+
+
 @query()
 def str09_memory_pollution(spark, sf):
     s = scores(spark, sf).where("split = 'test'").withColumn("value", F.col("score"))
