@@ -122,12 +122,21 @@ def max_sliding_fpr(replay: DataFrame, widths: list[float]) -> DataFrame:
 
 
 def detection_delay(scores: DataFrame, threshold: float, consecutive: int = 3) -> DataFrame:
-    """WIN09: by label, seconds and rows from its first row to the end of its first run of so many alerts in a row."""
-    w = Window.partitionBy("label").orderBy("ts", "flow_id")
-    rows = scores.withColumns({"i": F.row_number().over(w), "hit": (F.col("score") >= threshold).cast("int")})
-    run = rows.withColumn("sum", F.sum("hit").over(w.rowsBetween(-(consecutive - 1), 0)))
-    done = (F.col("sum") == consecutive) & (F.col("i") >= consecutive)
-    return run.groupBy("label").agg(F.count("*").alias("rows"), (F.min(F.when(done, F.col("ts"))) - F.min("ts")).alias("delay_s"), F.min(F.when(done, F.col("i"))).cast("bigint").alias("delay_rows"))
+    """WIN09: by label, seconds and rows from its first row to the end of its first run of so many alerts in a row.
+
+    Rows are numbered by running counts over range partitions. Alerts with equally many misses before them are one run, so
+    the first long run and its end are aggregations, and no label is sorted in one task.
+    """
+    hit = F.coalesce((F.col("score") >= threshold).cast("int"), F.lit(0))
+    rows = running(scores.select("label", "flow_id", "ts", hit.alias("hit")), ["label"], ["ts", "flow_id"], {"i": F.lit(1), "misses": 1 - F.col("hit")})
+    rows = staged(rows, "numbered")
+    runs = rows.where("hit = 1").groupBy("label", "misses").agg(F.count("*").alias("n"), F.min("i").alias("i")).where(F.col("n") >= consecutive)
+    ends = runs.groupBy(F.col("label").alias("of")).agg((F.min("i") + consecutive - 1).cast("bigint").alias("end"))
+    facts = rows.groupBy("label").agg(F.count("*").alias("rows"), F.min("ts").alias("first"))
+    known = facts.join(ends, F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
+    last = rows.select(F.col("label").alias("of"), "i", F.col("ts").alias("end_ts"))
+    out = known.join(last, F.col("label").eqNullSafe(F.col("of")) & (F.col("i") == F.col("end")), "left")
+    return out.select("label", "rows", (F.col("end_ts") - F.col("first")).alias("delay_s"), F.col("end").alias("delay_rows"))
 
 
 def first_events(replay: DataFrame) -> DataFrame:
