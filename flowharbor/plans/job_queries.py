@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowharbor.operators import flows as O
 from flowharbor.operators import jobs as J
+from flowharbor.operators import memory as K
 from flowharbor.operators import tokens as T
 
 from .binding import DOCS, PACKETS, flow_rows, packets, read, rows, token_rows
@@ -132,9 +133,6 @@ def aug05_insert_benign(spark, sf):
  SELECT id, mid, (SELECT count(*) FROM s WHERE flow_id = id AND token NOT IN (SELECT token FROM s z WHERE z.flow_id = mid))::INTEGER AS alert_only, (SELECT count(*) FROM s WHERE flow_id = mid AND token NOT IN (SELECT token FROM s z WHERE z.flow_id = id))::INTEGER AS neighbour_only,
  (SELECT count(*) FROM s WHERE flow_id = id AND token IN (SELECT token FROM s z WHERE z.flow_id = mid))::INTEGER AS shared FROM nb""")
 def joi18_motif_contrast(spark, sf):
-    from pyspark.sql import Window
-
     q, m = sparse(spark, sf)
-    dots = q.join(m.withColumnRenamed("w", "m"), "token").groupBy("id", "mid").agg(F.sum(F.col("w") * F.col("m")).alias("dot"))
-    near = dots.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("dot"), "mid"))).where("r <= 2").select("id", "mid")
+    near = K.nearest_sparse(q, m, 2).select("id", "mid")
     return J.motif_contrast(q.select("id"), near, token_rows(spark, sf))
