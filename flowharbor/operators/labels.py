@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import running
+from .staging import running, staged
 
 #: Rows of a schedule or an indicator list up to which it is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -16,6 +16,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def bucket_width(rows: DataFrame, lo: Column, hi: Column, least: float) -> float:
+    """The width of time buckets to which intervals are dealt: their mean length, `least` at least, so that on average
+    an interval, however many and long they are, goes to two buckets at most."""
+    return max(least, rows.agg(F.avg(hi - lo)).first()[0] or 0.0)
+
+
 def label_flows(flows: DataFrame, labels: DataFrame, tolerance: float, bucket: float) -> DataFrame:
     """JOI01/02: each flow's label row that is nearest in time, within the tolerance, on the same canonical key.
 
@@ -27,7 +33,9 @@ def label_flows(flows: DataFrame, labels: DataFrame, tolerance: float, bucket: f
     lo, hi = F.col("start_ts") - tolerance, F.col("end_ts") + tolerance
     if "timestamp_parse_status" in labels.columns:
         labels = labels.where("timestamp_parse_status IS NULL OR timestamp_parse_status <> 'invalid'")
-    timed = labels.where("start_ts IS NOT NULL").withColumn("b", F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))))
+    timed = labels.where("start_ts IS NOT NULL")
+    bucket = bucket_width(timed, lo, hi, bucket)
+    timed = timed.withColumn("b", F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))))
     keyed = flows.withColumn("b", F.floor(F.col("ts") / bucket))
     near = keyed.join(timed, ["key", "b"]).where((F.col("ts") >= lo) & (F.col("ts") <= hi)).drop("b")
     gap = F.greatest(F.col("start_ts") - F.col("ts"), F.col("ts") - F.col("end_ts"), F.lit(0.0))
@@ -41,6 +49,7 @@ def label_flows(flows: DataFrame, labels: DataFrame, tolerance: float, bucket: f
 def alignment_report(labelled: DataFrame) -> DataFrame:
     """AGG06: flows, matched, ambiguous, rates, mean distance and its nearest-rank 95th percentile."""
     hit = F.col("label").isNotNull()
+    labelled = staged(labelled.select("label", "delta", "n_candidates"), "labelled")  # read three times
     made = labelled.agg(F.count("*").alias("flows"), F.count_if(hit).alias("matched"), F.count_if(F.col("n_candidates") > 1).alias("ambiguous"), F.avg("delta").alias("mean_delta"))
     p95 = labelled.where(hit).groupBy("delta").agg(F.count("*").alias("c"))
     p95 = running(p95, [], ["delta"], {"upto": F.col("c")})
@@ -106,7 +115,9 @@ def match_interval(flows: DataFrame, labels: DataFrame, tolerance: float, bucket
     """JOI08: status of each flow against label intervals: matched (one family), ambiguous, unmatched_time, unmatched_key.
     Intervals are dealt to time buckets, so a hot key's flows meet only the labels of their time."""
     lo, hi = F.col("start_ts") - tolerance, F.col("end_ts") + tolerance
-    timed = labels.where("start_ts IS NOT NULL AND end_ts >= start_ts").select("key", "label", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))).alias("b"))
+    timed = labels.where("start_ts IS NOT NULL AND end_ts >= start_ts")
+    bucket = bucket_width(timed, lo, hi, bucket)
+    timed = timed.select("key", "label", lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.floor(lo / bucket), F.floor(hi / bucket))).alias("b"))
     hits = flows.select("flow_id", "key", "ts", F.floor(F.col("ts") / bucket).alias("b")).join(timed, ["key", "b"]).where("ts >= lo AND ts <= hi")
     found = hits.groupBy("flow_id").agg(F.count("*").alias("hits"), F.count_distinct("label").alias("families"), F.min("label").alias("family"))
     keys = labels.where("label IS NOT NULL").select("key").distinct().withColumn("keyed", F.lit(1))
