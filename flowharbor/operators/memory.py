@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -148,8 +150,8 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Rows of a block of queries and of a block of memory in knn_dense.
-QUERY_BLOCK, MEMORY_BLOCK = 2048, 8192
+#: Rows of a block of queries and of a block of memory in dense products.
+QUERY_BLOCK, MEMORY_BLOCK = 16384, 16384
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -158,32 +160,44 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def knn_dense(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
-    """JOI13 for dense vectors (id, v) and (mid, v) of one length: the stated query set against all memory rows but that of the
-    same id, by cosine. Both sides are dealt to blocks, whose number grows with the rows; a pair of blocks is one matrix
-    product that leaves each query's k best. A zero vector is at distance 1 of all. Returns (id, rank, mid, distance), distances to 9 places.
+def nearest_blocks(query: DataFrame, memory: DataFrame, k: int, prepare: Callable, distances: Callable) -> DataFrame:
+    """For each query (id, ...) the k nearest memory rows (mid, ...) but that of the same id, ties to the smaller id: (id, rank, mid, distance).
+
+    Both sides are dealt to blocks, whose number grows with the rows, and a pair of blocks is one task's group, which leaves each query's
+    k best. `prepare` makes what `distances` needs of the rows of one side; that gives the matrix of PRODUCT_ROWS queries at most
+    and a block of memory, infinite where a pair is none.
     """
-    qs, ms = (max(1, -(-df.count() // size)) for df, size in ((query, QUERY_BLOCK), (memory, MEMORY_BLOCK)))
+    qs, ms = (max(-(-n // block), min(8, -(-n // 2048)), 1) for n, block in ((query.count(), QUERY_BLOCK), (memory.count(), MEMORY_BLOCK)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = query.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("qb"), each(ms).alias("mb"))
-    m = memory.select("mid", "v", F.pmod(F.xxhash64("mid"), F.lit(ms)).cast("int").alias("mb"), each(qs).alias("qb"))
+    q = query.select("*", F.pmod(F.xxhash64("id"), F.lit(qs)).cast("int").alias("qb"), each(ms).alias("mb"))
+    m = memory.select("*", F.pmod(F.xxhash64("mid"), F.lit(ms)).cast("int").alias("mb"), each(qs).alias("qb"))
     ids, kinds = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": a["id"][:0], "mid": b["mid"][:0], "distance": np.zeros(0)})
-        away = np.round(1 - _unit(a["v"]) @ _unit(b["v"]).T, 9)
-        away[a["id"].to_numpy()[:, None] == b["mid"].to_numpy()[None, :]] = np.inf
-        last = np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, [min(k, away.shape[1]) - 1]]
-        i, j = np.nonzero((away <= last) & np.isfinite(away))
-        out = pd.DataFrame({"id": a["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "distance": away[i, j]}).sort_values(["id", "distance", "mid"])
-        return out[out.groupby("id").cumcount() < k]
+        out = [pd.DataFrame({"id": a["id"][:0], "mid": b["mid"][:0], "distance": np.zeros(0)})]
+        side = prepare(b) if len(b) else None
+        for low in range(0, len(a) if len(b) else 0, PRODUCT_ROWS):
+            part = a[low : low + PRODUCT_ROWS]
+            away = distances(prepare(part), side)
+            away[part["id"].to_numpy()[:, None] == b["mid"].to_numpy()[None, :]] = np.inf
+            last = np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, [min(k, away.shape[1]) - 1]]
+            i, j = np.nonzero((away <= last) & np.isfinite(away))
+            found = pd.DataFrame({"id": part["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "distance": away[i, j]}).sort_values(["id", "distance", "mid"])
+            out.append(found[found.groupby("id").cumcount() < k])
+        return pd.concat(out[1:] or out)
 
     found = q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb")).applyInPandas(nearest, f"id {ids}, mid {kinds}, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "mid"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "mid", "distance")
 
 
+def knn_dense(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """JOI13 for dense vectors (id, v) and (mid, v) of one length: the stated query set against all memory rows but that of the
+    same id, by cosine, as products of blocks. A zero vector is at distance 1 of all. Returns (id, rank, mid, distance), distances to 9 places.
+    """
+    return nearest_blocks(query.select("id", "v"), memory.select("mid", "v"), k, lambda rows: _unit(rows["v"]), lambda a, b: np.round(1 - a @ b.T, 9))
+
+
 def mean_distance(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """(id, score): mean cosine distance to the k nearest memory rows."""
     return knn_dense(query, memory, k).groupBy("id").agg(F.round(F.avg("distance"), 9).alias("score"))

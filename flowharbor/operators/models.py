@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler, StringIndexer, VectorAssembler
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions.scalars import hash_rank_key
 
+from .memory import nearest_blocks
 from .staging import first_rows, hash_number
 
 
@@ -30,11 +33,24 @@ def prototype_scores(train: DataFrame, rows: DataFrame, percentile: float = 0.99
 
 
 def knn_approx(query: DataFrame, memory: DataFrame, k: int, bucket: float, radius: float, tables: int = 6, seed: int = 42) -> DataFrame:
-    """JOI15: neighbours within `radius` among those that a random projection brings together, ranked by exact distance."""
+    """JOI15: neighbours within `radius` among those that a random projection brings together, ranked by exact distance, the query's own
+    row aside. A bucket that holds most rows makes no pairs in a shuffle: rows meet in blocks, where equal hashes allow a pair."""
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vectors(memory))
-    pairs = model.approxSimilarityJoin(vectors(query), vectors(memory), radius, "distance")
-    rows = pairs.select(F.col("datasetA.id").alias("id"), F.col("datasetB.mid").alias("mid"), "distance")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "mid"))).where(F.col("rank") <= k)
+    held = F.array(*[vector_to_array(F.col("hashes")[t])[0].cast("long") for t in range(tables)])
+    hashed = lambda df, key: model.transform(vectors(df)).select(key, "v", held.alias("h"))
+
+    def prepare(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.array(rows["v"].tolist(), float)
+        return x, (x * x).sum(1), np.array(rows["h"].tolist())
+
+    def distances(a: tuple, b: tuple) -> np.ndarray:
+        away = np.sqrt(np.round(np.maximum(a[1][:, None] + b[1][None, :] - 2 * (a[0] @ b[0].T), 0), 12))
+        met = np.zeros(away.shape, bool)
+        for t in range(tables):
+            met |= a[2][:, [t]] == b[2][None, :, t]
+        return np.where(met & (away < radius), away, np.inf)
+
+    return nearest_blocks(hashed(query, "id"), hashed(memory, "mid"), k, prepare, distances)
 
 
 def cluster_scores(train: DataFrame, rows: DataFrame, clusters: int, seed: int = 42) -> DataFrame:
