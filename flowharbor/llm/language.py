@@ -28,8 +28,7 @@ LEVEL = 3
 NARROW = 0.01
 #: Complete ties are broken by what the text adds behind the last so many bytes of each dictionary.
 LEADS = (40, 100, 300)
-#: Rows of a language whose margins are measured, and the share of the right ones that the least margin may reject.
-MEASURED_ROWS = 300
+#: The share of right predictions that the least margin may reject.
 REJECTED_SHARE = 0.002
 #: A least margin above this rejects ties of the two best at any rate.
 TIE = 1e-9
@@ -51,12 +50,14 @@ def normalised(text: str | None) -> str:
 
 def _learnt(docs: DataFrame, text_col: str, lang_col: str, learn: Column | None, reserved: bool) -> DataFrame:
     """(lang, h, n, t) of the rows to learn from, or of those reserved to measure on, which are told apart by the text alone, so
-    that no copy is on both sides: h is a hash, n the bytes. Of a text longer than a dictionary t is a stretch that its hash chooses."""
+    that no copy is on both sides: h is a hash, n the bytes. Of a text to learn from that is longer than a dictionary t is a stretch that its hash chooses."""
     n, h = F.octet_length(text_col), F.xxhash64(F.lit(0), F.col(text_col)).bitwiseAND(F.lit((1 << 63) - 1))
     mine = (F.pmod(F.xxhash64(F.lit(1), F.col(text_col)), F.lit(RESERVED)) == 0) == F.lit(reserved)
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & mine)
     rows = rows.where(learn) if learn is not None else rows
     rows = rows.select(F.col(lang_col).alias("lang"), h.alias("h"), n.cast("long").alias("n"), F.col(text_col).alias("t"))
+    if reserved:
+        return rows
     most = DICTIONARY_BYTES // 4
     first = F.pmod("h", F.greatest(F.char_length("t") - most, F.lit(0)) + 1) + 1
     stretch = F.when(F.col("n") > DICTIONARY_BYTES, F.substring("t", first.cast("int"), F.lit(most))).otherwise(F.col("t"))
@@ -92,11 +93,11 @@ def dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return {lang: x[-size:] for lang, x in raw.items() if len(x) >= 8}
 
 
-def least_margin(docs: DataFrame, books: dict[str, bytes], text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, rows: int = MEASURED_ROWS, share: float = REJECTED_SHARE) -> float:
-    """The margin under which a prediction is narrow: the `share` quantile of the margins of right predictions over at least
-    `rows` (all, if fewer) of each language's reserved learning texts, none of which is in a dictionary; TIE at least."""
-    some = _below(_learnt(docs, text_col, lang_col, learn, True), rows, F.lit(1)).withColumn("p", _prediction(books, "t"))
-    found = some.where(F.col("p.lang") == F.col("lang")).agg(F.percentile("p.margin", F.lit(share))).first()[0]
+def least_margin(docs: DataFrame, books: dict[str, bytes], text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, share: float = REJECTED_SHARE) -> float:
+    """The margin under which a prediction is narrow: the `share` quantile of the margins of right predictions over all reserved
+    learning texts, whole and copies once, none of which is in a dictionary; TIE at least. No text is shuffled, only margins."""
+    each = _learnt(docs, text_col, lang_col, learn, True).select("lang", "h", _prediction(books, "t").alias("p")).groupBy("lang", "h").agg(F.first("p").alias("p"))
+    found = each.where(F.col("p.lang") == F.col("lang")).agg(F.percentile("p.margin", F.lit(share))).first()[0]
     return max(TIE, found or 0.0)
 
 
