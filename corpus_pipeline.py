@@ -25,10 +25,10 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that near-duplicate links join: the smallest id, of equal ids the smallest hash.
-    Null and wordless texts are one group; an empty table gives no rows."""
+    """Keeps one document of each group that SimHash links (three-word shingles, 3 bits, as in op1) join: the smallest id, of
+    equal ids the smallest hash. Null and wordless texts are one group; an empty table gives no rows."""
     bounded_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_linked(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

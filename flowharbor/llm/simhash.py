@@ -26,7 +26,7 @@ SHINGLE = 3
 #: Buckets of more fingerprints than this are covered again.
 BUCKET = 64
 _CHUNK = 1 << 15
-#: The pipeline's near copies: five-word shingles, Jaccard similarity; 20 bands of 4 min-hashes miss 3 in 100,000 pairs at 0.8.
+#: What keep_one calls near copies: five-word shingles, Jaccard similarity; 20 bands of 4 min-hashes miss 3 in 100,000 pairs at 0.8.
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 20
@@ -274,7 +274,8 @@ def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", similarity: float = SIMILARITY, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one of smallest (id, text hash), null ids last; all columns stay.
+    """docs with one row of each group of similar texts: the one of smallest (id, text hash), null ids last; all columns stay.
+    By min-hashes, not SimHash: the pipeline uses `keep_linked`.
 
     Links join texts whose sets of `width`-word shingles have a Jaccard similarity of at least `similarity`; bands of
     min-hashes propose the pairs, and their shingles are counted in full. Wordless and null texts are one group. Of rows
@@ -287,6 +288,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", si
     discard(slim)
     roots = components(similar_links(sets, texts.select("h", "text"), similarity, width, bucket)).withColumnsRenamed({"node": "sid", "root": "r"})
     least = sets.join(roots, "sid", "left").groupBy(F.coalesce("r", "sid").alias("r")).agg(F.min("first").alias("first"))
+    return _only(docs, least, text_col, id_col)
+
+
+def _only(docs: DataFrame, least: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """The rows of docs that `first` (doc_id, h) in least names, one of each."""
     key = ["__near_dup_id", "__near_dup_none", "__near_dup_text"]
 
     def keyed(i: str, h) -> list:
@@ -296,3 +302,20 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", si
     order = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(order))
     return rows.withColumn("__near_dup_nth", nth).where("__near_dup_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each component that SimHash links (fingerprints within `radius` bits) join: the one of smallest
+    (id, text hash), null ids last; all columns stay.
+
+    Null and wordless texts have fingerprint 0, like `near_duplicates`. Of rows with equal id and text the one whose columns
+    hash lowest stays. An empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    slim = staged(with_fingerprint(texts).select("doc_id", "h", "fp"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    prints = staged(slim.groupBy("fp").agg(first.alias("first")), "prints")
+    discard(slim)
+    roots = components(links(prints, radius, bucket)).withColumnsRenamed({"node": "fp", "root": "r"})
+    least = prints.join(roots, "fp", "left").groupBy(F.coalesce("r", "fp").alias("r")).agg(F.min("first").alias("first"))
+    return _only(docs, least, text_col, id_col)
