@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,8 +62,13 @@ def token_stats(tokens: DataFrame, most: int) -> DataFrame:
 
 def motif_support(tokens: DataFrame) -> DataFrame:
     """AGG12 and AGG14: by token, share of train flows that have it, occurrences, and log1p(occurrences) over the largest."""
-    train = token_counts(tokens).where("split = 'train'")
-    total = train.agg(F.count_distinct("flow_id").alias("N"))
+    return counted_support(staged(token_counts(tokens), "token-counts"))
+
+
+def counted_support(counts: DataFrame) -> DataFrame:
+    """`motif_support` of token_counts, which three steps read."""
+    train = counts.where("split = 'train'")
+    total = train.select("flow_id").distinct().agg(F.count("*").alias("N"))
     by = train.groupBy("token").agg(F.count("*").alias("flows"), F.sum("n").alias("occurrences"))
     top = by.agg(F.max("occurrences").alias("top"))
     at = by.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(top))
@@ -69,12 +78,15 @@ def motif_support(tokens: DataFrame) -> DataFrame:
 def motif_stability(tokens: DataFrame, samples: int = 20, seed: int = 43) -> DataFrame:
     """AGG13: 1 - min(1, sd / mean) of support over Poisson(1) bootstrap samples, weights from a hash of (seed, sample, flow)."""
     flows = tokens.where("split = 'train'").select("flow_id", "token").distinct()
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col("flow_id")), F.lit(1 << 30)) / float(1 << 30)
-    poisson = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    draws = flows.select("flow_id").distinct().withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("k", poisson)
-    size = draws.groupBy("b").agg(F.sum("k").alias("size"))
-    has = flows.join(draws, "flow_id").groupBy("token", "b").agg(F.sum("k").alias("k")).join(F.broadcast(size), "b")
-    by = has.groupBy("token").agg(F.sum(F.col("k") / F.col("size")).alias("s"), F.sum(F.pow(F.col("k") / F.col("size"), F.lit(2))).alias("q"))
+    # a flow's draws follow from its id, so each token sums them as columns: no join, no copy of a row for each sample
+    names = [f"k{b}" for b in range(1, samples + 1)]
+    u = lambda b: F.pmod(F.xxhash64(F.lit(seed), F.lit(b), F.col("flow_id")), F.lit(1 << 30)) / float(1 << 30)
+    poisson = lambda u: F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
+    draws = [poisson(u(b)).alias(n) for b, n in enumerate(names, 1)]
+    size = tokens.where("split = 'train'").select("flow_id").distinct().select(*draws).agg(*[F.sum(n).alias(f"of_{n}") for n in names])
+    has = flows.select("token", *draws).groupBy("token").agg(*[F.sum(n).alias(n) for n in names]).crossJoin(F.broadcast(size))
+    share = [F.col(n) / F.col(f"of_{n}") for n in names]
+    by = has.select("token", sum(share).alias("s"), sum(x * x for x in share).alias("q"))
     mean = F.col("s") / samples
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("q") / samples - mean * mean))
     return by.select("token", (1 - F.least(F.lit(1.0), sd / (mean + 1e-9))).alias("stability"))
@@ -134,11 +146,15 @@ def select_motifs(stats: DataFrame, tokens: DataFrame, size: int, least: float,
     utility after redundancy_cost times the largest overlap must be above 0. family_caps: the share of `size` that motifs of a
     family (profile, data_mined; structural for all others) may take.
 
-    Candidates come `pool` at a time, best first, until the dictionary is full or none is left. The overlaps of a pool with itself and
-    with the chosen come from one self-join on the train flows of these tokens; the driver's loop sees pool rows and pairs that overlap.
+    Candidates come `pool` at a time, best first, until the dictionary is full or none is left; they and the train flows that have them
+    are staged once. The overlaps of a pool with itself and with the chosen come from matrix products over blocks of flows; the
+    driver's loop sees pool rows and pairs that overlap.
     """
-    spark, flows = tokens.sparkSession, tokens.where("split = 'train'").select("flow_id", "token").distinct()
-    left = stats.where((F.col("support") >= least) & (F.col("support") <= most)).select("token", "utility")
+    spark = tokens.sparkSession
+    left = staged(stats.where((F.col("support") >= least) & (F.col("support") <= most)).select("token", "utility"), "candidates")
+    flows = None
+    if redundancy < 1 or redundancy_cost:
+        flows = staged(tokens.where("split = 'train'").select("flow_id", "token").join(left, "token", "left_semi").distinct(), "candidate-flows")
     chosen: list[tuple] = []
     held: dict[str, int] = {}
     last = None
@@ -148,7 +164,7 @@ def select_motifs(stats: DataFrame, tokens: DataFrame, size: int, least: float,
         if not names:
             break
         last = names[-1]
-        overlap = _overlaps(flows, spark.createDataFrame([(t, i < len(names)) for i, (t, *_) in enumerate([*names, *((c[1],) for c in chosen)])], "token string, fresh boolean")) if redundancy < 1 or redundancy_cost else {}
+        overlap = _overlaps(flows, spark.createDataFrame([(t, i < len(names)) for i, (t, *_) in enumerate([*names, *((c[1],) for c in chosen)])], "token string, fresh boolean")) if flows is not None else {}
         for token, utility in names:
             family = "profile" if token.startswith("PRIM_PROFILE_") else "data_mined" if token.startswith("DM_") else "structural"
             if len(chosen) >= size or family in (family_caps or {}) and held.get(family, 0) >= int(size * family_caps[family]):
@@ -162,12 +178,27 @@ def select_motifs(stats: DataFrame, tokens: DataFrame, size: int, least: float,
 
 
 def _overlaps(flows: DataFrame, named: DataFrame) -> dict[tuple[str, str], float]:
-    """Jaccard overlap of each pair of named tokens (token, fresh), at least one fresh, that share a flow."""
-    has = flows.join(F.broadcast(named), "token")
-    sizes = has.groupBy("token").agg(F.count("*").alias("k"))
-    both = has.alias("a").join(has.alias("b"), F.expr("a.flow_id = b.flow_id AND a.token < b.token AND (a.fresh OR b.fresh)")).groupBy(F.col("a.token").alias("x"), F.col("b.token").alias("y")).agg(F.count("*").alias("c"))
-    pairs = both.join(F.broadcast(sizes.withColumnsRenamed({"token": "x", "k": "kx"})), "x").join(F.broadcast(sizes.withColumnsRenamed({"token": "y", "k": "ky"})), "y")
-    return {(r.x, r.y): r.j for r in pairs.select("x", "y", (F.col("c") / (F.col("kx") + F.col("ky") - F.col("c"))).alias("j")).collect()}
+    """Jaccard overlap of each pair of named tokens (token, fresh), at least one fresh, that share a flow. Blocks of flows hold their
+    tokens as rows of zeros and ones, whose product with itself counts all pairs at once: no pair of a flow becomes a row."""
+    rows = named.collect()
+    ids = named.sparkSession.createDataFrame([(r.token, i) for i, r in enumerate(rows)], "token string, i int")
+    sets = flows.join(F.broadcast(ids), "token").groupBy("flow_id").agg(F.collect_list("i").alias("held"))
+    size = len(rows)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size), np.int64)
+        for pdf in batches:
+            for low in range(0, len(pdf), 4096):
+                held = pdf["held"].iloc[low : low + 4096]
+                block = np.zeros((len(held), size), np.float32)
+                block[np.repeat(np.arange(len(held)), held.map(len)), np.concatenate(held.to_list())] = 1
+                total += (block.T @ block).astype(np.int64)  # at most 4,096 a product, exact in single precision
+        x, y = np.nonzero(np.triu(total))
+        yield pd.DataFrame({"x": x, "y": y, "c": total[x, y]})
+
+    both = {(r.x, r.y): r.c for r in sets.select("held").mapInPandas(products, "x int, y int, c long").groupBy("x", "y").agg(F.sum("c").alias("c")).collect()}
+    fresh = {pair: c for pair, c in both.items() if pair[0] != pair[1] and (rows[pair[0]].fresh or rows[pair[1]].fresh)}
+    return {(rows[x].token, rows[y].token): c / (both[x, x] + both[y, y] - c) for (x, y), c in fresh.items()}
 
 
 def motif_report(stats: DataFrame, chosen: DataFrame, least: float, most: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
 from flowharbor.operators import tokens as T
+from flowharbor.operators.staging import staged
 
 from .binding import DOCS, flow_rows, read, token_rows
 from .metric_queries import rounded
@@ -73,9 +74,9 @@ def agg20_token_lift(spark, sf):
 
 @query()
 def agg16_select_motifs(spark, sf):
-    t = token_rows(spark, sf)
-    s = T.motif_support(t).where(F.col("support") >= 0.01).join(T.motif_stability(t), "token")
-    return T.select_motifs(T.motif_utility(s.withColumn("sensitivity", F.lit(0.0))), t, 40, 0.05, 0.9, 0.5, 200)
+    c = staged(T.token_counts(token_rows(spark, sf)), "token-counts")
+    s = staged(T.counted_support(c).where(F.col("support") >= 0.01).join(T.motif_stability(c), "token"), "motif-stats")
+    return T.select_motifs(T.motif_utility(s.withColumn("sensitivity", F.lit(0.0))), c, 40, 0.05, 0.9, 0.5, 200)
 
 
 @query(f"""WITH {DOCS}, a AS (SELECT 0 AS source, flow_id, pos, token FROM tok WHERE split = 'test' UNION ALL SELECT 1, flow_id, pos, token FROM tok WHERE split = 'train'), f AS (SELECT token, min((source, flow_id, pos)) AS at_, count(*) AS n FROM a GROUP BY token)
