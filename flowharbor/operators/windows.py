@@ -18,15 +18,17 @@ def service_context(flows: DataFrame, window: float = 2.0, short: int = 6) -> Da
     """WIN01: of flows (flow_id, service, ts, packets, bytes) what the service did in the `window` seconds before: flows,
     short ones, packets, bytes, gap to the last. Rows of one time see those of smaller flow_id only.
 
-    A range window gives all rows up to and with this time; what is not before this row among equal times is taken off. Rows are dealt
-    to buckets of `window` seconds that also hold the one before, so a hot service spreads over its buckets.
+    What came in the window is what came before less what came before the window: two running sums, each in one pass, where a sliding
+    window adds up its rows anew for each of them. Rows are dealt to buckets of `window` seconds that also hold the one before, so a
+    hot service spreads over its buckets. A row without a time has nothing before it.
     """
     key = ["service", "_bucket"]
-    span = Window.partitionBy(*key).orderBy("_us").rangeBetween(-round(window * 1e6), 0)
-    later = Window.partitionBy(*key, "ts").orderBy("flow_id").rowsBetween(0, Window.unboundedFollowing)
-    order = Window.partitionBy(*key).orderBy("ts", "flow_id")
+    order = Window.partitionBy(*key).orderBy("_us", "flow_id")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    gone = Window.partitionBy(*key).orderBy("_us").rangeBetween(Window.unboundedPreceding, -round(window * 1e6) - 1)
     tiny = (F.col("packets") < short).cast("int")
-    less = lambda what: (F.sum(what).over(span) - F.sum(what).over(later)).cast("bigint")
+    over = lambda what, span: F.coalesce(F.sum(what).over(span), F.lit(0))
+    less = lambda what: F.when(F.col("_us").isNull(), 0).otherwise(over(what, earlier) - over(what, gone)).cast("bigint")
     last = F.col("ts") - F.lag("ts").over(order)
     slim = flows.select("flow_id", "service", "ts", "packets", "bytes") if "bytes" in flows.columns else flows
     out = haloed(slim, F.col("ts"), window).select("flow_id", "service", "ts", "_halo", less(F.lit(1)).alias("recent_count"), less(tiny).alias("recent_short"), less(F.col("packets")).alias("recent_packets"), less(F.col("bytes")).alias("recent_bytes"), F.when(last <= window, last).alias("last_gap"))
