@@ -19,7 +19,7 @@ SUPPORT = f"{COUNTS}, sup AS (SELECT token, count(*) AS flows, sum(n)::BIGINT AS
 @query(f"""WITH {COUNTS}, idf AS (SELECT token, ln((1 + any_value(n_)) / (1 + count(*))) + 1 AS idf FROM cnt, nt WHERE split = 'train' GROUP BY token), r AS (SELECT flow_id, token, n * idf AS w FROM cnt JOIN idf USING (token))
  SELECT flow_id, token, round(w / sqrt(sum(w * w) OVER (PARTITION BY flow_id)), 6) AS w FROM r""")
 def agg08_token_weights(spark, sf):
-    return rounded(T.token_weights(token_rows(spark, sf)).select("flow_id", "token", "w"))
+    return rounded(T.token_weights(token_rows(spark, sf, True)).select("flow_id", "token", "w"))
 
 
 @query(f"""WITH {DOCS}, f AS (SELECT token, min((flow_id, pos)) AS at_ FROM tok WHERE split = 'train' GROUP BY token) SELECT token, row_number() OVER (ORDER BY at_) + 3 AS id FROM f
