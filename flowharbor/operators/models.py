@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from flowharbor.functions.scalars import hash_rank_key
 
 from .memory import nearest_blocks
-from .staging import first_rows, hash_number
+from .staging import first_rows, hash_number, percentiles
 
 
 def vectors(df: DataFrame, column: str = "v") -> DataFrame:
@@ -107,13 +107,18 @@ def domain_gap(rows: DataFrame, domain: str, most: int = 400, seed: int = 42) ->
     return apart.join(mmd, ["one", "other"])
 
 
-def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, seed: int = 42) -> DataFrame:
+def memory_cuts(candidates: DataFrame) -> tuple[int, float, float]:
+    """CAL08: how many candidates there are, their scores' median and 95th percentile, which several policies share."""
+    return candidates.count(), *percentiles(candidates, F.col("score"), [0.5, 0.95])
+
+
+def govern_memory(memory: DataFrame, candidates: DataFrame, policy: str, seed: int = 42, cuts: tuple[int, float, float] | None = None) -> DataFrame:
     """CAL08: the memory (mid, score) after an update by policy; candidates' scores are their distances to the memory.
 
     core75: none; all: every candidate; random: half of them by hash order; low_score: up to their median; tail_aware:
     these and, of those from the 95th percentile on, a twentieth of all by id; quarantine: up to the 95th percentile, the rest waits.
     """
-    n, low, gate = candidates.agg(F.count("*"), F.percentile("score", F.lit(0.5)), F.percentile("score", F.lit(0.95))).first()
+    n, low, gate = cuts or memory_cuts(candidates)
     if policy == "random":
         key = hash_rank_key(F.col("mid"), seed, "update")
         more = first_rows(candidates, hash_number(key), [key, "mid"], max(1, n // 2))
