@@ -223,8 +223,9 @@ def memory_pollution(scored: DataFrame, threshold: float, fraction: float, seed:
     want = round(scored.where("y = 1").count() * fraction)
     key = hash_rank_key(F.col("flow_id"), seed, "poison")
     drawn = first_rows(scored.where("y = 1"), hash_number(key), [key, "flow_id"], want).select("flow_id", F.lit(True).alias("poison"))
-    rows = scored.join(drawn, "flow_id", "left")
-    out = dynamic_memory(rows, threshold, poison="poison", **memory).join(rows.select("flow_id", "y", F.coalesce("poison", F.lit(False)).alias("poison")), "flow_id")
+    rows = scored.join(drawn, "flow_id", "left").select("flow_id", "service", "ts", "value", "score", "y", F.coalesce("poison", F.lit(False)).alias("poison"))
+    rows = staged(rows, "poisoned")  # the fold and the rates read them
+    out = dynamic_memory(rows, threshold, poison="poison", **memory).join(rows.select("flow_id", "y", "poison"), "flow_id")
     hit, bad = F.col("memory_score") >= threshold, F.col("y") == 1
     facts = out.agg(F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & ~bad).alias("tn"), F.count_if(hit & bad).alias("tp"), F.count_if(~hit & bad).alias("fn"), F.count_if(F.col("poison")).alias("poisoned_updates"), F.count_if((F.col("admitted") == 1) & ~F.col("poison")).alias("clean_updates"))
     return facts.withColumns({"fpr": M.ratio(F.col("fp"), F.col("fp") + F.col("tn")), "recall": M.ratio(F.col("tp"), F.col("tp") + F.col("fn"))})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowharbor.functions import scalars as S
+from flowharbor.operators.staging import discard, staged
 
 from .states import MemoryRule
 
@@ -69,23 +70,86 @@ def sketch_stream(rows: DataFrame, most: int = 12, timeout_ms: int = 60_000) ->
     return rows.withWatermark("event_time", "1 minute").groupBy("flow").applyInPandasWithState(step, _SKETCH, "n long, size long, first array<int>, last array<int>", "append", "EventTimeTimeout")
 
 
+#: Rows of services that one task of the memory fold sorts, about, and range partitions of so many rows in the table that it is cut from.
+SLICE, PARTS = 4_000_000, 4
+
+
+def service_slices(rows: DataFrame, order: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """rows of services, staged in range partitions of (service, *order), and its slices: read one after the other they give each service's
+    rows in `order`, and of each slice one task of a shuffle by service gets SLICE rows about, whatever the size of a service."""
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_b", F.pmod(F.hash("service"), F.lit(tasks)))
+    sizes = [r["count"] for r in dealt.groupBy("_b").count().collect()]
+    if max(sizes, default=0) <= SLICE:
+        return rows, [rows]
+    parts = staged(dealt.repartitionByRange(max(tasks, -(-sum(sizes) * PARTS // SLICE)), "_b", "service", *order).withColumn("_part", F.spark_partition_id()), "service-rows")
+    places, so_far = [], {}
+    for b, part, n in sorted(parts.groupBy("_b", "_part").count().collect()):
+        number, held = so_far.get(b, (0, 0))
+        number, held = (number + 1, n) if held and held + n > SLICE else (number, held + n)
+        so_far[b] = number, held
+        places.append((b, part, number))
+    at = F.broadcast(spark.createDataFrame(places, "_b int, _part int, _slice int"))
+    slices = []
+    for k in range(max(number for *_, number in places) + 1):
+        some = parts.where(F.col("_part").isin(*{part for _, part, number in places if number == k}))
+        slices.append(some.join(at.where(F.col("_slice") == k), ["_b", "_part"], "left_semi").select(*rows.columns))
+    return parts, slices
+
+
 def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least: float = 0.7, alpha: float = 0.95, top: int = 5, poison: str | None = None) -> DataFrame:
     """STR08: per service an ordered fold: a flow's score is the mean distance of its value to the `top` nearest remembered ones (the
     model's score while the memory is short); flows under the threshold are remembered if the service's reputation, decayed by alpha at every
     alert and recovering otherwise, is at least `least`. Rows whose column `poison` is true are remembered whatever they score. Sequential inside a service by nature; a service streams through
-    one task in time order without being gathered."""
-    schema = "flow_id long, service string, memory_score double, admitted int, reputation double"
-    rule = MemoryRule(threshold, size, least, alpha, top)
+    one task in time order without being gathered. Where that is more than SLICE rows, one slice of time after the other is sorted and folded, and a
+    service's memory and reputation go from slice to slice."""
+    schema = "flow_id long, service string, memory_score double, admitted int, reputation double, memory array<double>"
+    names = ["flow_id", "service", "memory_score", "admitted", "reputation"]
+    rule, order = MemoryRule(threshold, size, least, alpha, top), ["ts", "flow_id", "value", "score", "forced"]
+    forced = F.coalesce(F.col(poison), F.lit(False)) if poison else F.lit(False)
+    rows = scored.select("flow_id", "service", "ts", F.col("value").cast("double").alias("value"), F.col("score").cast("double").alias("score"), forced.alias("forced"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service, memory, trust = object(), [], 1.0
+        service, memory, trust, met, ends = None, [], 1.0, False, []
         for pdf in batches:
             out = []
-            for flow, s, value, score, forced in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"], pdf["forced"]):
+            for flow, s, value, score, forced, held, known in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"], pdf["forced"], pdf["memory"], pdf["reputation"]):
                 if s != service:
-                    service, memory, trust = s, [], 1.0
+                    if met:
+                        ends.append((service, trust, memory))
+                    service, memory, trust, met = s, [], 1.0, False
+                if held is not None:
+                    memory, trust = held.tolist(), known
+                    continue
                 got, admit, memory, trust = rule.step(memory, trust, value, score, forced)
-                out.append((flow, s, float(got), int(admit), trust))
-            yield pd.DataFrame(out, columns=["flow_id", "service", "memory_score", "admitted", "reputation"])
-
-    return scored.repartition("service").sortWithinPartitions("service", "ts", "flow_id").select("flow_id", "service", "value", "score", (F.coalesce(F.col(poison), F.lit(False)) if poison else F.lit(False)).alias("forced")).mapInPandas(run, schema)
+                met = True
+                out.append((flow, s, float(got), int(admit), trust, None))
+            yield pd.DataFrame(out, columns=[*names, "memory"])
+            if ends:
+                yield kept(ends)
+                ends = []
+        if met:
+            yield kept([(service, trust, memory)])
+
+    def kept(ends: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(s, trust, [float(m) for m in memory]) for s, trust, memory in ends], columns=["service", "reputation", "memory"]).assign(flow_id=None, memory_score=None, admitted=None)[[*names, "memory"]]
+
+    tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source, slices = service_slices(rows, order)
+    if len(slices) == 1:
+        slices, deal = [rows], lambda df: df.repartition("service")
+    else:
+        deal = lambda df: df.repartition(tasks, "service")
+    out, before = None, None
+    for part in slices:
+        part = part.withColumns({"memory": F.lit(None).cast("array<double>"), "reputation": F.lit(None).cast("double")})
+        if before is not None:
+            part = part.unionByName(before.where("memory IS NOT NULL").select("service", "memory", "reputation"), allowMissingColumns=True)
+        part = deal(part).sortWithinPartitions("service", F.col("memory").isNull(), *order).select("flow_id", "service", "value", "score", "forced", "memory", "reputation")
+        before = part.mapInPandas(run, schema)
+        before = staged(before, "memory-slice") if len(slices) > 1 else before
+        one = before.where("memory IS NULL").select(*names)
+        out = one if out is None else out.unionByName(one)
+    discard(source)
+    return out
