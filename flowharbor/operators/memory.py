@@ -150,8 +150,8 @@ def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Rows of a block of queries and of a block of memory in dense products.
-QUERY_BLOCK, MEMORY_BLOCK = 16384, 16384
+#: Rows of a block of queries and of a block of memory in dense products, and pairs of one product.
+QUERY_BLOCK, MEMORY_BLOCK, PAIRS = 16384, 16384, 1 << 20
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -160,12 +160,28 @@ def _unit(column: pd.Series) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of unit rows to 9 places, in one matrix."""
+    out = a @ b.T
+    return np.round(np.subtract(1, out, out=out), 9, out=out)
+
+
+def _smallest(away: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k smallest finite values of each row, ties to the earlier column: no more of them than k a row, whatever ties."""
+    last = min(k, away.shape[1]) - 1
+    bound = np.partition(away, last, axis=1)[:, [last]]
+    bound[np.isnan(bound)] = np.inf
+    keep, tie = away < bound, (away == bound) & np.isfinite(bound)
+    keep |= tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - keep.sum(1, keepdims=True))
+    return np.nonzero(keep)
+
+
 def nearest_blocks(query: DataFrame, memory: DataFrame, k: int, prepare: Callable, distances: Callable) -> DataFrame:
     """For each query (id, ...) the k nearest memory rows (mid, ...) but that of the same id, ties to the smaller id: (id, rank, mid, distance).
 
     Both sides are dealt to blocks, whose number grows with the rows, and a pair of blocks is one task's group, which leaves each query's
-    k best. `prepare` makes what `distances` needs of the rows of one side; that gives the matrix of PRODUCT_ROWS queries at most
-    and a block of memory, infinite where a pair is none.
+    k best. `prepare` makes what `distances` needs of the rows of one side; that gives the matrix of some queries, PAIRS pairs at most,
+    and a block of memory, infinite where a pair is none. Only k pairs a query leave the matrix, however many tie.
     """
     qs, ms = (max(-(-n // block), min(8, -(-n // 2048)), 1) for n, block in ((query.count(), QUERY_BLOCK), (memory.count(), MEMORY_BLOCK)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -174,16 +190,15 @@ def nearest_blocks(query: DataFrame, memory: DataFrame, k: int, prepare: Callabl
     ids, kinds = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("mid", kind="stable")
         out = [pd.DataFrame({"id": a["id"][:0], "mid": b["mid"][:0], "distance": np.zeros(0)})]
-        side = prepare(b) if len(b) else None
-        for low in range(0, len(a) if len(b) else 0, PRODUCT_ROWS):
-            part = a[low : low + PRODUCT_ROWS]
+        side, step = prepare(b) if len(b) else None, max(1, PAIRS // max(1, len(b)))
+        for low in range(0, len(a) if len(b) else 0, step):
+            part = a[low : low + step]
             away = distances(prepare(part), side)
             away[part["id"].to_numpy()[:, None] == b["mid"].to_numpy()[None, :]] = np.inf
-            last = np.partition(away, min(k, away.shape[1]) - 1, axis=1)[:, [min(k, away.shape[1]) - 1]]
-            i, j = np.nonzero((away <= last) & np.isfinite(away))
-            found = pd.DataFrame({"id": part["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "distance": away[i, j]}).sort_values(["id", "distance", "mid"])
-            out.append(found[found.groupby("id").cumcount() < k])
+            i, j = _smallest(away, k)
+            out.append(pd.DataFrame({"id": part["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "distance": away[i, j]}))
         return pd.concat(out[1:] or out)
 
     found = q.groupBy("qb", "mb").cogroup(m.groupBy("qb", "mb")).applyInPandas(nearest, f"id {ids}, mid {kinds}, distance double")
@@ -195,7 +210,7 @@ def knn_dense(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
     """JOI13 for dense vectors (id, v) and (mid, v) of one length: the stated query set against all memory rows but that of the
     same id, by cosine, as products of blocks. A zero vector is at distance 1 of all. Returns (id, rank, mid, distance), distances to 9 places.
     """
-    return nearest_blocks(query.select("id", "v"), memory.select("mid", "v"), k, lambda rows: _unit(rows["v"]), lambda a, b: np.round(1 - a @ b.T, 9))
+    return nearest_blocks(query.select("id", "v"), memory.select("mid", "v"), k, lambda rows: _unit(rows["v"]), _apart)
 
 
 def mean_distance(query: DataFrame, memory: DataFrame, k: int) -> DataFrame:
