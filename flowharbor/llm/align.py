@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,6 +38,8 @@ FREQUENT = 100_000
 CUT = re.compile(r"(?<=[!-~\u00c0-\u024f])(?= [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])")
 #: Distinct pairs that a task counts before it hands them on.
 PARTIAL = 500_000
+#: Stretches that a task remembers with both tokenizers' ids, and the longest of them in bytes: most words recur from batch to batch.
+KEPT, SHORT = 100_000, 48
 
 
 def _byte_of() -> dict[str, int]:
@@ -73,16 +76,39 @@ def piece_tokenizer(path: str = PIECE_BPE):
     return model, pa.array(pieces, pa.binary())
 
 
-def _encoded(texts: list[str], a_model, b_model) -> list[pa.ListArray]:
+class Seen:
+    """Both tokenizers' ids of stretches that a task has encoded before: the first KEPT short ones."""
+
+    def __init__(self) -> None:
+        self.stretches, self.ids = pa.array([], pa.string()), [pa.array([], pa.list_(pa.int32()))] * 2
+
+    def encoded(self, distinct: pa.Array, a_model, b_model) -> tuple[pa.Array, list[pa.Array]]:
+        """Of distinct stretches, each behind a space: the places of their ids in two arrays of lists. Only stretches not seen before are encoded."""
+        at = pc.index_in(distinct, self.stretches)
+        new = distinct.filter(at.is_null())
+        texts = new.to_pylist()
+        own = [e.ids for e in a_model.encode_batch_fast(texts, add_special_tokens=False)], b_model.encode([d[1:] for d in texts], num_threads=1)
+        made = [pa.array(ids, pa.list_(pa.int32())) for ids in own]
+        place = at.fill_null(0).to_numpy().copy()
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.stretches) + np.arange(len(new))
+        ids = [pa.concat_arrays(x) for x in zip(self.ids, made, strict=True)]
+        keep = pc.indices_nonzero(pc.less_equal(pc.binary_length(new), SHORT))[: KEPT - len(self.stretches)]
+        if len(keep):
+            self.stretches = pa.concat_arrays([self.stretches, new.take(keep)])
+            self.ids = [pa.concat_arrays([a, b.take(keep)]) for a, b in zip(self.ids, made, strict=True)]
+        return pa.array(place), ids
+
+
+def _encoded(texts: list[str], a_model, b_model, seen: Seen) -> list[pa.ListArray]:
     """Both tokenizers' ids of texts, each encoding the distinct stretches between cuts; B adds the space that A's begin with."""
     stretches = [CUT.split(" " + t) for t in texts]
     first = np.concatenate([[0], np.cumsum([len(s) for s in stretches])]).astype(np.int64)
-    coded = pa.array([x for s in stretches for x in s], pa.string()).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    own = [e.ids for e in a_model.encode_batch_fast(distinct, add_special_tokens=False)], b_model.encode([d[1:] for d in distinct], num_threads=1)
+    coded = pa.array(chain.from_iterable(stretches), pa.string(), size=int(first[-1])).dictionary_encode()
+    place, own = seen.encoded(coded.dictionary, a_model, b_model)
+    place = place.take(coded.indices)
     out = []
     for ids in own:
-        lists = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
+        lists = ids.take(place)
         upto = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])[first]
         out.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pc.list_flatten(lists)))
     return out
@@ -108,15 +134,15 @@ def _joined(values: pa.Array, after: np.ndarray, by: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), values), by)
 
 
-def linked(texts: pa.Array, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) -> tuple[pa.Array, pa.Table, pa.Array]:
+def linked(texts: pa.Array, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, seen: Seen | None = None) -> tuple[pa.Array, pa.Table, pa.Array]:
     """What a batch of texts holds: the positions of texts with tokens; their links in order, as doc (place among these), a,
-    b and meets (a group ends with this link); and each one's groups as text."""
+    b and meets (a group ends with this link); and each one's groups as text. `seen` remembers stretches for the next batch."""
     (a_model, a_entries), (b_model, b_entries) = byte_tokenizer(a_path), piece_tokenizer(b_path)
     filled = pc.fill_null(texts, "")
     at = pc.indices_nonzero(pc.greater(pc.binary_length(filled), 0))
     some = filled.take(at)
     spaced = pc.binary_join_element_wise("", some, " ")
-    ids_a, ids_b = _encoded(some.to_pylist(), a_model, b_model)
+    ids_a, ids_b = _encoded(some.to_pylist(), a_model, b_model, seen or Seen())
     whole = pc.and_(_covers(ids_a, a_entries, spaced), _covers(ids_b, b_entries, spaced))
     at, ids_a, ids_b = at.filter(whole), ids_a.filter(whole), ids_b.filter(whole)
     met = _ends(ids_a, a_entries, "a").join(_ends(ids_b, b_entries, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
@@ -137,8 +163,8 @@ _ROW = "rid long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 _SCHEMA = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), *[(c, pa.int64()) for c in _SIZES], ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
 
 
-def _by_document(batch: pa.RecordBatch, a_path: str, b_path: str) -> pa.RecordBatch:
-    at, links, text = linked(batch.column("text"), a_path, b_path)
+def _by_document(batch: pa.RecordBatch, a_path: str, b_path: str, seen: Seen | None = None) -> pa.RecordBatch:
+    at, links, text = linked(batch.column("text"), a_path, b_path, seen)
     n, where = len(batch), at.to_numpy()
 
     def spread(values) -> np.ndarray:
@@ -162,8 +188,9 @@ def aligned(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE) ->
     """Each row of docs (rid, doc_id, text) with n_a, n_b, n_groups, n_links, groups_sha256, its distinct linked id pairs (`pairs`, as
     A's id * PAIR + B's) and how often each is linked (`times`). Texts without tokens have zeros, '' and empty arrays."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
-            yield _by_document(batch, a_path, b_path)
+            yield _by_document(batch, a_path, b_path, seen)
 
     return docs.select(F.col("rid").cast("long"), F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
 
