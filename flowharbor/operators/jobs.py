@@ -12,7 +12,7 @@ from flowharbor.functions.scalars import hash_rank_key, token_class
 from . import memory as K
 from . import metrics as M
 from . import tokens as T
-from .profiles import flow_tokens
+from .profiles import flow_parts, flow_tokens
 from .staging import first_rows, hash_number, running, staged
 
 
@@ -232,10 +232,16 @@ def memory_pollution(scored: DataFrame, threshold: float, fraction: float, seed:
 
 
 def primitive_sensitivity(rows: DataFrame, splits: DataFrame, grid: list[dict], k: int = 3, **tokens) -> DataFrame:
-    """CAL16: the leave-one metrics of packet rows' behaviour tokens under each setting of the profile primitives (`short`, `chunk`), one row a setting."""
-    out = None
+    """CAL16: the leave-one metrics of packet rows' behaviour tokens under each setting of the profile primitives (`short`, `chunk`), one row a setting.
+    Settings that differ in `short` only share all that does not depend on it."""
+    out, shared = None, {}
     for setting in grid:
-        corpus = flow_tokens(rows, **tokens, **setting).join(splits, "flow").select(F.col("flow").alias("flow_id"), "split", "label", F.posexplode("tokens").alias("pos", "token")).persist()  # read several times below
+        given = {"gap": 0.1, "chunk": 128} | {name: x for name, x in (tokens | setting).items() if name in ("gap", "chunk")}
+        key = given["gap"], given["chunk"]
+        if key not in shared:
+            shared[key] = flow_parts(rows, **given) if tokens.get("profile", "full") != "none" else None
+        made = staged(flow_tokens(rows, **(tokens | setting), parts=shared[key]).join(splits, "flow").select("flow", "split", "label", "tokens"), "setting-tokens")
+        corpus = made.select(F.col("flow").alias("flow_id"), "split", "label", F.posexplode("tokens").alias("pos", "token"))
         one = leave_one_job(corpus, k).withColumn("setting", F.lit(", ".join(f"{a}={b}" for a, b in sorted(setting.items()))))
         out = one if out is None else out.unionByName(one)
     return out
