@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,95 +15,176 @@ from .staging import first_rows, hash_number, lookup, running, staged
 #: Tokens that at least this share of the memory has, up to WIDEST of them, are columns of dense products; the others meet by their lists.
 FREQUENT, WIDEST = 0.05, 2048
 #: Rows of a block of queries and of a block of memory, query rows of one product, and pairs of one stretch of rare tokens' lists.
-SPARSE_QUERIES, SPARSE_MEMORY, PRODUCT_ROWS, STRETCH = 16384, 16384, 256, 1 << 21
+SPARSE_QUERIES, SPARSE_MEMORY, PRODUCT_ROWS, STRETCH = 8192, 8192, 256, 1 << 21
+#: Tokens of the rows of a block, about, and tasks that a search is dealt to at least, if it has rows enough.
+BLOCK_TOKENS, SEARCH_TASKS = 1 << 22, 32
 
 
-def nearest_sparse(query: DataFrame, memory: DataFrame, k: int, by: str = "dot") -> DataFrame:
-    """JOI13 and JOI14: for each query the k best memory rows (id, mid, dot, r) of those that share a token with it, exact, of sparse
-    rows (id, token, w) and a memory (mid, token, w), which are read several times. `by` is "dot", the inner product above 0 and to
-    12 places, or "shared", the summed idf of the shared tokens to 9 places (dot then also has 9); ties go to the smaller id.
-
-    Rows, as lists of the places of their tokens in order of frequency, are dealt to blocks, whose number grows with the rows, and each
-    pair of a query and a memory block is one task's group: frequent tokens are multiplied as dense columns, the lists of the
-    rare ones are met in bounded stretches, and only k rows a query leave. So no pair that shares a token is ever shuffled, and a
-    task's memory is bounded by its blocks. The products, as all pairs, grow with the square of the rows.
-    """
-    ids, mids = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
+def sparse_blocks(query: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame, int, bool]:
+    """What `nearest_sparse` searches: the blocks of both sides, staged once for any number of searches, how many tokens are columns of
+    dense products, and whether the weights of every row are equal and above 0."""
     n, rows = memory.agg(F.count_distinct("mid")).first()[0], query.agg(F.count_distinct("id")).first()[0]
     both = query.groupBy("token").agg(F.count("*").alias("asked")).join(memory.groupBy("token").agg(F.count_distinct("mid").alias("df"), F.count("*").alias("held")), "token")
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
     vocab = staged(running(both.withColumn("idf", idf), [], [F.desc("df"), "token"], {"place": F.lit(1)}).withColumn("place", (F.col("place") - 1).cast("int")), "places")
     width, asked, held = vocab.agg(F.count_if(F.col("df") >= max(2, n * FREQUENT)), F.sum("asked"), F.sum("held")).first()
-    width = min(width, WIDEST)
-    qs, ms = (max(-(-size // block), min(most, -(-size // PRODUCT_ROWS)), 1) for size, block, most in ((rows, SPARSE_QUERIES, 8), (n, SPARSE_MEMORY, 4)))
-    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
-    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    blocks = lambda size, block, tokens, most: max(-(-size // block), -(-(tokens or 0) // BLOCK_TOKENS), min(most, -(-size // PRODUCT_ROWS)), 1)
 
-    def listed(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    def packed(df: DataFrame, key: str, weight: str, total: int, of: int) -> DataFrame:
         known = lookup(df.select(key, "token", "w"), vocab.select("token", weight, "place", "idf"), "token", weight, total or 1).where("place IS NOT NULL")
-        t = F.sort_array(F.collect_list(F.struct("place", "w", "idf")))
-        return known.groupBy(key).agg(t.alias("t")).select(key, F.col("t.place").alias("places"), F.col("t.w").cast("array<double>").alias("ws"), (F.col("t.idf") if by == "shared" and key == "mid" else F.lit(None).cast("array<double>")).alias("idfs"))
-
-    q, m = listed(query, "id", "asked", asked), listed(memory, "mid", "held", held)
-    dealt = q.select(block("id", qs).alias("qb"), each(ms).alias("mb"), "id", F.lit(None).cast(mids).alias("mid"), "places", "ws", "idfs", F.lit(True).alias("asks"))
-    dealt = dealt.unionByName(m.select(each(qs).alias("qb"), block("mid", ms).alias("mb"), F.lit(None).cast(ids).alias("id"), "mid", "places", "ws", "idfs", F.lit(False).alias("asks")))
-
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["asks"]], group[~group["asks"]].sort_values("mid")
-        parts = [*_best_of_block(_flat(a, "ws"), _flat(b, "ws"), len(a), len(b), width, k, _flat(b, "idfs")[2] if by == "shared" else None)] if len(a) and len(b) else []
-        i, j, dot, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
-        return pd.DataFrame({"id": a["id"].to_numpy()[i], "mid": b["mid"].to_numpy()[j], "dot": dot, "key": key})
-
-    found = dealt.repartition(4 * qs * ms, "qb", "mb").groupBy("qb", "mb").applyInPandas(best, f"id {ids}, mid {mids}, dot double, key double")
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("key"), "mid"))).where(F.col("r") <= k).select("id", "mid", "dot", "r")
-
-
-def _flat(rows: pd.DataFrame, weights: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The lists of rows as three arrays: row, place, weight."""
-    sizes = [len(p) for p in rows["places"]]
-    if not sum(sizes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows["places"].to_list()), np.concatenate(rows[weights].to_list()).astype(float)
-
-
-def _best_of_block(a: tuple, b: tuple, n_a: int, n_b: int, width: int, k: int, idf: np.ndarray | None):
-    """(row of a, row of b, dot, key) of each of the k best rows of b for PRODUCT_ROWS rows of a at a time; equal keys in the order of b."""
-    row, place, _ = b
-    dense = place < width
-    rare = np.flatnonzero(~dense)
-    rare = rare[np.argsort(place[rare], kind="stable")]
-    lists, at, sides = place[rare], row[rare], []
-    for held in [b[2]] + ([] if idf is None else [idf]):
-        x = np.zeros((width, n_b))
-        np.add.at(x, (place[dense], row[dense]), held[dense])
-        sides.append((x, held[rare]))
-    for low in range(0, n_a, PRODUCT_ROWS):
-        start, end = np.searchsorted(a[0], [low, low + PRODUCT_ROWS])
-        i, p, w = a[0][start:end] - low, a[1][start:end], a[2][start:end]
-        frequent, size = p < width, min(PRODUCT_ROWS, n_a - low)
-        first, last = (np.searchsorted(lists, p[~frequent], s) for s in ("left", "right"))
-        met, out = last - first, []
-        for (x, held), weight in zip(sides, (w, np.ones(len(w))), strict=False):
-            y = np.zeros((size, width))
-            np.add.at(y, (i[frequent], p[frequent]), weight[frequent])
-            z = y @ x
+        dealt = known.select(F.pmod(F.xxhash64(key), F.lit(of)).cast("int").alias("block"), F.col(key).alias("key"), "place", F.col("w").cast("double").alias("w"), "idf").repartitionById(of, "block")
+        kind = dict(df.dtypes)[key]
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = [b for b in batches if len(b)]
+            if parts:
+                rows = pd.concat(parts)
+                keys, row = np.unique(rows["key"].to_numpy(), return_inverse=True)
+                place, w = rows["place"].to_numpy(), rows["w"].to_numpy()
+                most, least = np.full(len(keys), -np.inf), np.full(len(keys), np.inf)
+                np.maximum.at(most, row, w)
+                np.minimum.at(least, row, w)
+                even = bool((most == least).all() and (least > 0).all())
+                order = np.lexsort((place, row) if key == "id" else (row, place))
+                idfs = [None] if key == "id" else [rows["idf"].to_numpy()[order]]
+                yield pd.DataFrame({"block": [int(rows["block"].iloc[0])], "keys": [list(keys)], "places": [place[order]], "at": [row[order].astype(np.int32)], "ws": [most if even else w[order]], "idfs": idfs, "even": [even]})
+
+        return staged(dealt.mapInPandas(pack, f"block int, keys array<{kind}>, places array<int>, at array<int>, ws array<double>, idfs array<double>, even boolean"), f"{key}-blocks")
+
+    q = packed(query, "id", "asked", asked, blocks(rows, SPARSE_QUERIES, asked, SEARCH_TASKS))
+    m = packed(memory, "mid", "held", held, blocks(n, SPARSE_MEMORY, held, 4))
+    even = q.select("even").unionByName(m.select("even")).agg(F.coalesce(F.bool_and("even"), F.lit(False))).first()[0]
+    return q, m, min(width, WIDEST), even
+
+
+def nearest_sparse(query: DataFrame, memory: DataFrame, k: int, by: str = "dot", blocks: tuple | None = None) -> DataFrame:
+    """JOI13 and JOI14: for each query the k best memory rows (id, mid, dot, r) of those that share a token with it, exact, of sparse
+    rows (id, token, w) and a memory (mid, token, w), which are read several times. `by` is "dot", the inner product above 0, or
+    "shared", the summed idf of the shared tokens to 9 places (dot then also has 9); ties go to the smaller id. A dot is to 12 places, but
+    where the weights of every row are equal it is the plain sum of its equal products, as SQL adds them up.
+
+    Rows, as lists of the places of their tokens in order of frequency, are packed into blocks (`sparse_blocks`, which several searches may
+    share), a row each. Every block of queries meets every block of memory by a nested loop over the partitions of both, so neither pairs nor
+    copies of rows are shuffled: frequent tokens are multiplied as dense columns, the lists of the rare ones are met in bounded
+    stretches, and a task keeps k rows a query while the memory's blocks pass by one after the other. The products, as all pairs, grow with the square of the rows.
+    """
+    ids, mids = dict(query.dtypes)["id"], dict(memory.dtypes)["mid"]
+    q, m, width, even = blocks or sparse_blocks(query, memory)
+    shared = by == "shared"
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches = {}
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.qb not in searches:
+                    searches[r.qb] = _Search((np.asarray(r.ids), *_entries(r.q_at, r.q_places, r.q_ws, r.q_even)), width, k, shared, even)
+                searches[r.qb].meet(np.asarray(r.mids), *_entries(r.m_at, r.m_places, r.m_ws, r.m_even), np.asarray(r.m_idfs) if shared else None)
+        for search in searches.values():
+            yield from search.found()
+
+    side = lambda df, name, key: df.select(F.col("block").alias(f"{name}b"), F.col("keys").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("at", "places", "ws", "even", *(["idfs"] if name == "m" and shared else []))])
+    (qs, last), ms = q.agg(F.count("*"), F.max("block")).first(), m.count()
+    streams = max(1, min(ms, -(-SEARCH_TASKS // max(qs, 1))))
+    pairs = side(m, "m", "mids").repartitionById(streams, F.pmod("mb", F.lit(streams))).hint("shuffle_replicate_nl").crossJoin(side(q, "q", "ids").repartitionById((last or 0) + 1, "qb").hint("shuffle_replicate_nl"))
+    found = pairs.mapInPandas(best, f"id {ids}, mid {mids}, dot double, key double, r int")
+    if streams > 1:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("key"), "mid"))).where(F.col("r") <= k)
+    return found.select("id", "mid", "dot", "r")
+
+
+def _entries(at: np.ndarray, places: np.ndarray, ws: np.ndarray, even: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a block as three arrays: row, place, weight."""
+    at, ws = np.asarray(at), np.asarray(ws)
+    return at, np.asarray(places), ws[at] if even else ws
+
+
+def _added(n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x added up n times, one after the other, as a sum of n equal products is: n * x but for its last digits."""
+    pairs, back = np.unique(n + 1j * x, return_inverse=True)
+    out, times, x = np.zeros(len(pairs)), pairs.real, pairs.imag
+    for start in np.searchsorted(times, np.arange(int(times.max(initial=0))), "right"):
+        out[start:] += x[start:]
+    return out[back]
+
+
+class _Search:
+    """The k best rows so far of each row of a block of queries, to which blocks of memory come one after the other."""
+
+    def __init__(self, queries: tuple, width: int, k: int, shared: bool, even: bool):
+        self.ids, self.at, self.place, self.w = queries
+        self.width, self.k, self.shared, self.even = width, k, shared, even
+        self.best = {}
+
+    def meet(self, mids: np.ndarray, row: np.ndarray, place: np.ndarray, w: np.ndarray, idf: np.ndarray | None) -> None:
+        n, rare = len(mids), np.searchsorted(place, self.width)
+        lists, spots = place[rare:], row[rare:]
+        # equal weights are left out: shared tokens are counted, exactly also in floats
+        held = ([(idf, False)] if self.shared else []) + [(np.ones(len(w), np.float32), False) if self.even else (w, True)]
+        sides = []
+        for v, weighted in held:
+            x = np.zeros((self.width, n), v.dtype)
+            np.add.at(x, (place[:rare], row[:rare]), v[:rare])
+            sides.append((x, v[rare:], weighted))
+        weight = np.zeros(n)
+        weight[row] = w
+        for low in range(0, len(self.ids), PRODUCT_ROWS):
+            size = min(PRODUCT_ROWS, len(self.ids) - low)
+            start, end = np.searchsorted(self.at, [low, low + size])
+            i, p, own = self.at[start:end] - low, self.place[start:end], self.w[start:end]
+            mine = np.zeros(size)
+            mine[i] = own
+            frequent = p < self.width
+            first, last = (np.searchsorted(lists, p[~frequent], s) for s in ("left", "right"))
+            met = last - first
             upto = np.concatenate([[0], np.cumsum(met)])
             cuts = np.unique(np.concatenate([np.searchsorted(upto, np.arange(0, upto[-1], STRETCH)), [len(met)]]))
+            out = []
+            for x, v, weighted in sides:
+                y = np.zeros((size, self.width), v.dtype)
+                np.add.at(y, (i[frequent], p[frequent]), own[frequent] if weighted else v.dtype.type(1))
+                out.append(y @ x)
             for c, d in zip(cuts[:-1], cuts[1:], strict=True):
-                token = np.repeat(np.arange(c, d), met[c:d])
-                spot = first[token] + np.arange(len(token)) - (upto[token] - upto[c])
-                np.add.at(z.ravel(), i[~frequent][token] * n_b + at[spot], weight[~frequent][token] * held[spot])
-            out.append(z)
-        dot = np.round(out[0], 12 if idf is None else 9)
-        key = dot if idf is None else np.round(out[1], 9)
-        some = min(k, n_b)
-        least = np.partition(key, n_b - some, axis=1)[:, [n_b - some]]
-        r, j = np.nonzero((key >= least) & (key > 0))
-        order = np.lexsort((j, -key[r, j], r))
-        r, j = r[order], j[order]
-        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
-        r, j = r[kept], j[kept]
-        yield r + low, j, dot[r, j], key[r, j]
+                spot = np.repeat(first[c:d] - upto[c:d], met[c:d]) + np.arange(upto[c], upto[d])
+                flat = np.repeat(i[~frequent][c:d].astype(np.int64) * n, met[c:d]) + spots[spot]
+                for z, (_, v, weighted) in zip(out, sides, strict=True):
+                    np.add.at(z.ravel(), flat, v[spot] * np.repeat(own[~frequent][c:d], met[c:d]) if weighted else v[spot])
+            self._keep(low, size, mids, out, mine, weight)
+
+    def _keep(self, low: int, size: int, mids: np.ndarray, out: list, mine: np.ndarray, weight: np.ndarray) -> None:
+        k, counted = self.k, self.even and not self.shared
+        i0, m0, dot0, key0, least = self.best.get(low, (np.zeros(0, int), mids[:0], np.zeros(0), np.zeros(0), np.zeros(size)))
+        rough = out[0] * weight.astype(np.float32) if counted else out[0]
+        # what may be among the k best, with room for rounding: exact keys are made of these alone
+        bound = least.copy()
+        if counted:
+            bound = np.divide(bound, mine, out=np.zeros(size), where=mine > 0)
+        new = least <= 0
+        if new.any():
+            some = min(k, len(mids))
+            bound[new] = np.partition(rough[new], len(mids) - some, axis=1)[:, len(mids) - some]
+        bound = bound * (1 - 1e-5) if counted else bound - 1e-8
+        i, j = np.nonzero((rough >= bound.astype(rough.dtype)[:, None]) & (rough > 0))
+        product = mine[i] * weight[j]
+        if counted:
+            dot = key = _added(out[0][i, j].astype(float), product)
+        else:
+            places = 9 if self.shared else 12
+            key = np.round(out[0][i, j], places)
+            dot = np.round(out[1][i, j] * product if self.even else out[1][i, j], 9) if self.shared else key
+        above = key > 0
+        i, m, dot, key = np.concatenate([i0, i[above]]), np.concatenate([m0, mids[j[above]]]), np.concatenate([dot0, dot[above]]), np.concatenate([key0, key[above]])
+        names = m if m.dtype.kind in "iu" else np.unique(m, return_inverse=True)[1]
+        order = np.lexsort((names, -key, i))
+        i, m, dot, key = i[order], m[order], dot[order], key[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        kept = rank < k
+        least = np.zeros(size)
+        least[i[rank == k - 1]] = key[rank == k - 1]
+        self.best[low] = i[kept], m[kept], dot[kept], key[kept], least
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        for low, (i, m, dot, key, _) in self.best.items():
+            yield pd.DataFrame({"id": self.ids[i + low], "mid": m, "dot": dot, "key": key, "r": np.arange(1, len(i) + 1) - np.searchsorted(i, i)})
 
 
 def knn_sparse(query: DataFrame, memory: DataFrame, k: int, ids: DataFrame | None = None) -> DataFrame:
@@ -139,8 +220,9 @@ def knn_inverted(query: DataFrame, memory: DataFrame, candidates: int, k: int, i
 def inverted_recall(query: DataFrame, memory: DataFrame, candidates: int, k: int) -> DataFrame:
     """SET03 for JOI14: mean share of each query's k exact nearest that its candidates reach, ties with the k-th counting as
     reached; queries that share no token with the memory are left out. One row (queries, recall)."""
-    exact = nearest_sparse(query, memory, k).groupBy("id").agg(F.count("*").alias("wanted"), F.round(F.min("dot"), 9).alias("kth"))
-    found = nearest_sparse(query, memory, candidates, "shared").join(exact, "id").where("dot >= kth").groupBy("id").agg(F.count("*").alias("hits"))
+    blocks = sparse_blocks(query, memory)  # both searches read them
+    exact = staged(nearest_sparse(query, memory, k, blocks=blocks).groupBy("id").agg(F.count("*").alias("wanted"), F.round(F.min("dot"), 9).alias("kth")), "kth")
+    found = nearest_sparse(query, memory, candidates, "shared", blocks).join(exact, "id").where("dot >= kth").groupBy("id").agg(F.count("*").alias("hits"))
     share = F.least(F.coalesce("hits", F.lit(0)), F.col("wanted")) / F.col("wanted")
     return exact.join(found, "id", "left").agg(F.count("*").alias("queries"), F.avg(share).alias("recall"))
 
