@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from flowharbor.functions import scalars as S
 from flowharbor.operators.staging import discard, staged
 
-from .states import MemoryRule
+from .states import MemoryRule, ServiceMemory
 
 
 def stream_flows(packets: DataFrame, gap: str = "60 seconds", watermark: str = "10 minutes") -> DataFrame:
@@ -104,36 +105,39 @@ def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least:
     alert and recovering otherwise, is at least `least`. Rows whose column `poison` is true are remembered whatever they score. Sequential inside a service by nature; a service streams through
     one task in time order without being gathered. Where that is more than SLICE rows, one slice of time after the other is sorted and folded, and a
     service's memory and reputation go from slice to slice."""
-    schema = "flow_id long, service string, memory_score double, admitted int, reputation double, memory array<double>"
+    schema = "flow_id long, service string, memory_score double, admitted int, reputation double, memory binary"  # as bytes: a column of null arrays takes Arrow's writer most of the time
     names = ["flow_id", "service", "memory_score", "admitted", "reputation"]
     rule, order = MemoryRule(threshold, size, least, alpha, top), ["ts", "flow_id", "value", "score", "forced"]
     forced = F.coalesce(F.col(poison), F.lit(False)) if poison else F.lit(False)
     rows = scored.select("flow_id", "service", "ts", F.col("value").cast("double").alias("value"), F.col("score").cast("double").alias("score"), forced.alias("forced"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        service, memory, trust, met, ends = None, [], 1.0, False, []
+        service, memory, met, ends = None, ServiceMemory(rule), False, []
         for pdf in batches:
-            out = []
-            for flow, s, value, score, forced, held, known in zip(pdf["flow_id"], pdf["service"], pdf["value"], pdf["score"], pdf["forced"], pdf["memory"], pdf["reputation"]):
+            got, admitted, trust, real = [], [], [], pdf["memory"].isna().to_numpy()
+            for s, value, score, forced, held, known in zip(*(pdf[c].tolist() for c in ("service", "value", "score", "forced", "memory", "reputation"))):
                 if s != service:
                     if met:
-                        ends.append((service, trust, memory))
-                    service, memory, trust, met = s, [], 1.0, False
+                        ends.append((service, memory.trust, [*memory.values]))
+                    service, memory, met = s, ServiceMemory(rule), False
                 if held is not None:
-                    memory, trust = held.tolist(), known
+                    memory = ServiceMemory(rule, np.frombuffer(held).tolist(), known)
                     continue
-                got, admit, memory, trust = rule.step(memory, trust, value, score, forced)
+                near, admit = memory.step(value, score, forced)
                 met = True
-                out.append((flow, s, float(got), int(admit), trust, None))
-            yield pd.DataFrame(out, columns=[*names, "memory"])
+                got.append(near)
+                admitted.append(admit)
+                trust.append(memory.trust)
+            rows = pdf.loc[real, ["flow_id", "service"]]
+            yield rows.assign(memory_score=np.array(got, float), admitted=np.array(admitted, int), reputation=np.array(trust, float), memory=None)
             if ends:
                 yield kept(ends)
                 ends = []
         if met:
-            yield kept([(service, trust, memory)])
+            yield kept([(service, memory.trust, [*memory.values])])
 
     def kept(ends: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(s, trust, [float(m) for m in memory]) for s, trust, memory in ends], columns=["service", "reputation", "memory"]).assign(flow_id=None, memory_score=None, admitted=None)[[*names, "memory"]]
+        return pd.DataFrame([(s, trust, np.array(memory, float).tobytes()) for s, trust, memory in ends], columns=["service", "reputation", "memory"]).assign(flow_id=None, memory_score=None, admitted=None)[[*names, "memory"]]
 
     tasks = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source, slices = service_slices(rows, order)
@@ -143,7 +147,7 @@ def dynamic_memory(scored: DataFrame, threshold: float, size: int = 128, least:
         deal = lambda df: df.repartition(tasks, "service")
     out, before = None, None
     for part in slices:
-        part = part.withColumns({"memory": F.lit(None).cast("array<double>"), "reputation": F.lit(None).cast("double")})
+        part = part.withColumns({"memory": F.lit(None).cast("binary"), "reputation": F.lit(None).cast("double")})
         if before is not None:
             part = part.unionByName(before.where("memory IS NOT NULL").select("service", "memory", "reputation"), allowMissingColumns=True)
         part = deal(part).sortWithinPartitions("service", F.col("memory").isNull(), *order).select("flow_id", "service", "value", "score", "forced", "memory", "reputation")
