@@ -105,9 +105,10 @@ def capped_flows(packets: DataFrame, flows_per_label: int, packets_per_flow: int
     return rows.withColumn("i", F.row_number().over(Window.partitionBy("label", "flow").orderBy("seq"))).where(F.col("i") <= packets_per_flow).drop("i")
 
 
-def augment_sequences(tokens: DataFrame, least: int, cap: int = 32) -> DataFrame:
-    """AGG18: pairs of tokens in a row that enough train flows have, at most `cap` a flow by (-count, name)."""
-    grams = T.ngrams(tokens, 2, least)
+def augment_sequences(tokens: DataFrame, least: int, cap: int = 32, counts: DataFrame | None = None) -> DataFrame:
+    """AGG18: pairs of tokens in a row that enough train flows have, at most `cap` a flow by (-count, name); `counts` (flow_id, split, gram, n)
+    are the flows' pairs, if there are any."""
+    grams = T.ngrams(tokens, 2, least) if counts is None else T.frequent_grams(counts, least)
     return grams.withColumn("r", F.row_number().over(Window.partitionBy("flow_id").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= cap)
 
 

@@ -111,7 +111,12 @@ def ngrams(tokens: DataFrame, n: int, least: int) -> DataFrame:
     w = Window.partitionBy("flow_id").orderBy("pos")
     gram = F.concat_ws("+", "token", *[F.lead("token", i).over(w) for i in range(1, n)])
     rows = tokens.select("flow_id", "split", gram.alias("gram"), F.lead("token", n - 1).over(w).alias("end")).where("end IS NOT NULL")
-    by = staged(rows.groupBy("flow_id", "split", "gram").agg(F.count("*").alias("n")), "grams")
+    return frequent_grams(rows.groupBy("flow_id", "split", "gram").agg(F.count("*").alias("n")), least)
+
+
+def frequent_grams(counts: DataFrame, least: int) -> DataFrame:
+    """AGG17: of the flows' counted grams (flow_id, split, gram, n), those in at least `least` train flows."""
+    by = staged(counts, "grams")
     train = by.where("split = 'train'")
     kept = staged(train.groupBy("gram").agg(F.count("*").alias("flows")).where(F.col("flows") >= least), "kept-grams")
     held = kept.agg(F.sum("flows")).first()[0] or 0

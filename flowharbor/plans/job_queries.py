@@ -9,7 +9,7 @@ from flowharbor.operators import jobs as J
 from flowharbor.operators import memory as K
 from flowharbor.operators import tokens as T
 
-from .binding import DOCS, PACKETS, flow_rows, packets, read, rows, token_counts, token_rows
+from .binding import DOCS, PACKETS, flow_rows, packets, pair_counts, read, rows, token_counts, token_rows
 from .flow_queries import flow_key
 from .memory_queries import KNOWN, query_ids, sparse
 from .metric_queries import COUNTS, RATES, rounded
@@ -59,7 +59,7 @@ def agg02_capped_flows(spark, sf):
 @query(f"""WITH {DOCS}, g AS (SELECT flow_id, split, token || '+' || lead(token) OVER (PARTITION BY flow_id ORDER BY pos) AS gram FROM tok), b AS (SELECT flow_id, split, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL), k AS (SELECT gram FROM b WHERE split = 'train' GROUP BY gram HAVING count(*) >= 10)
  SELECT flow_id, gram, n FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY n DESC, gram) AS r FROM b WHERE gram IN (SELECT gram FROM k)) WHERE r <= 8""")
 def agg18_augment_sequences(spark, sf):
-    return J.augment_sequences(token_rows(spark, sf, True), 10, 8).select("flow_id", "gram", "n")
+    return J.augment_sequences(token_rows(spark, sf, True), 10, 8, pair_counts(spark, sf)).select("flow_id", "gram", "n")
 
 
 @query(f"WITH {FL}, r AS (SELECT flow_id, label, row_number() OVER (PARTITION BY label ORDER BY sha1('42|reservoir|' || flow_id), flow_id) AS r FROM fl) SELECT flow_id, label FROM r WHERE (label = 'BENIGN' AND r <= 70) OR (label = '1-URGENT' AND r <= 30)")

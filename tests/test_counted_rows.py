@@ -26,3 +26,17 @@ def test_queries_group_no_words(spark, monkeypatch):
     monkeypatch.setattr(T, "token_counts", lambda tokens: 1 / 0)
     for name in ("joi13_knn_sparse", "joi14_knn_inverted", "cal15_leave_one_job", "cal11_sweep"):
         registry.QUERIES[name](spark, SF)
+
+
+def test_pairs_equal_the_windowed_ones(spark):
+    names = ["flow_id", "split", "gram", "n"]
+    made = B.pair_counts(spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" not in plan
+    for least in (1, 10):
+        assert sorted(T.frequent_grams(made, least).select(names).collect()) == sorted(T.ngrams(B.token_rows(spark, SF), 2, least).select(names).collect())
+
+
+def test_augmentation_sorts_no_words(spark, monkeypatch):
+    monkeypatch.setattr(T, "ngrams", lambda *a: 1 / 0)
+    assert registry.QUERIES["agg18_augment_sequences"](spark, SF).count() > 0
